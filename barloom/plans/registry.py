@@ -1,4 +1,4 @@
-"""Registered queries over the given tables, with the SQL that gives the same rows."""
+"""All registered queries over the given tables, with the SQL that gives the same rows."""
 
 from __future__ import annotations
 
@@ -6,14 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import bar_queries, event_queries, structure_queries
+from .event_queries import flagship
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet")
+__all__ = ["flagship", "oracle_sql", "queries"]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {**bar_queries.QUERIES, **event_queries.QUERIES, **structure_queries.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {**bar_queries.SQL, **event_queries.SQL, **structure_queries.SQL}
