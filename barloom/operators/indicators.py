@@ -252,7 +252,8 @@ def exhaustion(df: DataFrame, n: int = 20) -> DataFrame:
     relative = F.when(full, ratio(v, F.avg("volume").over(before)))
     span = h - low
     upper, lower = ratio(h - F.greatest(o, c), span), ratio(F.least(o, c) - low, span)
-    loud = ((z >= 2) | (relative >= 2)).cast("double")
+    # on the threshold, a last digit shall not decide
+    loud = ((F.round(z, 9) >= 2) | (F.round(relative, 9) >= 2)).cast("double")
     score = 0.4 * loud + 0.35 * (F.greatest(upper, lower) >= 0.5).cast("double") + 0.25 * ((ratio(c - low, span) >= 0.7) | (ratio(c - low, span) <= 0.3)).cast("double")
     return df.withColumns({"volume_z": z, "volume_ratio": relative, "exhaustion_score": score, "exhausted": F.coalesce(score >= 0.6, F.lit(False))})
 

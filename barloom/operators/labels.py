@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.series import clip, forward, lead, next_rows, ratio
@@ -55,6 +55,14 @@ def dual_head(df: DataFrame, score: str, n: int = 200, low: float = 0.33, high:
     return df.withColumn("score_rank", rank).drop("_seen").withColumn("score_class", F.when(F.col("score_rank") < low, "BEAR").when(F.col("score_rank") > high, "BULL").when(F.col("score_rank").isNotNull(), "WAIT"))
 
 
+def _reached(slot: str, touch: float) -> Column:
+    """Which of the next highs reach a resistance, or of the next lows a support, but for the share ``touch``."""
+    level = F.col(slot)
+    if slot.startswith("r"):
+        return F.transform("_hs", lambda x: x >= level * (1 - touch))
+    return F.transform("_ls", lambda x: x <= level * (1 + touch))
+
+
 def next_zone(df: DataFrame, n: int = 20, touch: float = 0.004, slots: tuple[str, ...] = ("r1", "r2", "r3", "s1", "s2", "s3")) -> DataFrame:
     """Which level is touched first within n rows; of one bar's touches the nearest level; class 6: none. L10
 
@@ -65,8 +73,7 @@ def next_zone(df: DataFrame, n: int = 20, touch: float = 0.004, slots: tuple[str
     hits = []
     for i, s in enumerate(slots):
         level = F.col(s)
-        reached = F.transform("_hs", lambda x, lv=level: x >= lv * (1 - touch)) if s.startswith("r") else F.transform("_ls", lambda x, lv=level: x <= lv * (1 + touch))
-        at = F.array_position(reached, True)
+        at = F.array_position(_reached(s, touch), True)
         hits.append(F.when(level.isNotNull() & (at > 0), F.struct((at - 1).cast("long").alias("bars"), F.abs(level - c).alias("dist"), F.lit(i).alias("cls"))))
     first = F.array_min(F.array_compact(F.array(*hits)))
     full = F.size("_hs") == n

@@ -43,7 +43,7 @@ def describe(df: DataFrame, columns: tuple[str, ...], approximate: bool = False)
 def mode(df: DataFrame, columns: tuple[str, ...]) -> DataFrame:
     """By column the most frequent value, the least of equals, and how often it occurs. A08"""
     counts = unpivot(df, columns).filter("x is not null").groupBy("column", "x").agg(F.count(F.lit(1)).alias("n"))
-    return counts.groupBy("column").agg(F.max(F.struct("n", -F.col("x"))).alias("m")).select("column", (-F.col("m")[1]).alias("mode"), F.col("m.n").alias("times"))
+    return counts.groupBy("column").agg(F.max(F.struct("n", (-F.col("x")).alias("least"))).alias("m")).select("column", (-F.col("m.least")).alias("mode"), F.col("m.n").alias("times"))
 
 
 def mad(df: DataFrame, columns: tuple[str, ...]) -> DataFrame:

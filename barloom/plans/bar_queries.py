@@ -137,7 +137,7 @@ add_sql(
     "w29v_exhaustion", indicators.exhaustion, {"volume_z": "z", "volume_ratio": "q", "exhaustion_score": "sc", "exhausted": "coalesce(sc >= 0.6, false)"},
     {"n": f"count(volume) {_before}", "m": f"avg(volume) {_before}", "sd": f"stddev_pop(volume) {_before}", "uw": div(UW, SPAN), "lw": div(LW, SPAN), "loc": div("close - low", "high - low")},
     {"z": f"CASE WHEN n = 20 THEN {div('volume - m', 'sd')} END", "q": f"CASE WHEN n = 20 THEN {div('volume', 'm')} END"},
-    {"sc": "0.4 * CAST(z >= 2 OR q >= 2 AS DOUBLE) + 0.35 * CAST(greatest(uw, lw) >= 0.5 AS DOUBLE) + 0.25 * CAST(loc >= 0.7 OR loc <= 0.3 AS DOUBLE)"}, plain=("exhausted",),
+    {"sc": "0.4 * CAST(round(z, 9) >= 2 OR round(q, 9) >= 2 AS DOUBLE) + 0.35 * CAST(greatest(uw, lw) >= 0.5 AS DOUBLE) + 0.25 * CAST(loc >= 0.7 OR loc <= 0.3 AS DOUBLE)"}, plain=("exhausted",),
 )
 add_sql(
     "w29w_fvg", indicators.fair_value_gaps, {"fvg": "CAST(CASE WHEN up THEN 1 WHEN down THEN -1 ELSE 0 END AS INTEGER)", "fvg_top": "CASE WHEN up THEN lead(low) OVER s WHEN down THEN lag(low) OVER s END", "fvg_bottom": "CASE WHEN up THEN lag(high) OVER s WHEN down THEN lead(high) OVER s END"},
@@ -184,7 +184,7 @@ for _name, _op, _cols in (
 ):
     add(_name, _op, _cols, None)
 add_sql(
-    "w47_trendlines", recursive.trendlines, {"line_slope": "sl", "resistance_line": "list_max(list_transform(win, p -> p.high - sl * p.x)) + sl * x", "support_line": "list_min(list_transform(win, p -> p.low - sl * p.x)) + sl * x"},
+    "w47_trendlines", recursive.trendlines, {"line_slope": "sl", "resistance_line": "list_max(list_transform(win, lambda p: p.high - sl * p.x)) + sl * x", "support_line": "list_min(list_transform(win, lambda p: p.low - sl * p.x)) + sl * x"},
     {"x": "CAST(row_number() OVER s AS DOUBLE)"}, {"sl": "CASE WHEN count(close) OVER r50 = 50 THEN regr_slope(close, x) OVER r50 END", "win": "list({'x': x, 'high': high, 'low': low}) OVER r50"},
 )
 
@@ -199,7 +199,7 @@ add_sql("l07_decayed_forward", lambda b: labels.decayed_forward(b, "close", 5, 0
 add_sql("l13_horizon_moves", labels.horizon_moves, {f"forward_move_{n}": f"lead(close, {n}) OVER s - close" for n in (1, 3, 6, 12)} | {f"target_dir_{n}": f"CAST(lead(close, {n}) OVER s > close AS INTEGER)" for n in (1, 3, 6, 12)}, plain=tuple(f"target_dir_{n}" for n in (1, 3, 6, 12)))
 add_sql(
     "l04_dual_head", lambda b: labels.dual_head(b, "close", 50), {"score_rank": "rk", "score_class": "CASE WHEN rk < 0.33 THEN 'BEAR' WHEN rk > 0.67 THEN 'BULL' WHEN rk IS NOT NULL THEN 'WAIT' END"},
-    {"win": "list(close) OVER r50"}, {"rk": "CASE WHEN len(win) > 1 THEN (len(list_filter(win, y -> y < close)) + (len(list_filter(win, y -> y = close)) - 1) / 2) / (len(win) - 1) END"}, plain=("score_class",),
+    {"win": "list(close) OVER r50"}, {"rk": "CASE WHEN len(win) > 1 THEN (len(list_filter(win, lambda y: y < close)) + (len(list_filter(win, lambda y: y = close)) - 1) / 2) / (len(win) - 1) END"}, plain=("score_class",),
 )
 _levels = [("r1", "high", ">=", "close * 1.2", 0.996), ("s1", "low", "<=", "close * 0.8", 1.004)]
 add(
@@ -207,14 +207,14 @@ add(
     over_bars(
         {"next_zone": "CASE WHEN n = 20 THEN CASE WHEN f IS NULL THEN 2 ELSE f.c END END", "next_zone_bars": "CASE WHEN n = 20 THEN coalesce(f.b, 21) END", "next_zone_dist": "CASE WHEN n = 20 THEN f.d END"},
         {"hs": "list(high) OVER f20", "ls": "list(low) OVER f20", "n": "count(*) OVER f20"},
-        {"a": "list_position(list_transform(hs, x -> x >= close * 1.2 * 0.996), true)", "b0": "list_position(list_transform(ls, x -> x <= close * 0.8 * 1.004), true)"},
-        {"f": "list_min(list_filter([CASE WHEN a > 0 THEN {'b': CAST(a - 1 AS BIGINT), 'd': abs(close * 1.2 - close), 'c': 0} END, CASE WHEN b0 > 0 THEN {'b': CAST(b0 - 1 AS BIGINT), 'd': abs(close * 0.8 - close), 'c': 1} END], x -> x IS NOT NULL))"},
+        {"a": "list_position(list_transform(hs, lambda x: x >= close * 1.2 * 0.996), true)", "b0": "list_position(list_transform(ls, lambda x: x <= close * 0.8 * 1.004), true)"},
+        {"f": "list_min(list_filter([CASE WHEN a > 0 THEN {'b': CAST(a - 1 AS BIGINT), 'd': abs(close * 1.2 - close), 'c': 0} END, CASE WHEN b0 > 0 THEN {'b': CAST(b0 - 1 AS BIGINT), 'd': abs(close * 0.8 - close), 'c': 1} END], lambda x: x IS NOT NULL))"},
         plain=("next_zone", "next_zone_bars"),
     ),
 )
 
 # --- scaling --------------------------------------------------------------------------------------------------------
-_split = "CASE WHEN k - 1 < floor(n * 0.7) THEN 'train' WHEN k - 1 < floor(n * 0.7) + floor(n * 0.15) THEN 'val' ELSE 'test' END"
+_split = "CASE WHEN k - 1 < floor(n * CAST(0.7 AS DOUBLE)) THEN 'train' WHEN k - 1 < floor(n * CAST(0.7 AS DOUBLE)) + floor(n * CAST(0.15 AS DOUBLE)) THEN 'val' ELSE 'test' END"
 _numbered = {"k": "row_number() OVER s", "n": "count(*) OVER (PARTITION BY symbol)"}
 add_sql("t01_split_sequential", scaling.split_sequential, {"split": _split}, _numbered, plain=("split",))
 add_sql("t15_training_blocks", lambda b: scaling.training_blocks(b, 7), {"block": "CAST(least((k - 1) // greatest(n // 7, 1), 6) AS BIGINT)"}, _numbered, plain=("block",))

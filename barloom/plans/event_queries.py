@@ -248,6 +248,6 @@ QUERIES["flagship_dataset"] = flagship
 SQL["flagship_dataset"] = (
     f"WITH {HOURLY}, {DAILY}, f AS (SELECT *, {div('4 * (' + roll('stddev_pop', 'close', 20) + ')', roll('avg', 'close', 20))} AS bb, {div('close - (' + roll('avg', 'close', 14) + ')', roll('stddev_samp', 'close', 14))} AS zs, coalesce((CASE WHEN count(high) OVER f24 = 24 THEN max(high) OVER f24 END - close) / close, 0) AS mfe, coalesce((CASE WHEN count(low) OVER f24 = 24 THEN min(low) OVER f24 END - close) / close, 0) AS mae, row_number() OVER s AS k, count(*) OVER (PARTITION BY symbol) AS n FROM bars"
     " WINDOW s AS (PARTITION BY symbol ORDER BY ts), r14 AS (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 13 PRECEDING AND CURRENT ROW), r20 AS (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), f24 AS (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 1 FOLLOWING AND 24 FOLLOWING)), "
-    "a AS (SELECT f.*, d.close AS close_1d FROM f ASOF LEFT JOIN (SELECT symbol, ts + INTERVAL 1 DAY AS ts, close FROM days) d ON d.symbol = f.symbol AND f.ts >= d.ts), g AS (SELECT *, CASE WHEN k - 1 < floor(n * 0.7) THEN 'train' WHEN k - 1 < floor(n * 0.7) + floor(n * 0.15) THEN 'val' ELSE 'test' END AS split FROM a) "
+    "a AS (SELECT f.*, d.close AS close_1d FROM f ASOF LEFT JOIN (SELECT symbol, ts + INTERVAL 1 DAY AS ts, close FROM days) d ON d.symbol = f.symbol AND f.ts >= d.ts), g AS (SELECT *, CASE WHEN k - 1 < floor(n * CAST(0.7 AS DOUBLE)) THEN 'train' WHEN k - 1 < floor(n * CAST(0.7 AS DOUBLE)) + floor(n * CAST(0.15 AS DOUBLE)) THEN 'val' ELSE 'test' END AS split FROM a) "
     "SELECT symbol, split, count(*) AS n, round(avg(bb), 6) AS bb_width, round(avg(zs), 6) AS zscore, round(avg(close - close_1d), 6) AS above_day, round(avg(mfe), 6) AS mfe, round(avg(mae), 6) AS mae FROM g GROUP BY 1, 2"
 )
