@@ -88,4 +88,43 @@ def oracle_sql() -> dict[str, str]:
     return dict(SQL)
 
 
-SQL: dict[str, str] = {}
+_FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+#: Only queries that SQL can express; models, tokenizers and the packing search are tested against brute force.
+SQL: dict[str, str] = {
+    "op4_jaccard_join": rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_FOLD}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS t FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+o AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS both_n FROM s a JOIN s b ON a.t = b.t AND a.doc_id < b.doc_id GROUP BY 1, 2),
+k AS (SELECT x, y FROM o JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * both_n >= 75 * (p.n + q.n - both_n)),
+e AS (SELECT x, y FROM k UNION ALL SELECT y, x FROM k),
+r AS (SELECT doc_id AS x, doc_id AS y FROM d UNION SELECT r.x, e.y FROM r JOIN e ON e.x = r.y)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, (SELECT min(y) FROM r WHERE r.x = d.doc_id) AS component_id FROM d LEFT JOIN n ON n.doc_id = d.doc_id""",
+    "op5_decontamination": rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all({_FOLD}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all({_FOLD}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+v AS (SELECT item_id, w, least(13, len(w)) AS n, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS s FROM b WHERE len(w) > 0),
+win AS (SELECT DISTINCT item_id, n, array_to_string(w[s:s + n - 1], ' ') AS t FROM v),
+z AS (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS s FROM d, (SELECT DISTINCT n FROM win) WHERE len(w) >= n),
+occ AS (SELECT doc_id, n, s, item_id FROM (SELECT doc_id, n, s, array_to_string(w[s:s + n - 1], ' ') AS t FROM z) JOIN win USING (n, t)),
+h AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + n)) AS p FROM (SELECT DISTINCT doc_id, n, s FROM occ)) GROUP BY 1),
+i AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids FROM occ GROUP BY 1)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * n_hit >= len(w) AS contaminated
+FROM d LEFT JOIN h ON h.doc_id = d.doc_id LEFT JOIN i ON i.doc_id = d.doc_id""",
+    "op9_line_dedup": """
+WITH d AS (SELECT doc_id, text, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+m AS (SELECT *, list_transform(l, lambda x: md5(x)) AS m FROM d),
+c AS (SELECT doc_id, text, l, list_distinct(list_append(list_filter(range(1, len(l) + 1), lambda i: md5(concat(CASE WHEN i = 1 THEN '' ELSE m[i - 1] END, m[i]))[1] IN ('0', '1', '2', '3')), len(l))) AS e FROM m),
+s AS (SELECT doc_id, text, l, list_sort(e) AS e FROM c),
+k AS (SELECT doc_id, text, l, unnest(list_zip(list_concat([0], e[:-2]), e)) AS z FROM s),
+p AS (SELECT doc_id, text, l, z[1] AS a, z[2] AS b, array_to_string(l[z[1] + 1:z[2]], chr(10)) AS t FROM k),
+f AS (SELECT *, b - a >= 2 AND row_number() OVER (PARTITION BY t, b - a ORDER BY doc_id, a) > 1 AS gone FROM p)
+SELECT doc_id, CASE WHEN any_value(text) IS NULL THEN 0 ELSE CAST(len(any_value(l)) AS BIGINT) END AS n_lines, CAST(coalesce(sum(b - a) FILTER (WHERE gone), 0) AS BIGINT) AS n_removed, count(*) FILTER (WHERE gone) AS n_chunks_removed,
+sha256(coalesce(string_agg(t, chr(10) ORDER BY a) FILTER (WHERE NOT gone), '')) AS kept_sha256 FROM f GROUP BY doc_id""",
+    "op10_vector_topk": """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS v FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM p)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10""",
+}
