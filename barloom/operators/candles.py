@@ -7,18 +7,34 @@ from pyspark.sql import functions as F
 
 from ..functions.series import clip, lag, ratio, roll
 
-o, h, low, c, v = (F.col(x) for x in ("open", "high", "low", "close", "volume"))
-span, body = h - low, F.abs(c - o)
-upper_wick, lower_wick = h - F.greatest(o, c), F.least(o, c) - low
+
+def span_of() -> Column:
+    return F.col("high") - F.col("low")
+
+
+def body_of() -> Column:
+    return F.abs(F.col("close") - F.col("open"))
+
+
+def upper_wick_of() -> Column:
+    return F.col("high") - F.greatest("open", "close")
+
+
+def lower_wick_of() -> Column:
+    return F.least("open", "close") - F.col("low")
 
 
 def typical_price(df: DataFrame) -> DataFrame:
     """typical, mid, and where the close lies in the bar (ibs, two places). P01"""
+    h, low, c = F.col("high"), F.col("low"), F.col("close")
+    span = span_of()
     return df.withColumns({"typical": (h + low + c) / 3, "mid": (h + low) / 2, "ibs": F.round(ratio(c - low, span), 2)})
 
 
 def candle_structure(df: DataFrame) -> DataFrame:
     """Direction, body and wick shares of the range (0.5 or 0 for a flat bar), log returns, volume z-score, relative high. P02"""
+    o, low, c, v = F.col("open"), F.col("low"), F.col("close"), F.col("volume")
+    span, body, upper_wick, lower_wick = span_of(), body_of(), upper_wick_of(), lower_wick_of()
     share = lambda x, flat: clip(F.coalesce(ratio(x, span), F.lit(flat)), 0, 1)
     return df.withColumns({
         "bar_dir": F.signum(c - o), "body_ratio": share(body, 0.0), "close_pos": share(c - low, 0.5),
@@ -30,11 +46,15 @@ def candle_structure(df: DataFrame) -> DataFrame:
 
 def doji(df: DataFrame, exact: bool = False) -> DataFrame:
     """Open equals close, or lies within a tenth of high - close. P04"""
+    o, h, c = F.col("open"), F.col("high"), F.col("close")
+    body = body_of()
     return df.withColumn("doji", (o == c) if exact else (body <= 0.1 * (h - c)))
 
 
 def pattern_flags(df: DataFrame) -> DataFrame:
     """Doji, hammer, shooting star, spinning top, marubozu and engulfing flags, with thresholds as shares of the range. P05"""
+    o, c = F.col("open"), F.col("close")
+    span, body, upper_wick, lower_wick = span_of(), body_of(), upper_wick_of(), lower_wick_of()
     po, pc = lag("open"), lag("close")
     flag = lambda x: F.coalesce(x, F.lit(False))
     return df.withColumns({
@@ -47,6 +67,8 @@ def pattern_flags(df: DataFrame) -> DataFrame:
 
 def three_bar_patterns(df: DataFrame) -> DataFrame:
     """Names of the patterns that each bar completes. P06"""
+    o, c = F.col("open"), F.col("close")
+    span, body = span_of(), body_of()
     o1, c1, o2, c2 = lag("open", 1), lag("close", 1), lag("open", 2), lag("close", 2)
     b1, b2 = F.abs(c1 - o1), F.abs(c2 - o2)
     bull, bull1, bull2 = c >= o, c1 >= o1, c2 >= o2
@@ -61,12 +83,15 @@ def three_bar_patterns(df: DataFrame) -> DataFrame:
 
 def rejection_wicks(df: DataFrame, threshold: float = 0.4) -> DataFrame:
     """A row for each wick that takes more than ``threshold`` of its bar. P07"""
+    span, upper_wick, lower_wick = span_of(), upper_wick_of(), lower_wick_of()
     wick = lambda kind, x: F.struct(F.lit(kind).alias("kind"), ratio(x, span).alias("share"))
     return df.select("symbol", "tf", "ts", F.explode(F.array(wick("upper", upper_wick), wick("lower", lower_wick))).alias("w")).select("symbol", "tf", "ts", "w.*").filter(F.col("share") > threshold)
 
 
 def metric_base(df: DataFrame) -> DataFrame:
     """Range and move in per cent, direction, and regime (1 beyond 2 per cent up, -1 down). P08"""
+    o, c = F.col("open"), F.col("close")
+    span = span_of()
     move = 100 * ratio(c - o, o)
     return df.withColumns({"volatility_pct": 100 * ratio(span, o), "speed_pct": move, "direction": (c > o).cast("int"), "regime": F.when(move > 2, 1).when(move < -2, -1).otherwise(0)})
 

@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions.series import KEYS, as_col, clip, diff, ffill, lag, last_rows, lead, ratio, roll, series, so_far, whole
 
-c, h, low, o, v = (F.col(x) for x in ("close", "high", "low", "open", "volume"))
-
 
 def price_basics(df: DataFrame) -> DataFrame:
     """Change, direction, neighbours, percentage change and the last five changes. W01"""
@@ -19,6 +17,7 @@ def price_basics(df: DataFrame) -> DataFrame:
 
 def momentum(df: DataFrame, n: int = 30) -> DataFrame:
     """Change over n rows, distance from the mean, and that in standard deviations. W02"""
+    c = F.col("close")
     mean, sd = roll(F.avg, "close", n), roll(F.stddev_samp, "close", n)
     return df.withColumns({"mom": diff("close", n), "mean_rev": c - mean, "trend_factor": ratio(c - mean, sd)})
 
@@ -30,6 +29,7 @@ def moving(df: DataFrame, x: str = "close", n: int = 20) -> DataFrame:
 
 def ma_differences(df: DataFrame, spans: tuple[int, ...] = (8, 21, 50)) -> DataFrame:
     """Means minus price, and each mean minus the next longer one. W04"""
+    c = F.col("close")
     means = {n: roll(F.avg, "close", n) for n in spans}
     out: dict[str, Column] = {f"ma_{n}_diff": m - c for n, m in means.items()}
     out |= {f"ma_{a}_{b}_diff": means[a] - means[b] for a, b in zip(spans, spans[1:], strict=False)}
@@ -69,12 +69,14 @@ def signal_line(df: DataFrame, x: str, n: int, out: str) -> DataFrame:
 
 def bollinger(df: DataFrame, n: int = 20, k: float = 2.0, ddof: int = 0) -> DataFrame:
     """Mean and bands of k deviations, width and position in them. W10"""
+    c = F.col("close")
     mean, sd = roll(F.avg, "close", n), roll(F.stddev_pop if ddof == 0 else F.stddev_samp, "close", n)
     return df.withColumns({"bb_mid": mean, "bb_upper": mean + k * sd, "bb_lower": mean - k * sd, "bb_width": ratio(2 * k * sd, mean), "bb_pos": ratio(c - (mean - k * sd), 2 * k * sd)})
 
 
 def true_range() -> Column:
     """Largest of the range and the distances from the close before. W12"""
+    h, low = F.col("high"), F.col("low")
     pc = lag("close")
     return F.greatest(h - low, F.abs(h - pc), F.abs(low - pc))
 
@@ -87,6 +89,7 @@ def atr_sma(df: DataFrame, n: int = 14) -> DataFrame:
 
 def keltner(df: DataFrame, n: int = 20, k: float = 2.0) -> DataFrame:
     """Mean typical price and bands of k mean true ranges. W11"""
+    h, low, c = F.col("high"), F.col("low"), F.col("close")
     df = df.withColumns({"_tr": true_range(), "_tp": (h + low + c) / 3})
     mid, atr = roll(F.avg, "_tp", n), roll(F.avg, "_tr", n)
     return df.withColumns({"kc_mid": mid, "kc_upper": mid + k * atr, "kc_lower": mid - k * atr}).drop("_tr", "_tp")
@@ -94,6 +97,7 @@ def keltner(df: DataFrame, n: int = 20, k: float = 2.0) -> DataFrame:
 
 def rolling_vwap(df: DataFrame, n: int = 20) -> DataFrame:
     """Volume-weighted typical price of the last n rows, carried on where there is no volume. W13"""
+    h, low, c, v = F.col("high"), F.col("low"), F.col("close"), F.col("volume")
     df = df.withColumn("_tpv", v * (h + low + c) / 3)
     df = df.withColumn("_vwap", ratio(roll(F.sum, "_tpv", n), roll(F.sum, "volume", n)))
     return df.withColumn("vwap", ffill("_vwap")).drop("_tpv", "_vwap")
@@ -101,6 +105,7 @@ def rolling_vwap(df: DataFrame, n: int = 20) -> DataFrame:
 
 def returns(df: DataFrame, n: int = 14) -> DataFrame:
     """Simple and log return, rate of change, z-score and price-volume trend. W14"""
+    c, v = F.col("close"), F.col("volume")
     r = ratio(diff("close"), lag("close"))
     df = df.withColumns({"ret": r, "log_ret": F.log(ratio(c, lag("close"))), "roc": 100 * ratio(diff("close", n), lag("close", n)), "zscore": ratio(c - roll(F.avg, "close", n), roll(F.stddev_samp, "close", n))})
     return df.withColumn("pvt", F.sum(F.col("ret") * v).over(so_far()))
@@ -108,12 +113,14 @@ def returns(df: DataFrame, n: int = 14) -> DataFrame:
 
 def realised_vol(df: DataFrame, n: int = 20) -> DataFrame:
     """Deviation of log returns over n rows, times the root of n. W15"""
+    c = F.col("close")
     df = df.withColumn("_lr", F.log(ratio(c, lag("close"))))
     return df.withColumn("realised_vol", roll(F.stddev_samp, "_lr", n) * F.sqrt(F.lit(float(n)))).drop("_lr")
 
 
 def stochastic(df: DataFrame, n: int = 14, k: int = 3, d: int = 3) -> DataFrame:
     """Fast and slow %K, and %D. W16"""
+    c = F.col("close")
     lowest, highest = roll(F.min, "low", n), roll(F.max, "high", n)
     df = df.withColumn("fast_k", 100 * ratio(c - lowest, highest - lowest))
     df = df.withColumn("slow_k", roll(F.avg, "fast_k", k))
@@ -122,6 +129,7 @@ def stochastic(df: DataFrame, n: int = 14, k: int = 3, d: int = 3) -> DataFrame:
 
 def cci(df: DataFrame, n: int = 20) -> DataFrame:
     """Typical price against its mean, in 0.015 deviations of the mean over the whole series. W17 (looks ahead, by definition)"""
+    h, low, c = F.col("high"), F.col("low"), F.col("close")
     df = df.withColumn("_tp", (h + low + c) / 3)
     df = df.withColumn("_mean", roll(F.avg, "_tp", n))
     return df.withColumn("cci", ratio(F.col("_tp") - F.col("_mean"), 0.015 * F.stddev_pop("_mean").over(whole()))).drop("_tp", "_mean")
@@ -136,6 +144,7 @@ def choppiness(df: DataFrame, n: int = 14) -> DataFrame:
 
 def awesome_oscillator(df: DataFrame, fast: int = 5, slow: int = 34) -> DataFrame:
     """Difference of two means of the mid price. W19"""
+    h, low = F.col("high"), F.col("low")
     df = df.withColumn("_mid", (h + low) / 2)
     return df.withColumn("ao", roll(F.avg, "_mid", fast) - roll(F.avg, "_mid", slow)).drop("_mid")
 
@@ -149,6 +158,7 @@ def pivot_levels(df: DataFrame, n: int = 15) -> DataFrame:
 
 def snr_vix(df: DataFrame, n: int = 20) -> DataFrame:
     """Signal to noise in decibels: rms change against rms range share of the close. W22"""
+    h, low, c = F.col("high"), F.col("low"), F.col("close")
     df = df.withColumns({"_d2": F.pow(ratio(diff("close"), lag("close")), 2.0), "_r2": F.pow(ratio(h - low, c), 2.0)})
     rms = lambda x: F.sqrt(roll(F.avg, x, n))
     return df.withColumns({"snr_db": 20 * F.log10(F.nullif(ratio(rms("_d2"), rms("_r2")), F.lit(0.0))), "vix": 100 * rms("_d2")}).drop("_d2", "_r2")
@@ -162,6 +172,7 @@ def trend_strength(df: DataFrame, n: int = 10) -> DataFrame:
 
 def vsi(df: DataFrame, n: int = 20) -> DataFrame:
     """Up minus down volume in per cent of both. W24"""
+    o, c, v = F.col("open"), F.col("close"), F.col("volume")
     df = df.withColumns({"_up": F.when(c > o, v).otherwise(0.0), "_down": F.when(c < o, v).otherwise(0.0)})
     up, down = roll(F.sum, "_up", n), roll(F.sum, "_down", n)
     return df.withColumn("vsi", 100 * ratio(up - down, up + down)).drop("_up", "_down")
@@ -178,6 +189,7 @@ def price_velocity(df: DataFrame, n: int = 10) -> DataFrame:
 
 def volatility_regime(df: DataFrame, n: int = 20, long: int = 100) -> DataFrame:
     """Volatility against its rolling 95th percentile, short against long deviation, share of rising bars. W27"""
+    o, c = F.col("open"), F.col("close")
     df = df.withColumns({"_lr": F.log(ratio(c, lag("close"))), "_bull": (c > o).cast("double")})
     df = df.withColumn("_vol", roll(F.stddev_samp, "_lr", n))
     p95 = roll(lambda x: F.percentile(x, F.lit(0.95)), "_vol", long)
@@ -186,11 +198,13 @@ def volatility_regime(df: DataFrame, n: int = 20, long: int = 100) -> DataFrame:
 
 def obv(df: DataFrame) -> DataFrame:
     """Running sum of volume signed by the change. W29f"""
+    v = F.col("volume")
     return df.withColumn("_sv", F.coalesce(F.signum(diff("close")), F.lit(0.0)) * v).withColumn("obv", F.sum("_sv").over(so_far())).drop("_sv")
 
 
 def volume_metrics(df: DataFrame, n: int = 50) -> DataFrame:
     """Up and down volume and distance of the last n rows. W29e"""
+    v = F.col("volume")
     d = diff("close")
     df = df.withColumns({"_uv": F.when(d > 0, v).otherwise(0.0), "_dv": F.when(d < 0, v).otherwise(0.0), "_ud": F.when(d > 0, d).otherwise(0.0), "_dd": F.when(d < 0, -d).otherwise(0.0)})
     return df.withColumns({"up_volume": roll(F.sum, "_uv", n), "down_volume": roll(F.sum, "_dv", n), "up_distance": roll(F.sum, "_ud", n), "down_distance": roll(F.sum, "_dd", n)}).drop("_uv", "_dv", "_ud", "_dd")
@@ -212,12 +226,14 @@ def currency_strength(df: DataFrame, n: int = 20, limit: float = 3.0) -> DataFra
 
 def structural_range(df: DataFrame, n: int = 50) -> DataFrame:
     """Rolling highest and lowest price, and the close's place between them. W29g"""
+    c = F.col("close")
     top, bottom = roll(F.max, "high", n, 20), roll(F.min, "low", n, 20)
     return df.withColumns({"range_high": top, "range_low": bottom, "range_width": top - bottom, "range_pos": ratio(c - bottom, top - bottom)})
 
 
 def metric_momentum(df: DataFrame, short: int = 5, long: int = 20) -> DataFrame:
     """Ratio of a short to a long mean of the range, and its direction beyond 1.2 or under 0.8. W29i"""
+    o, h, low = F.col("open"), F.col("high"), F.col("low")
     df = df.withColumn("_range", 100 * ratio(h - low, o))
     q = ratio(roll(F.avg, "_range", short), roll(F.avg, "_range", long))
     return df.withColumns({"metric_ratio": q, "metric_dir": F.when(q > 1.2, 1).when(q < 0.8, -1).otherwise(0)}).drop("_range")
@@ -246,6 +262,7 @@ def session_extremes(df: DataFrame, start: int, end: int) -> DataFrame:
 
 def exhaustion(df: DataFrame, n: int = 20) -> DataFrame:
     """Volume and wicks against the n rows before this one; score of three parts, event from 0.6. W29v"""
+    o, h, low, c, v = F.col("open"), F.col("high"), F.col("low"), F.col("close"), F.col("volume")
     before = series().rowsBetween(-n, -1)
     full = F.count("volume").over(before) == n
     z = F.when(full, ratio(v - F.avg("volume").over(before), F.stddev_pop("volume").over(before)))
@@ -260,6 +277,7 @@ def exhaustion(df: DataFrame, n: int = 20) -> DataFrame:
 
 def fair_value_gaps(df: DataFrame) -> DataFrame:
     """Gaps between the bars around a candle (uses the next bar): kind, top, bottom. W29w"""
+    o, c = F.col("open"), F.col("close")
     up = (lag("high") < lead("low")) & (c > o)
     down = (lag("low") > lead("high")) & (c < o)
     return df.withColumns({"fvg": F.when(up, 1).when(down, -1).otherwise(0), "fvg_top": F.when(up, lead("low")).when(down, lag("low")), "fvg_bottom": F.when(up, lag("high")).when(down, lead("high"))})
@@ -267,6 +285,7 @@ def fair_value_gaps(df: DataFrame) -> DataFrame:
 
 def fractals(df: DataFrame) -> DataFrame:
     """Five-bar support and resistance (uses the two next bars). W29x"""
+    h, low = F.col("high"), F.col("low")
     l1, l2, n1, n2 = lag("low", 1), lag("low", 2), lead("low", 1), lead("low", 2)
     h1, h2, m1, m2 = lag("high", 1), lag("high", 2), lead("high", 1), lead("high", 2)
     flag = lambda x: F.coalesce(x, F.lit(False))
@@ -275,6 +294,7 @@ def fractals(df: DataFrame) -> DataFrame:
 
 def pivots(df: DataFrame, w: int = 5) -> DataFrame:
     """Rows whose high or low is the extreme of w rows on both sides. W29x"""
+    h, low = F.col("high"), F.col("low")
     around = series().rowsBetween(-w, w)
     full = F.count(F.lit(1)).over(around) == 2 * w + 1
     return df.withColumn("is_pivot", F.when(full & (h == F.max("high").over(around)) & (low == F.min("low").over(around)), 3).when(full & (h == F.max("high").over(around)), 1).when(full & (low == F.min("low").over(around)), 2).otherwise(0))
@@ -282,6 +302,7 @@ def pivots(df: DataFrame, w: int = 5) -> DataFrame:
 
 def quantile_zones(df: DataFrame, n: int = 50, q_low: float = 0.2, q_high: float = 0.8, atr: int = 14) -> DataFrame:
     """Support and resistance as rolling quantiles of the close, distances in mean true ranges within [0, 10]. Z04"""
+    c = F.col("close")
     df = df.withColumn("_tr", true_range())
     unit = roll(F.avg, "_tr", atr)
     df = df.withColumns({"support": roll(lambda x: F.percentile(x, F.lit(q_low)), "close", n), "resistance": roll(lambda x: F.percentile(x, F.lit(q_high)), "close", n), "_unit": unit})
@@ -297,6 +318,7 @@ def rolling_quantile_norm(df: DataFrame, x: str, n: int, out: str) -> DataFrame:
 
 def mean_reversion(df: DataFrame, n: int = 20) -> DataFrame:
     """z-score, state beyond two deviations, and the return back to the mean. Z20"""
+    c = F.col("close")
     mean, sd = roll(F.avg, "close", n), roll(F.stddev_samp, "close", n)
     z = ratio(c - mean, sd)
     return df.withColumns({"mr_z": z, "mr_state": F.when(z > 2, "overbought").when(z < -2, "oversold").when(z.isNotNull(), "neutral"), "mr_expected": ratio(mean - c, c)})

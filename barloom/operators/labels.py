@@ -7,11 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions.series import clip, forward, lead, next_rows, ratio
 
-c = F.col("close")
-
 
 def forward_returns(df: DataFrame, horizons: tuple[int, ...] = (1, 3, 5)) -> DataFrame:
     """Simple returns, 0 in the tail, and whether they are positive. L01"""
+    c = F.col("close")
     out = {f"fwd_ret_{n}": F.coalesce(ratio(lead("close", n) - c, c), F.lit(0.0)) for n in horizons}
     df = df.withColumns(out)
     return df.withColumns({f"fwd_up_{n}": (F.col(f"fwd_ret_{n}") > 0).cast("int") for n in horizons})
@@ -24,11 +23,13 @@ def next_values(df: DataFrame, columns: tuple[str, ...], k: int = 1) -> DataFram
 
 def mfe_mae(df: DataFrame, n: int = 24) -> DataFrame:
     """Largest rise of the highs and fall of the lows over the next n rows, as shares of the close; 0 in the tail. L05"""
+    c = F.col("close")
     return df.withColumns({"mfe": F.coalesce(ratio(forward(F.max, "high", n) - c, c), F.lit(0.0)), "mae": F.coalesce(ratio(forward(F.min, "low", n) - c, c), F.lit(0.0))})
 
 
 def forward_log_returns(df: DataFrame, horizons: tuple[int, ...] = (1, 5, 10, 20)) -> DataFrame:
     """Log ratios, 0 in the tail. L06"""
+    c = F.col("close")
     return df.withColumns({f"fwd_log_ret_{n}": F.coalesce(F.log(ratio(lead("close", n), c)), F.lit(0.0)) for n in horizons})
 
 
@@ -68,6 +69,7 @@ def next_zone(df: DataFrame, n: int = 20, touch: float = 0.004, slots: tuple[str
 
     ``next_zone_bars`` counts from 0 at the next bar and is n + 1 without a touch; rows with less than n to come are null.
     """
+    c = F.col("close")
     w = next_rows(n)
     df = df.withColumns({"_hs": F.collect_list("high").over(w), "_ls": F.collect_list("low").over(w)})
     hits = []
@@ -82,11 +84,13 @@ def next_zone(df: DataFrame, n: int = 20, touch: float = 0.004, slots: tuple[str
 
 def horizon_moves(df: DataFrame, horizons: tuple[int, ...] = (1, 3, 6, 12)) -> DataFrame:
     """Absolute moves and up flags. L13"""
+    c = F.col("close")
     return df.withColumns({f"forward_move_{n}": lead("close", n) - c for n in horizons} | {f"target_dir_{n}": (lead("close", n) > c).cast("int") for n in horizons})
 
 
 def reversal_labels(df: DataFrame, mean: str, n: int = 5, decay: float = 0.8) -> DataFrame:
     """Decayed share of the next n closes on the other side of ``mean`` than this one. L12"""
+    c = F.col("close")
     up = c >= F.col(mean)
     weights = [decay**i for i in range(n)]
     other = sum((F.when((lead("close", i + 1) >= lead(mean, i + 1)) != up, w).when(lead("close", i + 1).isNotNull(), 0.0) for i, w in enumerate(weights)), F.lit(0.0))
@@ -98,6 +102,7 @@ def forward_outcome(signals: DataFrame, bars: DataFrame, horizons: tuple[int, ..
 
     Bars first take their own future in one window pass; signals then join the bar they stand on. Incomplete horizons are null.
     """
+    c = F.col("close")
     future = bars.select("symbol", "tf", "ts", "close", *[forward(F.max, "high", n).alias(f"h{n}") for n in horizons], *[forward(F.min, "low", n).alias(f"l{n}") for n in horizons], *[lead("close", n).alias(f"c{n}") for n in horizons])
     j = signals.join(future, ["symbol", "tf", "ts"])
     per = []

@@ -9,6 +9,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+def timed(df: DataFrame, late: str, column: str = "ts") -> DataFrame:
+    """Event time as a timestamp with a watermark; times without a zone are taken in the session's."""
+    return df.withColumn(column, F.col(column).cast("timestamp")).withWatermark(column, late)
+
+
 STATE = "n long, value double, last_ts timestamp"
 
 
@@ -19,7 +24,7 @@ def stream_bars(ticks: DataFrame, freq: str, late: str = "10 minutes", slide: st
     """
     order = F.struct("ts", "seq")
     w = F.window("ts", freq, slide) if slide else F.window("ts", freq)
-    return ticks.withWatermark("ts", late).groupBy("symbol", w.alias("w")).agg(
+    return timed(ticks, late).groupBy("symbol", w.alias("w")).agg(
         F.min_by("price", order).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", order).alias("close"), F.sum("volume").alias("volume")
     ).select("symbol", F.col("w.start").alias("ts"), "open", "high", "low", "close", "volume")
 
@@ -27,14 +32,14 @@ def stream_bars(ticks: DataFrame, freq: str, late: str = "10 minutes", slide: st
 def stream_sessions(ticks: DataFrame, gap: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
     """Sessions that a gap ends: first and last price, extremes, ticks. R03"""
     order = F.struct("ts", "seq")
-    return ticks.withWatermark("ts", late).groupBy("symbol", F.session_window("ts", gap).alias("w")).agg(
+    return timed(ticks, late).groupBy("symbol", F.session_window("ts", gap).alias("w")).agg(
         F.min_by("price", order).alias("first_price"), F.max_by("price", order).alias("last_price"), F.max("price").alias("high"), F.min("price").alias("low"), F.count(F.lit(1)).alias("n")
     ).select("symbol", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "first_price", "last_price", "high", "low", "n")
 
 
 def stream_dedup(events: DataFrame, keys: list[str], late: str = "10 minutes") -> DataFrame:
     """The first of events that are equal in the keys and arrive within ``late``. R08"""
-    return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)
+    return timed(events, late).dropDuplicatesWithinWatermark(keys)
 
 
 def stream_ema(bars: DataFrame, alpha: float) -> DataFrame:
@@ -57,13 +62,13 @@ def stream_ema(bars: DataFrame, alpha: float) -> DataFrame:
             state.update((n, value, last))
         yield pd.DataFrame(out, columns=["symbol", "ts", "close", "ema"])
 
-    return bars.select("symbol", "ts", "close").groupBy("symbol").applyInPandasWithState(step, "symbol string, ts timestamp, close double, ema double", STATE, "append", GroupStateTimeout.NoTimeout)
+    return bars.select("symbol", F.col("ts").cast("timestamp").alias("ts"), "close").groupBy("symbol").applyInPandasWithState(step, "symbol string, ts timestamp, close double, ema double", STATE, "append", GroupStateTimeout.NoTimeout)
 
 
 def stream_pairing(h1: DataFrame, h4: DataFrame, hours: int = 4) -> DataFrame:
     """h1 events with the h4 events of their symbol and direction in the ``hours`` before. R07"""
-    a = h1.withWatermark("ts", f"{hours} hours").alias("a")
-    b = h4.withColumnRenamed("ts", "h4_ts").withColumnRenamed("strength", "h4_strength").withWatermark("h4_ts", f"{hours} hours").alias("b")
+    a = timed(h1, f"{hours} hours").alias("a")
+    b = timed(h4.withColumnRenamed("ts", "h4_ts").withColumnRenamed("strength", "h4_strength"), f"{hours} hours", "h4_ts").alias("b")
     near = (F.col("a.symbol") == F.col("b.symbol")) & (F.col("a.direction") == F.col("b.direction")) & (F.col("h4_ts") <= F.col("ts")) & (F.col("h4_ts") >= F.col("ts") - F.expr(f"interval {hours} hours"))
     return a.join(b, near).select("a.symbol", "a.direction", "ts", "strength", "h4_ts", "h4_strength", (0.7 * F.col("strength") + 0.3 * F.col("h4_strength")).alias("composite"))
 
