@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.series import KEYS, diff, lag, linear_scan, ratio, roll, series, so_far
+from .joins import asof
 
 
 def exponential(df: DataFrame, x: str, alpha: float, out: str, seed: int = 1) -> DataFrame:
@@ -64,6 +65,30 @@ def rsi(df: DataFrame, x: str = "close", n: int = 14, out: str = "rsi") -> DataF
     return df.withColumn(out, value).drop("_up", "_down", "_gain", "_loss")
 
 
+def rsi_states(df: DataFrame, x: str = "close", n: int = 14) -> DataFrame:
+    """The RSI's own state at each row: mean gain and loss. W33"""
+    d = diff(x)
+    df = df.withColumns({"_up": F.when(d.isNotNull(), F.greatest(d, F.lit(0.0))), "_down": F.when(d.isNotNull(), F.greatest(-d, F.lit(0.0)))})
+    return wilder(wilder(df, "_up", n, "gain"), "_down", n, "loss").drop("_up", "_down")
+
+
+def mtf_rsi(base: DataFrame, higher: dict[str, tuple[DataFrame, Column, float]], own_weight: float = 0.4, n: int = 14) -> DataFrame:
+    """Weighted mean of the bars' RSI and those of higher timeframes, each carried on from its last closed bar with the current close. W34
+
+    ``higher``: name -> (bars, interval after which a bar is closed, weight). Timeframes without state yet don't count.
+    """
+    df = rsi(base, n=n)
+    total, weights = F.coalesce(F.col("rsi") * own_weight, F.lit(0.0)), F.when(F.col("rsi").isNotNull(), own_weight).otherwise(0.0)
+    for name, (bars, interval, weight) in higher.items():
+        state = rsi_states(bars, n=n).select("symbol", "ts", "close", "gain", "loss")
+        df = asof(df, state, ("close", "gain", "loss"), visible_after=interval, suffix=f"_{name}")
+        d = F.col("close") - F.col(f"close_{name}")
+        gain, loss = (F.col(f"gain_{name}") * (n - 1) + F.greatest(d, F.lit(0.0))) / n, (F.col(f"loss_{name}") * (n - 1) + F.greatest(-d, F.lit(0.0))) / n
+        df = df.withColumn(f"rsi_{name}", F.when(gain + loss == 0, 50.0).otherwise(100 * F.try_divide(gain, gain + loss))).drop(f"close_{name}", f"gain_{name}", f"loss_{name}")
+        total, weights = total + F.coalesce(F.col(f"rsi_{name}") * weight, F.lit(0.0)), weights + F.when(F.col(f"rsi_{name}").isNotNull(), weight).otherwise(0.0)
+    return df.withColumn("mtf_rsi", ratio(total, weights))
+
+
 def rsi_features(df: DataFrame, n: int = 14) -> DataFrame:
     """RSI, its relative change and its changes over 1 to 5 rows. W33b"""
     df = rsi(df, n=n)

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.series import rounded
-from ..operators import indicators, structure
+from ..operators import indicators, recursive, structure, zones
+from ..sources.bars import event_ticks, resample
 from .bar_queries import hourly
 from .sql import HOURLY
 
@@ -69,3 +70,17 @@ add(
     "z13_currency_index", lambda s, d: structure.currency_index(hourly(s, d), _BASKET, 50.0, ("open", "close")),
     f"WITH {HOURLY}, w(symbol, w) AS (VALUES ('click', -0.5), ('view', 0.3), ('purchase', 0.2)), i AS (SELECT ts, count(*) AS n, exp(sum(w * ln(greatest(open, 1e-8)))) * 50 AS open, exp(sum(w * ln(greatest(close, 1e-8)))) * 50 AS close FROM bars JOIN w USING (symbol) GROUP BY 1) SELECT ts, round(open, 6) AS open, round(close, 6) AS close FROM i WHERE n = 3",
 )
+
+
+def _zoned(s: SparkSession, d: str) -> DataFrame:
+    b = hourly(s, d)
+    return zones.with_zones(b, zones.cluster_zones(zones.level_snapshots(b)))
+
+
+add("z01_detect_levels", lambda s, d: zones.level_snapshots(hourly(s, d)).select("symbol", "period", F.explode("levels").alias("l")).select("symbol", "period", "l.kind", "l.price"), None)
+add("z02_cluster_zones", lambda s, d: zones.cluster_zones(zones.level_snapshots(hourly(s, d))).drop("tf"), None)
+add("z03_snr_features", lambda s, d: zones.snr_features(_zoned(s, d)).select("symbol", "ts", "zones_below", "zones_above", "support_price", "resistance_price", "support_distance", "resistance_distance", "in_zone"), None)
+add("z09_generate_signals", lambda s, d: zones.zone_signals(_zoned(s, d), 0.1).filter("signal is not null").select("symbol", "ts", "zone_price", "zone_kind", "signal", "signal_side"), None)
+add("z16_signal_bundle", lambda s, d: zones.signal_bundle(hourly(s, d)).drop("tf"), f"WITH {HOURLY} SELECT symbol, ts, CASE WHEN close > lag(close) OVER w THEN 'up' WHEN close < lag(close) OVER w THEN 'down' ELSE 'flat' END AS trend FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY ts)")
+add("z19_knn_classify", lambda s, d: zones.nearest_history(indicators.returns(indicators.snr_vix(hourly(s, d))).na.drop(), ("zscore", "roc", "vix")).drop("tf"), None)
+add("w34_mtf_rsi", lambda s, d: recursive.mtf_rsi(hourly(s, d), {"1d": (resample(event_ticks(s, d), "1 day"), F.expr("interval 1 day"), 0.6)}).select("symbol", "ts", "rsi", "rsi_1d", "mtf_rsi"), None)

@@ -212,3 +212,37 @@ def test_statistics_against_numpy(spark):
     rank = pd.DataFrame(np.round(x, 1), columns=list("abc")).corr("spearman")
     got = {(r.a, r.b): r.r for r in stats.spearman_pairs(spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(np.round(x, 1))], "id long, a double, b double, c double"), ("a", "b", "c"), "id").collect()}
     assert got["a", "c"] == pytest.approx(rank.loc["a", "c"])
+
+
+def test_level_snapshots_are_spaced_and_known(spark):
+    from barloom.operators import zones
+
+    bars = hourly(spark, DATA)
+    snaps = zones.level_snapshots(bars, min_distance=0.05).collect()
+    assert len(snaps) > 50
+    for r in snaps:
+        prices = [x.price for x in r.levels]
+        assert all(abs(a - b) >= 0.05 * min(a, b) * 0.95 for i, a in enumerate(prices) for b in prices[i + 1 :])
+    cut = dt.datetime(2024, 1, 20)
+    part = {(r.symbol, r.period): r.levels for r in zones.level_snapshots(bars.filter(F.col("ts") < F.lit(cut)), min_distance=0.05).collect()}
+    full = {(r.symbol, r.period): r.levels for r in snaps}
+    assert all(full[k] == v for k, v in part.items() if k[1] <= cut)
+    z = zones.cluster_zones(zones.level_snapshots(bars)).collect()
+    assert all(r.lower <= r.price <= r.upper for r in z) and max(r.zone for r in z) < 8
+
+
+def test_zone_signals(spark):
+    from barloom.operators import zones
+
+    b = made_bars(spark, [100, 103, 104, 105, 100, 95, 94, 93]).withColumn("zones", F.array(F.struct(F.lit(99.5).alias("price"), F.lit(99.0).alias("lower"), F.lit(100.0).alias("upper"), F.lit("support").alias("kind"))))
+    got = [(r.signal, r.signal_side) for r in zones.zone_signals(b, 0.01, 3).orderBy("ts").collect()]
+    assert got[0] == ("bounce", 1) and got[4] == ("breakout", -1) and got[5] == (None, None)
+    r = zones.snr_features(b).orderBy("ts").first()
+    assert (r.zones_below, r.zones_above, r.in_zone, r.resistance_price) == (1, 0, True, 99_999.0)
+
+
+def test_mtf_rsi_without_closed_bars_is_the_own_one(spark):
+    b = made_bars(spark, [*range(100, 130), *range(130, 110, -1)])
+    out = recursive.mtf_rsi(b, {"d": (src.resample_bars(b, "1 day"), F.expr("interval 1 day"), 0.6)}, n=5).orderBy("ts").collect()
+    assert all(r.mtf_rsi == pytest.approx(r.rsi) for r in out if r.rsi is not None and r.rsi_d is None)
+    assert all(0 <= r.mtf_rsi <= 100 for r in out if r.mtf_rsi is not None)
