@@ -149,3 +149,21 @@ def prediction_confidence(df: DataFrame, probs: str) -> DataFrame:
 def occ_symbol(root: Column, expiry: Column, kind: Column, strike: Column) -> Column:
     """Option symbol: root, yymmdd, C or P, strike in thousandths on eight places. P19"""
     return F.concat(F.upper(root), F.date_format(expiry, "yyMMdd"), F.upper(F.substring(kind, 1, 1)), F.lpad(F.round(strike * 1000).cast("long").cast("string"), 8, "0"))
+
+
+def averaged_candle_flags(df: DataFrame) -> DataFrame:
+    """Flags of averaged candles (ha_ columns): kind, flat ends, small body, reversal of kind. P03"""
+    o, h, low, c = (F.col(f"ha_{x}") for x in ("open", "high", "low", "close"))
+    kind = F.when(c > o, 1).when(c < o, -1).otherwise(0)
+    df = df.withColumns({"ha_kind": kind, "ha_flat_top": (h == F.greatest(o, c)).cast("int"), "ha_flat_bottom": (low == F.least(o, c)).cast("int"), "ha_body": F.abs(c - o), "ha_small_body": (F.abs(c - o) <= 0.2 * (h - low)).cast("int")})
+    return df.withColumn("ha_reversal", F.when(F.col("ha_kind") != lag("ha_kind"), F.col("ha_kind")).otherwise(0))
+
+
+def binary_to_numeric(df: DataFrame, column: str, yes: tuple[str, ...] = ("yes", "up", "long", "true", "buy"), no: tuple[str, ...] = ("no", "down", "short", "false", "sell"), most: int = 10) -> DataFrame:
+    """Yes and no words as 1 and 0; a column of at most ``most`` other values as their alphabetical places, else unchanged. P18"""
+    values = [r[0] for r in df.select(F.lower(column)).distinct().orderBy(F.lower(column)).limit(most + 1).collect() if r[0] is not None]
+    if all(v in (*yes, *no) for v in values):
+        return df.withColumn(column, F.when(F.lower(column).isin(*yes), 1).when(F.lower(column).isin(*no), 0))
+    if len(values) > most:
+        return df
+    return df.withColumn(column, F.when(F.col(column).isNotNull(), F.array_position(F.array(*map(F.lit, values)), F.lower(column)).cast("int") - 1))

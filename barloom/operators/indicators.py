@@ -322,3 +322,40 @@ def mean_reversion(df: DataFrame, n: int = 20) -> DataFrame:
     mean, sd = roll(F.avg, "close", n), roll(F.stddev_samp, "close", n)
     z = ratio(c - mean, sd)
     return df.withColumns({"mr_z": z, "mr_state": F.when(z > 2, "overbought").when(z < -2, "oversold").when(z.isNotNull(), "neutral"), "mr_expected": ratio(mean - c, c)})
+
+
+def momentum_delta(df: DataFrame, x: str = "rsi") -> DataFrame:
+    """(x - 50) / 50, less what it was 5, 10 and 20 rows before. W29d"""
+    m = (F.col(x) - 50) / 50
+    df = df.withColumn("_m", m)
+    return df.withColumns({f"momentum_delta_{n}": F.col("_m") - lag("_m", n) for n in (5, 10, 20)}).drop("_m")
+
+
+def cross_memory(df: DataFrame, a: str, b: str, n: int = 5) -> DataFrame:
+    """Whether a crossed over or under b within the last n rows. W29n"""
+    df = df.withColumns({"_up": crossed_above(a, b).cast("int"), "_down": crossed_below(a, b).cast("int")})
+    return df.withColumns({"recent_up": F.max("_up").over(last_rows(n)) == 1, "recent_down": F.max("_down").over(last_rows(n)) == 1}).drop("_up", "_down")
+
+
+def confirmed_crossovers(df: DataFrame, fast: int = 5, slow: int = 20) -> DataFrame:
+    """A cross of two means on the row before, shown on this one: it can't vanish any more. W39"""
+    df = df.withColumns({"_f": roll(F.avg, "close", fast), "_s": roll(F.avg, "close", slow)})
+    df = df.withColumn("_x", F.when(crossed_above("_f", "_s"), 1).when(crossed_below("_f", "_s"), -1).otherwise(0))
+    return df.withColumn("confirmed_cross", F.coalesce(lag("_x"), F.lit(0))).drop("_f", "_s", "_x")
+
+
+def adaptive_range(df: DataFrame, n: int = 20, factor: float = 1.5) -> DataFrame:
+    """Rolling extremes widened by a multiple of the mean true range. W29r"""
+    df = df.withColumn("_tr", true_range())
+    atr = roll(F.avg, "_tr", n)
+    top, bottom = roll(F.max, "high", n) + factor * atr, roll(F.min, "low", n) - factor * atr
+    return df.withColumns({"adaptive_high": top, "adaptive_low": bottom, "adaptive_mid": (top + bottom) / 2, "adaptive_width": top - bottom}).drop("_tr")
+
+
+def regime_context(df: DataFrame, n: int = 20) -> DataFrame:
+    """Place in the adaptive range, and changes of its middle and width over 10 and 50 rows. W29q"""
+    df = adaptive_range(df, n)
+    return df.withColumns({
+        "macro_position": ratio(F.col("close") - F.col("adaptive_low"), "adaptive_width"), "mid_roc_10": ratio(diff("adaptive_mid", 10), lag("adaptive_mid", 10)),
+        "mid_roc_50": ratio(diff("adaptive_mid", 50), lag("adaptive_mid", 50)), "width_roc": ratio(diff("adaptive_width", 10), lag("adaptive_width", 10)),
+    })
