@@ -22,14 +22,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import col, discard, row_keys, store, words_of
 
 WIDTH = 5
 #: Bytes of text in a block, rounds of comparisons to centres, and the longest extension of a prefix.
-BLOCK, ROUNDS, LONGEST = 8_000_000, 2, 4
+BLOCK, ROUNDS, LONGEST = 8_000_000, 4, 4
+#: Bits in which a set's tokens leave their parity, by hash: two sets differ in at least as many tokens as they do in bits.
+PARITY = 512
 #: Cost of verifying one token of a set, where scanning one posting costs 1.
 VERIFY = 0.02
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -107,7 +109,8 @@ def _buckets(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 def shingle_sets(docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
     """One row per document: ``doc_id``, ``k1``, ``k2``, ``set_id``, ``n``; for the first of a set in its block that has prefix tokens
-    of frequency 2 or more also ``match``, ``prefix`` (those tokens) and ``tokens`` (the whole set, packed)."""
+    of frequency 2 or more also ``match``, ``prefix`` (those tokens in order), ``shared`` (how many of the set's tokens have
+    frequency 2 or more), ``parity`` (PARITY bits) and ``tokens`` (the whole set, packed)."""
     spark = docs.sparkSession
     rows = docs.select(col(id_col).alias("doc_id"), *row_keys(id_col, text_col), col(text_col).cast("string").cast("binary").alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -147,7 +150,7 @@ def shingle_sets(docs: DataFrame, id_col: str, text_col: str, percent: int) -> D
         firsts = _firsts(sets, ids)
         bucket, _ = _buckets([sets[i] for i in firsts])
         df = np.frombuffer(b"".join(r for _, r in sorted(zip(replies["range"].to_pylist(), replies["df"].to_pylist(), strict=True))), np.uint8)
-        match, prefix, tokens = [None] * len(sets), [None] * len(sets), [None] * len(sets)
+        match, prefix, common, parity, tokens = ([None] * len(sets) for _ in range(5))
         for i in firsts:
             s = sets[i]
             f = df[np.searchsorted(bucket, (s >> np.uint64(32)).astype(np.uint32))]
@@ -155,13 +158,15 @@ def shingle_sets(docs: DataFrame, id_col: str, text_col: str, percent: int) -> D
             m, length = choose_prefix(f[order], percent)
             shared = order[:length][f[order[:length]] > 1]
             if len(shared) >= m:
-                match[i], prefix[i], tokens[i] = m, s[shared].view(np.int64), s.tobytes()
-        return pa.table([block["doc_id"], block["k1"], block["k2"], pa.array(ids, pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array(match, pa.int32()), pa.array(prefix, pa.list_(pa.int64())), pa.array(tokens, pa.binary())], names=["doc_id", "k1", "k2", "set_id", "n", "match", "prefix", "tokens"])
+                match[i], prefix[i], common[i], tokens[i] = m, s[shared].view(np.int64), int((f > 1).sum()), s.tobytes()
+                odd = np.bincount((s % np.uint64(PARITY)).astype(np.int64), minlength=PARITY) & 1
+                parity[i] = np.packbits(odd.astype(np.uint8)).view(np.int64)
+        return pa.table([block["doc_id"], block["k1"], block["k2"], pa.array(ids, pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array(match, pa.int32()), pa.array(prefix, pa.list_(pa.int64())), pa.array(common, pa.int64()), pa.array(parity, pa.list_(pa.int64())), pa.array(tokens, pa.binary())], names=["doc_id", "k1", "k2", "set_id", "n", "match", "prefix", "shared", "parity", "tokens"])
 
     packed = dealt.groupBy("block").applyInArrow(pack, "range int, block int, low binary, high binary, n binary")
     replies = packed.groupBy("range").applyInArrow(frequencies, "block int, range int, df binary")
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return store(dealt.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(prefixes, f"doc_id {kind}, k1 long, k2 long, set_id binary, n long, match int, prefix array<long>, tokens binary"), "sets")
+    return store(dealt.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(prefixes, f"doc_id {kind}, k1 long, k2 long, set_id binary, n long, match int, prefix array<long>, shared long, parity array<long>, tokens binary"), "sets")
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
@@ -185,7 +190,24 @@ def _verified(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return with_sets.select("a", "b", "t_a", "t_b").mapInArrow(verify, "a binary, b binary")
 
 
-def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def _worth(once: bool, percent: int) -> Column:
+    """Whether a posting and another one ``o`` of its token lie in different classes, may link, and don't share the token before.
+
+    At most the lesser number of tokens before, and of those after, can be common too. A pair that shares the token before
+    has met there already. ``once``: of two sides of a pair, one is enough, and their parities bound the tokens in common too.
+    """
+    apart = F.col("label") < F.col("o.label") if once else F.col("label") != F.col("o.label")
+    most = F.least("before", "o.before") + 1 + F.least("after", "o.after")
+    met = F.coalesce(F.col("previous") == F.col("o.previous"), F.lit(False))
+    sizes = F.col("n") + F.col("o.n")
+    worth = apart & ((100 + percent) * most >= percent * sizes) & ~met
+    if once:
+        differ = sum((F.bit_count(F.get("parity", F.lit(i)).bitwiseXOR(F.get("o.parity", F.lit(i)))) for i in range(PARITY // 64)), F.lit(0))
+        worth = worth & ((100 + percent) * (sizes - differ) >= 2 * percent * sizes)
+    return worth
+
+
+def components(edges: DataFrame) -> DataFrame:
     """``node``, ``label``: the least node that edges (a, b) connect to it, for the nodes of any edge.
 
     Each pass hands every node the least label around it and then follows labels of labels, so chains shorten by half.
@@ -216,7 +238,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     sets = shingle_sets(docs, id_col, text_col, percent)
     nodes = store(sets.filter("tokens is not null").dropDuplicates(["set_id"]), "nodes")
-    postings = nodes.select("set_id", F.explode("prefix").alias("token"))
+    # a posting knows what its token leaves open: tokens of frequency 2 or more before and after it, and the one before
+    at = nodes.select("set_id", "n", "shared", "prefix", F.posexplode("prefix").alias("before", "token"))
+    postings = at.select("set_id", "n", "token", F.when(F.col("before") > 0, F.get("prefix", F.col("before") - 1)).alias("previous"), "before", (F.col("shared") - F.col("before") - 1).alias("after"))
     common = postings.groupBy("token").agg(F.count(F.lit(1)).alias("lists")).filter("lists > 1").select("token")
     postings = store(postings.join(common, "token"), "postings")
     edges = tested = None
@@ -225,16 +249,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if labels is None:
             posted = postings.withColumn("label", F.col("set_id"))
         else:
-            posted = postings.join(labels, F.col("set_id") == F.col("node"), "left").select("token", "set_id", F.coalesce("label", "set_id").alias("label"))
+            posted = postings.join(labels, F.col("set_id") == F.col("node"), "left").withColumn("label", F.coalesce("label", "set_id")).drop("node")
             posted = posted.join(posted.groupBy("token").agg((F.min("label") < F.max("label")).alias("open")).filter("open").select("token"), "token")
-        if r < ROUNDS:
-            # the first round's centre is the least node, the second's the greatest
-            pick = F.min if r % 2 == 0 else F.max
-            centre = posted.groupBy("token").agg(pick(F.struct("label", "set_id")).alias("c")).select("token", F.col("c.label").alias("c_label"), F.col("c.set_id").alias("c_set"))
-            found = posted.join(centre, "token").filter(F.col("label") != F.col("c_label")).select(F.least("set_id", "c_set").alias("a"), F.greatest("set_id", "c_set").alias("b"))
+        side = F.struct("label", "set_id", "n", "previous", "before", "after")
+        if r < min(ROUNDS, 2):
+            # centres that many lists share, so that most classes form with few comparisons
+            others = posted.groupBy("token").agg((F.min if r == 0 else F.max)(side).alias("o"))
+        elif r < ROUNDS:
+            # then any member of a list's largest class, another one in each list: who links with it at all soon meets one
+            by_label = posted.groupBy("token", "label").agg(F.count(F.lit(1)).alias("c"), F.min_by(side, F.xxhash64("set_id", "token", F.lit(r))).alias("o"))
+            others = by_label.groupBy("token").agg(F.max_by("o", F.struct("c", "label")).alias("o"))
         else:
-            other = posted.select("token", F.col("set_id").alias("o_set"), F.col("label").alias("o_label"))
-            found = posted.join(other, "token").filter(F.col("label") < F.col("o_label")).select(F.least("set_id", "o_set").alias("a"), F.greatest("set_id", "o_set").alias("b"))
+            posted = posted.join(nodes.select("set_id", "parity"), "set_id")
+            others = posted.select("token", F.struct("label", "set_id", "n", "previous", "before", "after", "parity").alias("o"))
+        found = posted.join(others, (posted["token"] == others["token"]) & _worth(r == ROUNDS, percent)).select(F.least("set_id", "o.set_id").alias("a"), F.greatest("set_id", "o.set_id").alias("b"))
         pairs = found.distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
@@ -242,7 +270,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         linked = store(_verified(pairs, nodes, percent), "linked")
         tested = pairs if tested is None else tested.unionByName(pairs)
         edges = linked if edges is None else edges.unionByName(linked)
-        labels = components(nodes, edges)
+        labels = components(edges)
     found = labels.select(F.col("node").alias("set_id"), "label")
     classes = sets.select("doc_id", "k1", "k2", F.col("n").alias("n_shingles"), "set_id").join(found, "set_id", "left").select("doc_id", "k1", "k2", "n_shingles", F.coalesce("label", "set_id").alias("label"))
     least = classes.groupBy("label").agg(F.min("doc_id").alias("component_id"))
