@@ -83,18 +83,26 @@ class Matcher:
         self.n_windows = self.anchored.count()
         self.index = store(build_index(self.corpus, anchor_terms, n_terms), "index")
         self.aligned = alignments(self.index, self.anchored, 2 * self.n_windows)
-        discard(terms)
+        discard(terms, anchor_terms)
+        self.stored = [self.corpus, self.windows, self.frequency, self.anchored, self.index]
 
     def close(self) -> None:
-        discard(self.corpus, self.windows, self.frequency, self.anchored, self.index)
+        discard(*self.stored)
 
     def phrases(self) -> DataFrame:
-        """``k1``, ``k2``, ``item_id``, ``start`` (word of the document), ``len``: every occurrence of every window."""
+        """``k1``, ``k2``, ``item_id``, ``start`` (word of the document), ``len``: every occurrence of every window, once for each equal row."""
         by_item = self.anchored.groupBy("item_id", "item").agg(F.collect_list(F.struct("start", "len", F.col("anchors.at").alias("at"))).alias("windows"))
         items = self.windows.select("item_id", "item", F.col("words").alias("item_words")).dropDuplicates(["item_id", "item"]).join(by_item, self._same_item(by_item)).select(self.windows["item_id"], self.windows["item"], "item_words", "windows")
         a = self.aligned
         met = a.join(_small(items, self.n_windows), a["item_id"].eqNullSafe(items["item_id"]) & (a["item"] == items["item"])).select("k1", "k2", a["item_id"], "shift", "item_words", F.filter("windows", lambda w: F.size(F.array_except(w["at"], F.col("at"))) == 0).alias("windows")).filter(F.size("windows") > 0)
-        placed = self.corpus.select("k1", "k2", "words").dropDuplicates(["k1", "k2"]).join(met, ["k1", "k2"])
+        met = store(met, "met")
+        self.stored.append(met)
+        n_docs = met.select("k1", "k2").distinct().count()
+        texts = self.corpus.select("k1", "k2", "words")
+        if n_docs <= BROADCAST_ROWS:
+            # keys of documents that are met: only their words are shuffled
+            texts = texts.join(F.broadcast(met.select("k1", "k2").distinct()), ["k1", "k2"], "left_semi")
+        placed = texts.join(met, ["k1", "k2"])
         same = F.filter("windows", lambda w: (F.col("shift") + w["start"] >= 0) & (F.slice("words", F.greatest(F.col("shift") + w["start"], F.lit(0)) + 1, w["len"]) == F.slice("item_words", w["start"] + 1, w["len"])))
         return placed.select("k1", "k2", "item_id", "shift", F.explode(same).alias("w")).select("k1", "k2", "item_id", (F.col("shift") + F.col("w.start")).alias("start"), F.col("w.len").alias("len"))
 
