@@ -51,17 +51,20 @@ def remove_repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: st
     """
     cut = chunked(docs, id_col, text_col)
     several = F.filter("chunks", lambda c: c["n"] >= LEAST)
-    hashes = cut.select("k1", "k2", "lines", "chunks", F.explode(several).alias("chunk")).select(F.xxhash64(_text_of(F.col("chunk"))).alias("hash"))
-    repeated = hashes.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("hash")
-    placed = cut.select("doc_id", "k1", "k2", "lines", "chunks", F.explode(several).alias("chunk")).select("doc_id", "k1", "k2", F.col("chunk.start").alias("start"), F.col("chunk.n").alias("n"), _text_of(F.col("chunk")).alias("passage"))
-    placed = placed.withColumn("hash", F.xxhash64("passage")).join(repeated, "hash")
+    placed = cut.select("k1", "k2", "lines", "chunks", F.explode(several).alias("chunk")).select("k1", "k2", F.col("chunk.start").alias("start"), F.col("chunk.n").alias("n"), F.xxhash64(_text_of(F.col("chunk"))).alias("hash"))
+    repeated = placed.groupBy("hash").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("hash")
+    asked = placed.join(repeated, "hash").groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "n", "hash")).alias("asked"))
+    # one exchange of the texts by row serves both joins
+    text = col(text_col).cast("string")
+    whole = docs.select(col(id_col).alias("doc_id"), *row_keys(id_col, text_col), text.alias("text"), *map(col, carry))
+    met = whole.select("doc_id", "k1", "k2", "text").join(asked, ["k1", "k2"]).select("doc_id", "k1", "k2", "asked", F.split("text", "\n", -1).alias("lines"))
+    passages = met.select("doc_id", "k1", "k2", "lines", F.explode("asked").alias("chunk")).select("doc_id", "k1", "k2", "chunk.start", "chunk.n", "chunk.hash", _text_of(F.col("chunk")).alias("passage"))
     order = F.struct(F.col("doc_id").isNotNull().alias("named"), "doc_id", "k1", "k2", "start")
     # grouping by the passage itself is the comparison of bytes
-    first = placed.groupBy("hash", "passage").agg(F.min(order).alias("first"))
-    gone = placed.join(first, ["hash", "passage"]).filter(order > F.col("first")).select("k1", "k2", "start", "n").distinct()
+    first = passages.groupBy("hash", "passage").agg(F.min(order).alias("first"))
+    gone = passages.join(first, ["hash", "passage"]).filter(order > F.col("first")).select("k1", "k2", "start", "n").distinct()
     by_doc = gone.groupBy("k1", "k2").agg(F.sort_array(F.collect_list(F.struct("start", "n"))).alias("removed"))
-    text = col(text_col).cast("string")
-    whole = docs.select(col(id_col).alias("doc_id"), *row_keys(id_col, text_col), text.alias("text"), *map(col, carry)).join(by_doc, ["k1", "k2"], "left")
+    whole = whole.join(by_doc, ["k1", "k2"], "left")
     none = F.array().cast("array<struct<start:int,n:int>>")
     own = ["doc_id", "text", *carry]
     lines = whole.select(*own, F.coalesce("removed", none).alias("removed"), F.split(F.coalesce("text", F.lit("")), "\n", -1).alias("lines"))
