@@ -12,7 +12,7 @@ from .common import crc_mod
 from .decontaminate import contamination
 from .jaccard_join import near_duplicates
 from .language_id import fit_language_model, identify
-from .line_dedup import remove_repeated_chunks
+from .line_dedup import remove_repeated_chunks, remove_repeated_passages
 from .packing import best_fit_pack
 from .pii import detect_pii, span_digest
 from .substring_dedup import remove_repeats
@@ -75,12 +75,17 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_lines", "n_removed", F.size("removed").cast("long").alias("n_chunks_removed"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
+def op9_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = remove_repeated_passages(table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_lines", "n_removed", F.size("removed").cast("long").alias("n_runs_removed"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
 def op10_vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_pii, op2_language_id, op3_lm_score, op4_jaccard_join, op5_decontamination, op6_token_counts, op7_best_fit_packing, op8_substring_dedup, op9_line_dedup, op10_vector_topk)
+    ops = (op1_pii, op2_language_id, op3_lm_score, op4_jaccard_join, op5_decontamination, op6_token_counts, op7_best_fit_packing, op8_substring_dedup, op9_line_dedup, op9_passage_dedup, op10_vector_topk)
     return {f.__name__: f for f in ops}
 
 

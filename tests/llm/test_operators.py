@@ -430,6 +430,52 @@ def test_lines(docs, rows):
     assert sum(x[-1] for x in want) > 20
 
 
+def cut_passages(data, over=50):
+    """All runs of lines of more than ``over`` words, by brute force."""
+    order = lambda i, t: (i is not None, i if i is not None else 0)
+    first, runs = {}, defaultdict(list)
+    for i, t in {(i, t) for i, t, _ in data}:
+        lines = (t or "").split("\n")
+        if len(lines) > 200 or len(words(t)) <= over:
+            continue
+        for a in range(len(lines)):
+            for b in range(a + 1, len(lines) + 1):
+                p = "\n".join(lines[a:b])
+                if len(words(p)) > over and words(lines[a]) and words(lines[b - 1]):
+                    runs[i, t].append((a, b, p))
+                    first[p] = min(first.get(p, (order(i, t), t or "", a)), (order(i, t), t or "", a))
+    out = []
+    for i, t, _ in data:
+        # of a run that overlaps its own first occurrence, only what lies behind that goes
+        begin = lambda a, b, p: max(a, first[p][2] + b - a) if first[p][:2] == (order(i, t), t or "") else a  # noqa: B023, E731
+        gone = {k for a, b, p in runs[i, t] if (order(i, t), t or "", a) > first[p] for k in range(begin(a, b, p), b)}
+        out.append((i, t if not gone else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone), len(gone)))
+    return out
+
+
+def test_passages(docs, rows):
+    got = line_dedup.remove_repeated_passages(docs, carry=("source",)).collect()
+    same([(r.doc_id, r.text, r.n_removed) for r in got], cut_passages(rows))
+    assert all(sum(x.n for x in r.removed) == r.n_removed for r in got)
+
+
+def test_planted_passages_go_whole(spark):
+    line = lambda name, n: " ".join(f"{name}{k}" for k in range(n))
+    data, want = [], []
+    for n in (1, 2, 3, 4, 5):
+        passage = [line(f"p{n}x{k}w", 60 // n + 1) for k in range(n)]
+        for copy in range(3):
+            i = 10 * n + copy
+            above, below = [line(f"a{i}w", 4), line(f"b{i}w", 30)], [line(f"c{i}w", 20)]
+            data.append((i, "\n".join([*above, *passage, *below])))
+            want.append((i, "\n".join([*above, *(passage if not copy else []), *below]), n if copy else 0))
+    # fifty words are too few; a passage that overlaps its own repetition stays once
+    data += [(100, line("s", 50)), (101, line("s", 50)), (102, "\n".join([line("q", 10)] * 20))]
+    want += [(100, line("s", 50), 0), (101, line("s", 50), 0), (102, "\n".join([line("q", 10)] * 6), 14)]
+    got = line_dedup.remove_repeated_passages(spark.createDataFrame(data, "doc_id long, text string"))
+    same([(r.doc_id, r.text, r.n_removed) for r in got.collect()], want)
+
+
 # --- vectors ----------------------------------------------------------------------------------------------------------
 
 
