@@ -3,7 +3,7 @@
 Features are the 1- to 3-grams of the lower-cased text's code points, hashed into ``2**BITS`` buckets, weighted
 (1 + ln count) * idf and scaled to length 1. Document frequencies are counted over every training text. The weights are
 learned by follow-the-regularised-leader with elastic-net penalties (most stay exactly 0) on a bounded sample: at most
-``per_class`` texts of each language, those with the smallest hashes. One fifth of the sample only sets the temperature
+``per_class`` distinct texts of each language, those with the smallest hashes. One fifth of the sample only sets the temperature
 that makes the softmax a calibrated probability.
 """
 
@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import col, per_text
@@ -110,12 +110,33 @@ class LanguageModel:
         return langs, scores
 
 
+def training_sample(rows: DataFrame, per_class: int, max_classes: int) -> DataFrame | None:
+    """Of each ``lang`` the ``per_class`` distinct ``text``s with a letter whose hashes are smallest, or all if there are fewer; None without any.
+
+    Copies and letterless texts count for nothing, so the sample depends on the distinct texts alone.
+    """
+    h = F.xxhash64("text")
+    hashed = rows.filter(F.col("text").rlike(r"\p{L}")).select("lang", "text", h.alias("h"))
+    per_lang = hashed.select("lang", "h").distinct().groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    sizes = per_lang.limit(max_classes + 1).collect()
+    if len(sizes) > max_classes:
+        raise ValueError(f"more than {max_classes} languages among the labels")
+    if not sizes:
+        return None
+    # the lowest part of the hash range, with twice the wanted texts: only those are grouped and sorted
+    parts = [(r["lang"], min(1 << 20, (per_class * 2 * (1 << 20)) // r["n"] + 1)) for r in sizes]
+    part = F.broadcast(rows.sparkSession.createDataFrame(parts, "lang string, part long"))
+    low = hashed.join(part, "lang").filter(F.shiftright("h", 44) + (1 << 19) < F.col("part"))
+    once = low.groupBy("lang", "h").agg(F.min("text").alias("text"))
+    ranked = once.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h")))
+    return ranked.filter(F.col("rank") <= per_class).select("lang", "text")
+
+
 def fit_language_model(train: DataFrame, text_col: str = "text", lang_col: str = "lang", per_class: int = 600, epochs: int = 3, max_classes: int = 400) -> LanguageModel:
     """Learn from the rows whose text has a letter and whose label is not null; other rows are left out.
 
-    ``per_class`` bounds the sample that the weights are fitted on; document frequencies cover all rows. Ties and
-    repeated rows: equal texts share a hash, and any of them may fill the last places, which can't change the features.
-    An empty table gives a model that answers ``und``. Only the sample and 2**BITS counts come to the driver.
+    ``per_class`` bounds the sample that the weights are fitted on, in distinct texts; document frequencies cover all
+    rows, copies included. More than ``max_classes`` languages are an error. An empty table gives a model that answers ``und``. Only the sample and 2**BITS counts come to the driver.
     """
     rows = train.select(col(lang_col).cast("string").alias("lang"), col(text_col).cast("string").alias("text")).filter("lang is not null and text is not null")
 
@@ -137,13 +158,7 @@ def fit_language_model(train: DataFrame, text_col: str = "text", lang_col: str =
     df[counts["bucket"].to_numpy(np.int64)] = counts["n"].to_numpy(np.float64)
     idf = np.log((1 + n_docs) / (1 + df)) + 1
 
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(max_classes).collect()}
-    picked = None
-    for lang, n in sorted(sizes.items()):
-        # a share of the hash range with twice the wanted texts first, so that only those are sorted
-        share = F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < F.lit(min(1 << 20, (per_class * 2 * (1 << 20)) // n + 1))
-        some = rows.filter((F.col("lang") == lang) & share).orderBy(F.xxhash64("text")).limit(per_class)
-        picked = some if picked is None else picked.unionByName(some)
+    picked = training_sample(rows, per_class, max_classes)
     if picked is None:
         return LanguageModel([], idf, np.zeros((1 << BITS, 0)), 1.0)
 

@@ -102,6 +102,20 @@ def test_language_empty(spark, docs):
     assert language_id.identify(fixtures.empty(docs), model).count() == 0
 
 
+def test_language_sample_of_copies(spark):
+    # few distinct texts among many copies and letterless rows: each language still yields all it can
+    data = [("aa", "uno due tre")] * 5000 + [("aa", f"quattro cinque {i}") for i in range(29)] + [("aa", str(i)) for i in range(500)]
+    data += [("bb", f"one two three {i}") for i in range(3000)] + [("cc", "eins zwei"), ("cc", "drei vier"), ("dd", "123")]
+    rows = spark.createDataFrame(data, "lang string, text string")
+    got = [(r.lang, r.text) for r in language_id.training_sample(rows, 20, 400).collect()]
+    assert len(set(got)) == len(got) and Counter(k for k, _ in got) == {"aa": 20, "bb": 20, "cc": 2}
+    more = rows.unionByName(rows.filter("text = 'uno due tre'"))
+    same([(r.lang, r.text) for r in language_id.training_sample(more, 20, 400).collect()], got)
+    assert language_id.fit_language_model(rows, per_class=20).languages == ["aa", "bb", "cc"]
+    with pytest.raises(ValueError, match="more than 2 languages"):
+        language_id.fit_language_model(rows, max_classes=2)
+
+
 def test_temperature_calibrates():
     rng = np.random.default_rng(1)
     y = rng.integers(0, 3, 4000)
