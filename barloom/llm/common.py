@@ -15,11 +15,13 @@ _local_dir: str | None = None
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, or a temporary one where it is unset."""
+    """The folder that the driver and all executors share: spark.checkpoint.dir, or, in local mode, a temporary one where it is unset."""
     global _local_dir
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
     if _local_dir is None:
         _local_dir = tempfile.mkdtemp(prefix="barloom-")
     return f"file://{_local_dir}"

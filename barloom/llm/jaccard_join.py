@@ -7,12 +7,15 @@ fewer candidates; the l of least estimated cost wins, and a pair has to share as
 two l. Only then are the sets compared in full.
 
 Frequencies cover all documents without a row for each token: documents are dealt into blocks; each block sends its token
-hashes, packed, to reducers by hash range, and they send the frequencies back packed alike. Tokens of frequency 1 can't
-match and are never posted.
+hashes, packed, to reducers by hash range, and they send the exact frequencies back packed alike. They are counted by the
+upper 48 bits of a token; tokens alike in those only share a place in the order. Tokens of frequency 1 can't match and are
+never posted.
 
 Copies collapse first (equal sets are one node). Then, instead of all pairs of a posting list, its members are compared to
-one centre; linked ones become a component, and the next round compares only across components. What is left of the lists
-after ``ROUNDS`` rounds is compared in full, so no link between components is lost, and pairs within one are never listed.
+one centre: at first the one with the fewest tokens that stand nowhere else; linked ones become a component, and the next
+rounds compare only across components. A member that can reach the threshold with no member of another component, by the
+tokens that the list's place leaves open and the least size there, leaves the list. What is left after ``ROUNDS`` rounds is
+compared in full, in cells of bounded size, so no link between components is lost, and pairs within one are never listed.
 """
 
 from __future__ import annotations
@@ -25,45 +28,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, discard, row_keys, store, words_of
+from . import hashing
+from .common import col, discard, row_keys, store
 
 WIDTH = 5
-#: Bytes of text in a block, rounds of comparisons to centres, and the longest extension of a prefix.
-BLOCK, ROUNDS, LONGEST = 8_000_000, 4, 4
+#: Bytes of text in a block, rounds of comparisons to centres, the longest extension of a prefix, and members of a cell.
+BLOCK, ROUNDS, LONGEST, CELL = 16_000_000, 3, 4, 256
 #: Bits in which a set's tokens leave their parity, by hash: two sets differ in at least as many tokens as they do in bits.
 PARITY = 512
 #: Cost of verifying one token of a set, where scanning one posting costs 1.
 VERIFY = 0.02
-_MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
-
-
-def _mix(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    return h ^ (h >> np.uint64(29))
-
-
-class Shingler:
-    """64-bit hashes of the distinct shingles of a text, ascending; a text of fewer words is one shingle."""
-
-    def __init__(self, width: int = WIDTH):
-        self.width = width
-        self.words: dict[bytes, int] = {}
-
-    def __call__(self, text: bytes | None) -> np.ndarray:
-        words = words_of(text)
-        if not words:
-            return np.zeros(0, np.uint64)
-        if len(self.words) > 300_000:
-            self.words.clear()
-        known, hash_of = self.words, xxhash.xxh3_64_intdigest
-        for w in set(words).difference(known):
-            known[w] = hash_of(w)
-        code = np.array([known[w] for w in words], np.uint64)
-        width = min(self.width, len(code))
-        h = np.full(len(code) - width + 1, width, np.uint64)
-        for i in range(width):
-            h = _mix(h * _MULTIPLIER + code[i : len(code) - width + 1 + i])
-        return np.unique(h)
 
 
 def prefix_length(size: np.ndarray | int, match: int, percent: int) -> np.ndarray | int:
@@ -86,49 +60,45 @@ def choose_prefix(df: np.ndarray, percent: int) -> tuple[int, int]:
     return best[1], best[2]
 
 
-def _sets_of(texts: list[bytes | None]) -> tuple[list[np.ndarray], list[bytes]]:
-    shingle = Shingler()
-    sets = [shingle(t) for t in texts]
-    return sets, [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
+class Block:
+    """The sets of a block's texts: ``tokens`` ascending within each, ``at`` where they begin, ``ids`` that name them, ``firsts`` the rows that are the first with their set."""
 
+    def __init__(self, texts: pa.ChunkedArray):
+        self.tokens, self.at = hashing.shingle_sets(*hashing.buffers(texts), WIDTH)
+        self.ids = [xxhash.xxh3_128_digest(self.of(i)) for i in range(len(self.at) - 1)]
+        seen: dict[bytes, int] = {}
+        for i, (s, size) in enumerate(zip(self.ids, np.diff(self.at).tolist(), strict=True)):
+            if size:
+                seen.setdefault(s, i)
+        self.firsts = sorted(seen.values())
 
-def _firsts(sets: list[np.ndarray], ids: list[bytes]) -> list[int]:
-    """Rows that are the first with their set, empty sets left out."""
-    seen: dict[bytes, int] = {}
-    for i, s in enumerate(ids):
-        if len(sets[i]):
-            seen.setdefault(s, i)
-    return sorted(seen.values())
+    def of(self, i: int) -> np.ndarray:
+        return self.tokens[self.at[i] : self.at[i + 1]]
 
-
-def _buckets(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct 32-bit buckets of all tokens, ascending, and how many sets have each."""
-    tops = [np.unique((s >> np.uint64(32)).astype(np.uint32)) for s in sets]
-    return np.unique(np.concatenate(tops) if tops else np.zeros(0, np.uint32), return_counts=True)
+    def buckets(self) -> tuple[np.ndarray, np.ndarray]:
+        """Upper 48 bits of the first sets' tokens, ascending, and how many sets have each."""
+        return np.unique(np.concatenate([self.of(i) for i in self.firsts] or [self.tokens[:0]]) >> np.uint64(16), return_counts=True)
 
 
 def shingle_sets(docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
     """One row per document: ``doc_id``, ``k1``, ``k2``, ``set_id``, ``n``; for the first of a set in its block that has prefix tokens
     of frequency 2 or more also ``match``, ``prefix`` (those tokens in order), ``shared`` (how many of the set's tokens have
     frequency 2 or more), ``parity`` (PARITY bits) and ``tokens`` (the whole set, packed)."""
-    spark = docs.sparkSession
     rows = docs.select(col(id_col).alias("doc_id"), *row_keys(id_col, text_col), col(text_col).cast("string").cast("binary").alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_blocks = max(1, -(-size // BLOCK))
-    ranges = max(1, min(n_blocks, 1 << 16))
+    ranges = min(n_blocks, 1 << 16)
     dealt = rows.withColumn("block", F.pmod("k1", F.lit(n_blocks)).cast("int")).repartition(n_blocks, "block")
-    edges = (np.arange(ranges + 1, dtype=np.uint64) * np.uint64(1 << 32) // np.uint64(ranges)).astype(np.int64)
+    edges = np.array([(1 << 48) * r // ranges for r in range(ranges + 1)], np.uint64)
 
     def pack(block: pa.Table) -> pa.Table:
-        sets, ids = _sets_of(block["text"].to_pylist())
-        bucket, n = _buckets([sets[i] for i in _firsts(sets, ids)])
+        bucket, n = Block(block["text"]).buckets()
         cuts = np.searchsorted(bucket, edges)
         out = []
-        for r in range(ranges):
-            b = bucket[cuts[r] : cuts[r + 1]].astype(np.int64) - edges[r]
-            if len(b):
-                high = np.bincount(b >> 16, minlength=1).astype(np.uint32)
-                out.append((r, (b & 0xFFFF).astype(np.uint16).tobytes(), high.tobytes(), np.minimum(n[cuts[r] : cuts[r + 1]], 255).astype(np.uint8).tobytes()))
+        for r in np.flatnonzero(np.diff(cuts)).tolist():
+            b = bucket[cuts[r] : cuts[r + 1]] - edges[r]
+            high = np.bincount((b >> np.uint64(32)).astype(np.int64), minlength=1).astype(np.uint32)
+            out.append((r, b.astype(np.uint32).tobytes(), high.tobytes(), n[cuts[r] : cuts[r + 1]].astype(np.uint32).tobytes()))
         cols = list(zip(*out, strict=True)) if out else [[], [], [], []]
         number = block["block"][0].as_py() if len(block) else 0
         return pa.table([pa.array(cols[0], pa.int32()), pa.array([number] * len(out), pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], names=["range", "block", "low", "high", "n"])
@@ -137,31 +107,34 @@ def shingle_sets(docs: DataFrame, id_col: str, text_col: str, percent: int) -> D
         tokens, sums = [], []
         for low, high, n in zip(group["low"].to_pylist(), group["high"].to_pylist(), group["n"].to_pylist(), strict=True):
             counts = np.frombuffer(high, np.uint32)
-            tokens.append((np.repeat(np.arange(len(counts), dtype=np.int64), counts) << 16) | np.frombuffer(low, np.uint16))
-            sums.append(np.frombuffer(n, np.uint8))
-        key, at = np.unique(np.concatenate(tokens), return_inverse=True)
-        df = np.minimum(np.bincount(at, weights=np.concatenate(sums)), 255).astype(np.uint8)[at]
+            tokens.append((np.repeat(np.arange(len(counts), dtype=np.int64), counts) << 32) | np.frombuffer(low, np.uint32))
+            sums.append(np.frombuffer(n, np.uint32))
+        _, at = np.unique(np.concatenate(tokens), return_inverse=True)
+        df = np.bincount(at, weights=np.concatenate(sums)).astype(np.uint32)[at]
         ends = np.cumsum([len(t) for t in tokens])
         replies = [df[e - len(t) : e].tobytes() for t, e in zip(tokens, ends, strict=True)]
         return pa.table([group["block"], group["range"], pa.array(replies, pa.binary())], names=["block", "range", "df"])
 
-    def prefixes(block: pa.Table, replies: pa.Table) -> pa.Table:
-        sets, ids = _sets_of(block["text"].to_pylist())
-        firsts = _firsts(sets, ids)
-        bucket, _ = _buckets([sets[i] for i in firsts])
-        df = np.frombuffer(b"".join(r for _, r in sorted(zip(replies["range"].to_pylist(), replies["df"].to_pylist(), strict=True))), np.uint8)
-        match, prefix, common, parity, tokens = ([None] * len(sets) for _ in range(5))
-        for i in firsts:
-            s = sets[i]
-            f = df[np.searchsorted(bucket, (s >> np.uint64(32)).astype(np.uint32))]
+    def prefixes(texts: pa.Table, replies: pa.Table) -> pa.Table:
+        block = Block(texts["text"])
+        bucket, _ = block.buckets()
+        df = np.frombuffer(b"".join(r for _, r in sorted(zip(replies["range"].to_pylist(), replies["df"].to_pylist(), strict=True))), np.uint32)
+        match, prefix, common, parity, tokens = ([None] * len(block.ids) for _ in range(5))
+        for i in block.firsts:
+            s = block.of(i)
+            f = df[np.searchsorted(bucket, s >> np.uint64(16))]
+            n_shared = int((f > 1).sum())
+            # tokens of frequency 1 come first: none of the prefix is shared where they fill it
+            if n_shared <= len(s) - min(len(s), prefix_length(len(s), LONGEST, percent)):
+                continue
             order = np.lexsort((s, f))
             m, length = choose_prefix(f[order], percent)
             shared = order[:length][f[order[:length]] > 1]
             if len(shared) >= m:
-                match[i], prefix[i], common[i], tokens[i] = m, s[shared].view(np.int64), int((f > 1).sum()), s.tobytes()
+                match[i], prefix[i], common[i], tokens[i] = m, s[shared].view(np.int64), n_shared, s.tobytes()
                 odd = np.bincount((s % np.uint64(PARITY)).astype(np.int64), minlength=PARITY) & 1
                 parity[i] = np.packbits(odd.astype(np.uint8)).view(np.int64)
-        return pa.table([block["doc_id"], block["k1"], block["k2"], pa.array(ids, pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array(match, pa.int32()), pa.array(prefix, pa.list_(pa.int64())), pa.array(common, pa.int64()), pa.array(parity, pa.list_(pa.int64())), pa.array(tokens, pa.binary())], names=["doc_id", "k1", "k2", "set_id", "n", "match", "prefix", "shared", "parity", "tokens"])
+        return pa.table([texts["doc_id"], texts["k1"], texts["k2"], pa.array(block.ids, pa.binary()), pa.array(np.diff(block.at), pa.int64()), pa.array(match, pa.int32()), pa.array(prefix, pa.list_(pa.int64())), pa.array(common, pa.int64()), pa.array(parity, pa.list_(pa.int64())), pa.array(tokens, pa.binary())], names=["doc_id", "k1", "k2", "set_id", "n", "match", "prefix", "shared", "parity", "tokens"])
 
     packed = dealt.groupBy("block").applyInArrow(pack, "range int, block int, low binary, high binary, n binary")
     replies = packed.groupBy("range").applyInArrow(frequencies, "block int, range int, df binary")
@@ -190,21 +163,52 @@ def _verified(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return with_sets.select("a", "b", "t_a", "t_b").mapInArrow(verify, "a binary, b binary")
 
 
-def _worth(once: bool, percent: int) -> Column:
+def _may_link(n: Column, other_n: Column, before: Column, other_before: Column, after: Column, other_after: Column, percent: int) -> Column:
+    """Whether two sets can reach the threshold that meet at a token with so many shared tokens before and after it.
+
+    At most the lesser number of tokens before, and of those after, can be common too.
+    """
+    most = F.least(before, other_before) + 1 + F.least(after, other_after)
+    return (100 + percent) * most >= percent * (n + other_n)
+
+
+def _worth(percent: int) -> Column:
     """Whether a posting and another one ``o`` of its token lie in different classes, may link, and don't share the token before.
 
-    At most the lesser number of tokens before, and of those after, can be common too. A pair that shares the token before
-    has met there already. ``once``: of two sides of a pair, one is enough, and their parities bound the tokens in common too.
+    A pair that shares the token before has met there already.
     """
-    apart = F.col("label") < F.col("o.label") if once else F.col("label") != F.col("o.label")
-    most = F.least("before", "o.before") + 1 + F.least("after", "o.after")
     met = F.coalesce(F.col("previous") == F.col("o.previous"), F.lit(False))
-    sizes = F.col("n") + F.col("o.n")
-    worth = apart & ((100 + percent) * most >= percent * sizes) & ~met
-    if once:
-        differ = sum((F.bit_count(F.get("parity", F.lit(i)).bitwiseXOR(F.get("o.parity", F.lit(i)))) for i in range(PARITY // 64)), F.lit(0))
-        worth = worth & ((100 + percent) * (sizes - differ) >= 2 * percent * sizes)
-    return worth
+    return (F.col("label") != F.col("o.label")) & _may_link(F.col("n"), F.col("o.n"), F.col("before"), F.col("o.before"), F.col("after"), F.col("o.after"), percent) & ~met
+
+
+def _open(posted: DataFrame, percent: int) -> DataFrame:
+    """The postings that may link with another one of their list in a different class; lists of one class go."""
+    most = lambda c: F.max(c).alias(f"most_{c}")
+    classes = posted.groupBy("token", "label").agg(F.min("n").alias("n"), F.max("before").alias("before"), F.max("after").alias("after"))
+    # the least size in the list, the class that has it, and the least size in any other class
+    lists = classes.groupBy("token").agg(F.min(F.struct("n", "label")).alias("least"), F.count(F.lit(1)).alias("n_classes"), most("before"), most("after")).filter("n_classes > 1")
+    second = classes.join(lists.select("token", "least"), "token").filter(F.col("label") != F.col("least.label")).groupBy("token").agg(F.min("n").alias("second"))
+    bounds = lists.join(second, "token")
+    # whichever is greater: the least size of another class, or what the threshold asks of a partner's size
+    partner = F.greatest(F.when(F.col("label") == F.col("least.label"), F.col("second")).otherwise(F.col("least.n")), F.floor((percent * F.col("n") + 99) / 100))
+    may = _may_link(F.col("n"), partner, F.col("before"), F.col("most_before"), F.col("after"), F.col("most_after"), percent)
+    return posted.join(bounds, "token").filter(may).select(posted.columns)
+
+
+def _all_pairs(posted: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) that may link across classes, of every list, in cells of about CELL by CELL members."""
+    sizes = posted.groupBy("token").agg(F.count(F.lit(1)).alias("members")).filter("members > 1").select("token", F.ceil(F.col("members") / CELL).cast("int").alias("parts"))
+    dealt = posted.join(sizes, "token").join(nodes.select("set_id", "parity"), "set_id").withColumn("part", F.pmod(F.xxhash64("set_id"), F.col("parts")).cast("int"))
+    side = F.struct("label", "set_id", "n", "previous", "before", "after", "parity")
+    left = dealt.withColumn("with", F.explode(F.sequence("part", F.col("parts") - 1)))
+    right = dealt.select(F.col("token").alias("o_token"), side.alias("o"), F.col("part").alias("o_with"), F.explode(F.sequence(F.lit(0), "part")).alias("o_part"))
+    once = (F.col("part") < F.col("with")) | (F.col("set_id") < F.col("o.set_id"))
+    # parities bound the tokens in common too
+    differ = sum((F.bit_count(F.get("parity", F.lit(i)).bitwiseXOR(F.get("o.parity", F.lit(i)))) for i in range(PARITY // 64)), F.lit(0))
+    both = F.col("n") + F.col("o.n")
+    near = (100 + percent) * (both - differ) >= 2 * percent * both
+    found = left.join(right, (left["token"] == right["o_token"]) & (left["part"] == right["o_part"]) & (left["with"] == right["o_with"]) & once & _worth(percent) & near)
+    return found.select(F.least("set_id", "o.set_id").alias("a"), F.greatest("set_id", "o.set_id").alias("b"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -236,41 +240,50 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     text has no shingle, links with nothing and is its own class; an empty table gives no rows. Ties don't matter: the
     result is the exact set of links' closure. Texts of any length are read whole; other columns are not read.
     """
-    sets = shingle_sets(docs, id_col, text_col, percent)
-    nodes = store(sets.filter("tokens is not null").dropDuplicates(["set_id"]), "nodes")
+    stored = shingle_sets(docs, id_col, text_col, percent)
+    sets = store(stored.select("doc_id", "k1", "k2", "set_id", "n"), "ids")
+    nodes = store(stored.filter("tokens is not null").drop("doc_id", "k1", "k2").dropDuplicates(["set_id"]), "nodes")
+    discard(stored)
     # a posting knows what its token leaves open: tokens of frequency 2 or more before and after it, and the one before
     at = nodes.select("set_id", "n", "shared", "prefix", F.posexplode("prefix").alias("before", "token"))
     postings = at.select("set_id", "n", "token", F.when(F.col("before") > 0, F.get("prefix", F.col("before") - 1)).alias("previous"), "before", (F.col("shared") - F.col("before") - 1).alias("after"))
     common = postings.groupBy("token").agg(F.count(F.lit(1)).alias("lists")).filter("lists > 1").select("token")
     postings = store(postings.join(common, "token"), "postings")
-    edges = tested = None
+    tested: list[DataFrame] = []
     labels = None
     for r in range(ROUNDS + 1):
         if labels is None:
             posted = postings.withColumn("label", F.col("set_id"))
         else:
             posted = postings.join(labels, F.col("set_id") == F.col("node"), "left").withColumn("label", F.coalesce("label", "set_id")).drop("node")
-            posted = posted.join(posted.groupBy("token").agg((F.min("label") < F.max("label")).alias("open")).filter("open").select("token"), "token")
+            posted = store(_open(posted, percent), "postings")
+            discard(postings)
+            postings = posted.drop("label")
+            postings.barloom_path = posted.barloom_path
         side = F.struct("label", "set_id", "n", "previous", "before", "after")
-        if r < min(ROUNDS, 2):
-            # centres that many lists share, so that most classes form with few comparisons
-            others = posted.groupBy("token").agg((F.min if r == 0 else F.max)(side).alias("o"))
-        elif r < ROUNDS:
-            # then any member of a list's largest class, another one in each list: who links with it at all soon meets one
-            by_label = posted.groupBy("token", "label").agg(F.count(F.lit(1)).alias("c"), F.min_by(side, F.xxhash64("set_id", "token", F.lit(r))).alias("o"))
-            others = by_label.groupBy("token").agg(F.max_by("o", F.struct("c", "label")).alias("o"))
+        if r == ROUNDS:
+            found = _all_pairs(posted, nodes, percent)
         else:
-            posted = posted.join(nodes.select("set_id", "parity"), "set_id")
-            others = posted.select("token", F.struct("label", "set_id", "n", "previous", "before", "after", "parity").alias("o"))
-        found = posted.join(others, (posted["token"] == others["token"]) & _worth(r == ROUNDS, percent)).select(F.least("set_id", "o.set_id").alias("a"), F.greatest("set_id", "o.set_id").alias("b"))
+            if r == 0:
+                # the member with the fewest tokens of its own: what the others are edited copies of, if that is among them
+                own = F.col("n") - F.col("before") - F.col("after")
+                others = posted.groupBy("token").agg(F.min_by(side, F.struct(own, "n", "set_id")).alias("o"))
+            else:
+                # then any member of a list's largest class, another one in each list: who links with it at all soon meets one
+                by_label = posted.groupBy("token", "label").agg(F.count(F.lit(1)).alias("c"), F.min_by(side, F.xxhash64("set_id", "token", F.lit(r))).alias("o"))
+                others = by_label.groupBy("token").agg(F.max_by("o", F.struct("c", "label")).alias("o"))
+            found = posted.join(others, (posted["token"] == others["token"]) & _worth(percent)).select(F.least("set_id", "o.set_id").alias("a"), F.greatest("set_id", "o.set_id").alias("b"))
         pairs = found.distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+        for t in tested:
+            pairs = pairs.join(t, ["a", "b"], "left_anti")
         pairs = store(pairs, "pairs")
         linked = store(_verified(pairs, nodes, percent), "linked")
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        edges = linked if edges is None else edges.unionByName(linked)
-        labels = components(edges)
+        tested.append(pairs)
+        # what was connected before is one star for each class
+        edges = linked if labels is None else linked.unionByName(labels.filter("node <> label").select(F.col("node").alias("a"), F.col("label").alias("b")))
+        before, labels = labels, components(edges)
+        discard(linked, *([before] if before is not None else []))
+    discard(postings, nodes, *tested)
     found = labels.select(F.col("node").alias("set_id"), "label")
     classes = sets.select("doc_id", "k1", "k2", F.col("n").alias("n_shingles"), "set_id").join(found, "set_id", "left").select("doc_id", "k1", "k2", "n_shingles", F.coalesce("label", "set_id").alias("label"))
     least = classes.groupBy("label").agg(F.min("doc_id").alias("component_id"))
