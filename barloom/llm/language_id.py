@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -136,7 +137,8 @@ def fit_language_model(train: DataFrame, text_col: str = "text", lang_col: str =
     """Learn from the rows whose text has a letter and whose label is not null; other rows are left out.
 
     ``per_class`` bounds the sample that the weights are fitted on, in distinct texts; document frequencies cover all
-    rows, copies included. More than ``max_classes`` languages are an error. An empty table gives a model that answers ``und``. Only the sample and 2**BITS counts come to the driver.
+    rows, copies included. More than ``max_classes`` languages are an error. An empty table gives a model that answers ``und``. One task learns from the sample;
+    only its weights and 2**BITS counts come to the driver.
     """
     rows = train.select(col(lang_col).cast("string").alias("lang"), col(text_col).cast("string").alias("text")).filter("lang is not null and text is not null")
 
@@ -151,36 +153,45 @@ def fit_language_model(train: DataFrame, text_col: str = "text", lang_col: str =
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(df[at], total))], names=["bucket", "n"])
 
-    counts = rows.select("text").mapInArrow(frequencies, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
-    n_docs = int(counts["n"][counts["bucket"] == -1].sum())
-    counts = counts[counts["bucket"] >= 0]
+    counts = rows.select("text").mapInArrow(frequencies, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    bucket, n = counts["bucket"].to_numpy(), counts["n"].to_numpy()
+    n_docs = int(n[bucket == -1].sum())
     df = np.zeros(1 << BITS)
-    df[counts["bucket"].to_numpy(np.int64)] = counts["n"].to_numpy(np.float64)
+    df[bucket[bucket >= 0]] = n[bucket >= 0]
     idf = np.log((1 + n_docs) / (1 + df)) + 1
 
     picked = training_sample(rows, per_class, max_classes)
     if picked is None:
         return LanguageModel([], idf, np.zeros((1 << BITS, 0)), 1.0)
-
-    def featurise(texts: list[str | None]) -> list[pa.Array]:
-        found = [features(t, idf) if has_letter(t) else (np.zeros(0, np.int64), np.zeros(0)) for t in texts]
-        return [pa.array([a.astype(np.int32) for a, _ in found], pa.list_(pa.int32())), pa.array([x.astype(np.float32) for _, x in found], pa.list_(pa.float32()))]
-
-    sample = per_text(picked.select("lang", F.xxhash64("text", F.lit(1)).alias("h"), "text"), "at array<int>, x array<float>", featurise).toPandas()
-    sample = sample[sample["at"].map(len) > 0].sort_values(["h", "lang"], kind="stable")
-    langs = sorted(sample["lang"].unique())
+    # the sample is bounded: one task learns from it, and only weights that aren't 0 come to the driver
+    sample = picked.select("lang", F.xxhash64("text", F.lit(1)).alias("h"), "text")
+    learned = sample.groupBy().applyInArrow(lambda rows: learn(rows, idf, epochs), "bucket int, w array<float>, languages array<string>, temperature double").toArrow()
+    head = learned.filter(pc.equal(learned["bucket"], -1))
+    langs = head["languages"][0].as_py()
+    rest = learned.filter(pc.greater_equal(learned["bucket"], 0))
+    w = np.zeros((1 << BITS, len(langs)), np.float32)
+    w[rest["bucket"].to_numpy()] = rest["w"].combine_chunks().flatten().to_numpy().reshape(-1, len(langs))
+    return LanguageModel(langs, idf, w, head["temperature"][0].as_py())
+
+
+def learn(sample: pa.Table, idf: np.ndarray, epochs: int) -> pa.Table:
+    """Weights by bucket from rows of ``lang``, ``h``, ``text``, in the order of h; bucket -1 has the languages and the temperature."""
+    sample = sample.sort_by([("h", "ascending"), ("lang", "ascending")])
+    langs = sorted(set(sample["lang"].to_pylist()))
     index = {v: i for i, v in enumerate(langs)}
+    examples = [(*features(t, idf), index[v]) for t, v in zip(sample["text"].to_pylist(), sample["lang"].to_pylist(), strict=True)]
     held = (sample["h"].to_numpy() % 5) == 0
-    examples = [(np.asarray(a, np.int64), np.asarray(x, np.float64), index[v]) for a, x, v in zip(sample["at"], sample["x"], sample["lang"], strict=True)]
     ftrl = Ftrl(1 << BITS, len(langs))
     for _ in range(epochs):
         for e, out in zip(examples, held, strict=True):
             if not out:
                 ftrl.learn(*e)
-    w = ftrl.weights(slice(None))
+    w = ftrl.weights(slice(None)).astype(np.float32)
     aside = [e for e, out in zip(examples, held, strict=True) if out]
     logits = np.array([x @ w[a] for a, x, _ in aside]).reshape(-1, len(langs))
-    return LanguageModel(langs, idf, w.astype(np.float32), temperature(logits, np.array([y for *_, y in aside], np.int64)))
+    t = temperature(logits, np.array([y for *_, y in aside], np.int64))
+    at = np.flatnonzero(w.any(axis=1))
+    return pa.table([pa.array(np.append(-1, at), pa.int32()), pa.array([[], *w[at]], pa.list_(pa.float32())), pa.array([langs, *[None] * len(at)], pa.list_(pa.string())), pa.array([t, *[None] * len(at)], pa.float64())], names=["bucket", "w", "languages", "temperature"])
 
 
 def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
