@@ -1,7 +1,8 @@
 """Exact top-k inner products by columnar branch and bound.
 
-Vectors become integers, ``floor(scale * x)``. The query vectors are taken in blocks of a fixed size that are broadcast
-one after the other; every task lays its candidates out vertically (one row per dimension) and adds up the products one
+Vectors become integers, ``floor(scale * x)``. Queries and candidates are packed into blocks of a bounded size, laid out
+vertically (one row per dimension), and every candidate block meets every query block: by a broadcast of the query blocks
+where they are small, else by a join on (query block, group of candidate blocks). A pair of blocks adds up the products one
 block of dimensions at a time. After each block a candidate's remainder is at most |rest of q| * |rest of c|; candidates
 whose sum so far plus that bound stays under the query's k-th best score are compacted away. Nothing is estimated.
 """
@@ -11,7 +12,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,68 +42,103 @@ def _best_of(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, n
     return ids[keep], scores[keep]
 
 
-def search_block(q_ids: np.ndarray, q: np.ndarray, blocks: Iterator[tuple[np.ndarray, np.ndarray]], k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Best ``k`` candidates of each query over all blocks; ``q`` and each block's matrix have one row per dimension."""
-    best = [(np.zeros(0, np.int64), np.zeros(0)) for _ in q_ids]
-    for ids, c in blocks:
-        width = min(len(q), len(c))  # the shorter vector is taken to go on with zeros
-        edges = list(range(0, width, DIMENSIONS)) + [width]
-        rest = lambda m: [np.sqrt((m[e:] ** 2).sum(axis=0)) for e in edges]
-        q_rest, c_rest = rest(q[:width]), rest(c[:width])
-        first = q[: edges[1]].T @ c[: edges[1]] if width else np.zeros((len(q_ids), len(ids)))
-        for j, query in enumerate(q_ids):
-            at, s = np.flatnonzero(ids != query), None
-            s = first[j, at]
-            floor = best[j][1][-1] if len(best[j][0]) == k else -np.inf
-            for e in range(1, len(edges)):
-                # a hair above the exact bound, for rounding; equal scores stay, since the smaller id wins
-                live = s + q_rest[e][j] * c_rest[e][at] * (1 + 1e-9) >= floor
-                at, s = at[live], s[live]
-                if e + 1 < len(edges) and len(at):
-                    s = s + q[edges[e] : edges[e + 1], j] @ c[edges[e] : edges[e + 1], at]
-                    if len(at) > 8 * k and floor == -np.inf:
-                        # the k-th best lower bound so far is a floor for all
-                        low = s - q_rest[e + 1][j] * c_rest[e + 1][at] * (1 + 1e-9)
-                        floor = np.partition(low, -k)[-k]
-            got_ids, got = np.concatenate([best[j][0], ids[at]]), np.concatenate([best[j][1], s])
-            best[j] = _best_of(got_ids, got, k)
-    for query, (ids, s) in zip(q_ids, best, strict=True):
-        yield int(query), ids, s
-
-
-def top_k(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 10, scale: int = 1024, every: int = 100, query_block: int = 4096) -> DataFrame:
+Best = list[tuple[np.ndarray, np.ndarray]]
+
+
+def search_block(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, c: np.ndarray, k: int, best: Best) -> None:
+    """Bring ``best``, the best ``k`` candidates of each query so far, up to date by a block; ``q`` and ``c`` have one row per dimension."""
+    width = min(len(q), len(c))  # the shorter vector is taken to go on with zeros
+    edges = list(range(0, width, DIMENSIONS)) + [width]
+    rest = lambda m: [np.sqrt((m[e:] ** 2).sum(axis=0)) for e in edges]
+    q_rest, c_rest = rest(q[:width]), rest(c[:width])
+    first = q[: edges[1]].T @ c[: edges[1]] if width else np.zeros((len(q_ids), len(ids)))
+    for j, query in enumerate(q_ids):
+        at = np.flatnonzero(ids != query)
+        s = first[j, at]
+        floor = best[j][1][-1] if len(best[j][0]) == k else -np.inf
+        for e in range(1, len(edges)):
+            # a hair above the exact bound, for rounding; equal scores stay, since the smaller id wins
+            live = s + q_rest[e][j] * c_rest[e][at] * (1 + 1e-9) >= floor
+            at, s = at[live], s[live]
+            if e + 1 < len(edges) and len(at):
+                s = s + q[edges[e] : edges[e + 1], j] @ c[edges[e] : edges[e + 1], at]
+                if len(at) > 8 * k and floor == -np.inf:
+                    # the k-th best lower bound so far is a floor for all
+                    low = s - q_rest[e + 1][j] * c_rest[e + 1][at] * (1 + 1e-9)
+                    floor = np.partition(low, -k)[-k]
+        best[j] = _best_of(np.concatenate([best[j][0], ids[at]]), np.concatenate([best[j][1], s]), k)
+
+
+_BLOCK = "ids binary, width int, data binary"
+
+
+def _packed(ids: np.ndarray, vectors: list) -> list[pa.Array]:
+    m = _matrix(vectors, max([1, *map(len, vectors)]))
+    return [pa.array([ids.tobytes()], pa.binary()), pa.array([len(m)], pa.int32()), pa.array([m.tobytes()], pa.binary())]
+
+
+def _unpacked(ids: bytes, width: int, data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(ids, np.int64), np.frombuffer(data).reshape(width, -1)
+
+
+def top_k(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 10, scale: int = 1024, every: int = 100, query_block: int = 4096, broadcast_bytes: int = 64_000_000) -> DataFrame:
     """``query_id``, ``rank`` from 1, ``vec_id``, ``score``: each query's ``k`` best inner products, ties to the smaller id.
 
     Queries are the rows whose id is divisible by ``every``; candidates all rows but those with the query's id. Fewer
     candidates than ``k``: all of them. Null vectors, and those with a null or non-finite component, take no part, nor do
     rows without id; a shorter vector counts as going on with zeros; an empty table gives no rows; a repeated row is a
     candidate each time, but a repeated query is answered once, from its first vector by value. Sums are exact while they
-    stay below 2**53. The driver holds ``query_block`` query vectors at a time.
+    stay below 2**53. Nothing but counts comes to the driver; query blocks are broadcast if they take at most ``broadcast_bytes``.
     """
-    spark = rows.sparkSession
     vectors = integer_vectors(rows, id_col, vec_col, scale)
     queries = vectors.filter(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
-    n_blocks = max(1, -(-queries.count() // query_block))
-    found = None
-    for b in range(n_blocks):
-        pdf = queries.filter(F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)) == b).toPandas()
-        q_width = max([1, *map(len, pdf["v"])])
-        shared = spark.sparkContext.broadcast((pdf["vec_id"].to_numpy(np.int64), _matrix(list(pdf["v"]), q_width)))
-
-        def search(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            q_ids, q = shared.value
-
-            def blocks() -> Iterator[tuple[np.ndarray, np.ndarray]]:
-                for p in batches:
-                    for i in range(0, len(p), CANDIDATES):
-                        part = p.iloc[i : i + CANDIDATES]
-                        yield part["vec_id"].to_numpy(np.int64), _matrix(list(part["v"]), max([1, *map(len, part["v"])]))
-
-            for query, ids, s in search_block(q_ids, q, blocks(), k):
-                if len(ids):
-                    yield pd.DataFrame({"query_id": query, "vec_id": ids, "score": s.astype(np.int64)})
-
-        part = vectors.mapInPandas(search, "query_id long, vec_id long, score long")
-        found = part if found is None else found.unionByName(part)
+    size = queries.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.size("v")), F.lit(0)).alias("width")).first()
+    n_blocks = max(1, -(-size["n"] // query_block))
+    small = size["n"] * (size["width"] + 1) * 8 <= broadcast_bytes
+
+    def pack_queries(block: pa.Table) -> pa.Table:
+        number = pa.array([block["q_block"][0].as_py()], pa.int32())
+        return pa.table([number, *_packed(block["vec_id"].to_numpy(), block["v"].to_pylist())], names=["q_block", "q_ids", "q_width", "q_data"])
+
+    def pack_candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(0, b.num_rows, CANDIDATES):
+                part = b.slice(i, CANDIDATES)
+                yield pa.RecordBatch.from_arrays(_packed(part.column("vec_id").to_numpy(), part.column("v").to_pylist()), names=["ids", "width", "data"])
+
+    q_blocks = queries.withColumn("q_block", F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)).cast("int")).groupBy("q_block").applyInArrow(pack_queries, "q_block int, q_ids binary, q_width int, q_data binary")
+    c_blocks = vectors.mapInArrow(pack_candidates, _BLOCK).withColumn("q_block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
+    if small:
+        met = c_blocks.join(F.broadcast(q_blocks), "q_block")
+    else:
+        # a query block's candidates are dealt into groups, so that none has all of them
+        groups = max(1, min(1 << 16, size["n"] * every // (64 * CANDIDATES)))
+        dealt = c_blocks.withColumn("group", F.pmod(F.xxhash64("ids"), F.lit(groups)).cast("int"))
+        met = dealt.join(q_blocks.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))), ["q_block", "group"])
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, tuple[np.ndarray, np.ndarray, Best]] = {}
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for q_ids, _, best in held.values():
+                n = [len(ids) for ids, _ in best]
+                found = [np.concatenate([b[i] for b in best] or [np.zeros(0)]) for i in (0, 1)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q_ids, n)), pa.array(found[0].astype(np.int64)), pa.array(found[1].astype(np.int64))], names=["query_id", "vec_id", "score"])
+            held.clear()
+
+        for b in batches:
+            for i in range(b.num_rows):
+                row = {c: b.column(c)[i].as_py() for c in b.schema.names}
+                number = row["q_block"]
+                if number not in held:
+                    if len(held) * query_block >= 1 << 17:
+                        yield from flush()
+                    q_ids, q = _unpacked(row["q_ids"], row["q_width"], row["q_data"])
+                    held[number] = q_ids, q, [(np.zeros(0, np.int64), np.zeros(0)) for _ in q_ids]
+                q_ids, q, best = held[number]
+                search_block(q_ids, q, *_unpacked(row["ids"], row["width"], row["data"]), k, best)
+        yield from flush()
+
+    found = met.select("q_block", "q_ids", "q_width", "q_data", "ids", "width", "data").mapInArrow(search, "query_id long, vec_id long, score long")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
