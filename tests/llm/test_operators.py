@@ -9,6 +9,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -127,12 +128,15 @@ def test_temperature_calibrates():
 # --- language model ---------------------------------------------------------------------------------------------------
 
 
+def lm_fold(i):
+    return zlib.crc32(("" if i is None else str(i)).encode()) % 10
+
+
 def test_lm(docs, rows):
-    got = brown_lm.score_texts(docs, crc_mod("doc_id", 10) != 0, vocabulary=300, n_classes=12, rounds=3)
-    fold = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 10
-    c = Counter(w for i, t, _ in rows if fold(i) for w in [*words(t), b""])
+    got = brown_lm.score_texts(docs, crc_mod("doc_id", 10) != 0, vocabulary=300, n_classes=12, sweeps=3)
+    c = Counter(w for i, t, _ in rows if lm_fold(i) for w in [*words(t), b""])
     n, v = sum(c.values()), len(c)
-    want = [(i, fold(i) != 0, len(words(t)) + 1, sum(c[w] > 0 for w in [*words(t), b""]), n, round(sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in [*words(t), b""]), 6)) for i, t, _ in rows]
+    want = [(i, lm_fold(i) != 0, len(words(t)) + 1, sum(c[w] > 0 for w in [*words(t), b""]), n, round(sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in [*words(t), b""]), 6)) for i, t, _ in rows]
     out = got.collect()
     same([(r.doc_id, r.is_train, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in out], want)
     held = [r for r in out if not r.is_train]
@@ -140,6 +144,37 @@ def test_lm(docs, rows):
     assert all(r.perplexity > 1 for r in out)
 
 
+def test_lm_scores_by_brute_force(docs, rows, monkeypatch):
+    made = {}
+    plain = brown_lm.class_vocabulary
+
+    def keep(*args):
+        known = plain(*args)
+        made.update({r.word: (r.n, r.c) for r in known.collect()})
+        return known
+
+    monkeypatch.setattr(brown_lm, "class_vocabulary", keep)
+    got = brown_lm.score_texts(docs, crc_mod("doc_id", 10) != 0, vocabulary=50, n_classes=8, sweeps=3, least_count=3).collect()
+    rare, end, k = 8, 9, 10
+    codes = lambda t: brown_lm._hashed(pa.array([(t or "").encode()], pa.binary()))[0].tolist() + [brown_lm.END]
+    texts = [(i, codes(t)) for i, t, _ in rows]
+    n = Counter(w for i, t in texts if lm_fold(i) for w in t)
+    assert {w: x for w, (x, _) in made.items()} == n
+    placed = [w for w, (x, c) in made.items() if c < rare]
+    assert len(placed) > 60 and all(n[w] >= 3 for w in placed) and sum(c == rare for _, c in made.values()) == sum(x < 3 for x in n.values())
+    cls = lambda w: made[w][1] if w in made else rare
+    pairs = Counter((p, q) for i, t in texts if lm_fold(i) for p, q in zip([end, *map(cls, t)], map(cls, t), strict=False))
+    after, members, tokens = Counter(), Counter(), Counter()
+    for (p, _), x in pairs.items():
+        after[p] += x
+    for w, (x, c) in made.items():
+        members[c] += 1
+        tokens[c] += x
+    step = lambda p, w: math.log10((pairs[p, cls(w)] + 0.1) / (after[p] + 0.1 * k)) + math.log10((n[w] + 0.1) / (tokens[cls(w)] + 0.1 * (members[cls(w)] + 1)))
+    want = [(i, round(sum(step(p, w) for p, w in zip([end, *map(cls, t)], t, strict=False)), 6)) for i, t in texts]
+    same([(r.doc_id, round(r.score, 6)) for r in got], want)
+
+
 def test_lm_is_a_distribution():
     # the class model's probabilities over all words and one unseen word add up to 1 after any class
     joint, counts, classes = np.array([[3.0, 1], [2, 4]]), np.array([4.0, 2, 5]), np.array([0, 0, 1])
@@ -155,19 +190,31 @@ def test_lm_without_training(docs):
     assert all(r.n_known == 0 and r.train_tokens == 0 and r.base_score == pytest.approx(0) for r in out)
 
 
-def test_exchange_raises_likelihood():
+def test_exchange():
+    # each sweep raises the likelihood; at the end no single move of any word does
     rng = np.random.default_rng(0)
-    m = rng.integers(0, 3, (20, 20)).astype(float)
+    m = rng.integers(0, 3, (22, 22))
     m[:10, :10] += 20
-    m[10:, 10:] += 20
-    classes = np.arange(20) % 2
-    fit = lambda c: (lambda j: (j * np.log(np.maximum(j, 1e-9))).sum() - sum((s * np.log(s)).sum() for s in (j.sum(0), j.sum(1))))(np.array([[m[np.ix_(c == a, c == b)].sum() for b in (0, 1)] for a in (0, 1)]))
-    before = fit(classes)
-    for r in range(6):
-        onehot = np.eye(2)[classes]
-        best = brown_lm.mutual_gain(m @ onehot, m.T @ onehot, classes, 2, 0)
-        classes = np.where((np.arange(20) + r) % 4 == 0, best, classes)
-    assert fit(classes) > before
+    m[10:20, 10:20] += 20
+    a, b = np.nonzero(m)
+    e = brown_lm.Exchange(a, b, m[a, b], 20, 3)
+
+    def fit(classes):
+        j = np.array([[m[np.ix_(classes == x, classes == y)].sum() for y in range(5)] for x in range(5)], float)
+        return brown_lm._xlogx(j).sum() - brown_lm._xlogx(j.sum(0)).sum() - brown_lm._xlogx(j.sum(1)).sum()
+
+    assert e.likelihood() == pytest.approx(fit(e.classes))
+    was, moved = e.likelihood(), 1
+    while moved:
+        moved = e.sweep()
+        assert e.likelihood() == pytest.approx(fit(e.classes)) and e.likelihood() >= was - 1e-6
+        was = e.likelihood()
+    for w in range(20):
+        for k in range(3):
+            other = e.classes.copy()
+            other[w] = k
+            assert fit(other) <= was + 1e-5
+    assert len({(c,) for c in e.classes[:10]} & {(c,) for c in e.classes[10:20]}) == 0
 
 
 # --- near duplicates --------------------------------------------------------------------------------------------------
@@ -403,9 +450,34 @@ def test_substrings_of_periods(spark):
 def test_long_text_in_pieces(monkeypatch):
     rng = np.random.default_rng(5)
     text = bytes(rng.integers(97, 101, 5000, dtype=np.uint8))
-    whole = substring_dedup._sampled([text], 200)[0]
-    monkeypatch.setattr(substring_dedup, "BATCH", 10)
-    assert all((a == b).all() for a, b in zip(whole, substring_dedup._sampled([text, b"short", text], 200)[2], strict=True))
+    starts = lambda posts: [k for low, high, *_ in zip(*posts, strict=True) for k in range(low, high + 1)]
+    monkeypatch.setattr(substring_dedup, "BATCH", 700)
+    (whole, _, again), settled = substring_dedup.sample([text, b"short", text], 200)
+    assert sorted(starts(whole)) == sorted(starts(again)) == list(range(4801)) and not any(len(x[0]) for x in settled)
+    monkeypatch.setattr(substring_dedup, "BATCH", 1_000_000)
+    (whole, _, again), settled = substring_dedup.sample([text, b"short", text], 200)
+    assert sorted(starts(whole)) == list(range(4801)) and set(whole[5]) == {2} and not len(again[0])
+    assert [list(zip(*x, strict=True)) for x in settled] == [[], [], [(0, 5000)]]
+
+
+def test_periodic_text_posts_little():
+    for text in (b"a" * 1_600_000, b"ab" * 800_000, bytes(range(97, 120)) * 70_000):
+        (post,), _ = substring_dedup.sample([text], 200)
+        assert len(post[0]) < 200
+
+
+@pytest.mark.parametrize("letters", [2, 4])
+def test_refinement(letters):
+    # groups of contexts with common parts at changing places
+    rng = np.random.default_rng(letters)
+    parts = [bytes(rng.integers(97, 97 + letters, 60, dtype=np.uint8)) for _ in range(4)]
+    contexts = [b"".join(parts[k] for k in rng.integers(0, 4, 3)) + bytes(rng.integers(97, 97 + letters, 5, dtype=np.uint8)) for _ in range(60)] + [b"z" * 150, b"z" * 90]
+    groups = np.sort(rng.integers(1, 6, len(contexts)))
+    got = substring_dedup.refine(contexts, groups, 80).tolist()
+    begin = np.concatenate([[0], np.cumsum([len(c) for c in contexts])])
+    every = [(int(begin[i]) + k, (g, c[k : k + 80])) for i, (c, g) in enumerate(zip(contexts, groups.tolist(), strict=True)) for k in range(len(c) - 79)]
+    n = Counter(s for _, s in every)
+    assert got == [at for at, s in every if n[s] > 1] and got
 
 
 # --- lines ------------------------------------------------------------------------------------------------------------
