@@ -31,15 +31,16 @@ def asof(base: DataFrame, other: DataFrame, columns: tuple[str, ...], by: tuple[
 def event_pairing(h1: DataFrame, h4: DataFrame, hours: int = 4) -> DataFrame:
     """Each event of h1 with the latest one of h4 of its symbol and direction in the ``hours`` before; unmatched h4 events stay. J05
 
-    Composite strength: 0.7 and 0.3 parts. Events carry symbol, direction, ts, strength. The interval join is an equi join
+    Every h1 event gives one row, also where several have equal times. Composite strength: 0.7 and 0.3 parts. Events carry symbol, direction, ts, strength. The interval join is an equi join
     on buckets of its width, so no symbol's events are paired in full.
     """
     width = hours * 3600
     bucket = lambda c: F.floor(F.unix_timestamp(c) / width)
-    left = h1.select("symbol", "direction", "ts", "strength", F.explode(F.array(bucket("ts"), bucket("ts") - 1)).alias("b"))
+    # what is near depends on these three alone, so events of equal time share it and none is paired twice
+    left = h1.select("symbol", "direction", "ts").distinct().select("*", F.explode(F.array(bucket("ts"), bucket("ts") - 1)).alias("b"))
     right = h4.select("symbol", "direction", F.col("ts").alias("h4_ts"), F.col("strength").alias("h4_strength"), bucket("ts").alias("b"))
     near = left.join(right, ["symbol", "direction", "b"]).filter((F.col("h4_ts") <= F.col("ts")) & (F.col("h4_ts") >= F.col("ts") - F.make_interval(hours=F.lit(hours))))
-    best = near.groupBy("symbol", "direction", "ts", "strength").agg(F.max(F.struct("h4_ts", "h4_strength")).alias("m")).select("symbol", "direction", "ts", "m.h4_ts", "m.h4_strength")
+    best = near.groupBy("symbol", "direction", "ts").agg(F.max(F.struct("h4_ts", "h4_strength")).alias("m")).select("symbol", "direction", "ts", "m.h4_ts", "m.h4_strength")
     paired = h1.join(best, ["symbol", "direction", "ts"], "left").select("symbol", "direction", "ts", "strength", "h4_ts", "h4_strength")
     paired = paired.withColumn("composite", F.when(F.col("h4_ts").isNull(), F.col("strength")).otherwise(0.7 * F.col("strength") + 0.3 * F.col("h4_strength")))
     used = best.select("symbol", "direction", F.col("h4_ts").alias("ts")).distinct()
@@ -91,18 +92,31 @@ def nearest_levels(points: DataFrame, levels: DataFrame) -> DataFrame:
     return out.withColumn("distance", F.try_divide(F.least(F.col("price") - F.col("support"), F.col("resistance") - F.col("price")), F.col("price")))
 
 
-def fifo_match(fills: DataFrame, fee: float = 1.0) -> DataFrame:
-    """The n-th sell of a symbol closes its n-th buy: pnl and per cent; later buys stay open, sells without a buy have pnl 0. J13
+def fifo_match(fills: DataFrame, fee: float = 0.9975) -> DataFrame:
+    """Each sell closes the oldest buy that is still open then; one without an open buy stands alone, with pnl 0. J13
 
-    Fills carry symbol, side (buy or sell), price, qty, ts, id; the quantity is the buy's, ``fee`` scales what a sale brings.
+    Fills carry symbol, side (buy or sell), price, qty, ts, id. The pnl is what the sale brings (its own quantity, times
+    ``fee`` for pairs, whose symbol has a slash, and for BTC) less the buy's cost; per cent of that, which counts 0.01 at least.
+
+    A sell is unmatched where the balance of buys and sells reaches a new low under 0; the n-th matched one closes buy n.
     """
-    w = Window.partitionBy("symbol", "side").orderBy("ts", "id")
-    ranked = fills.withColumn("rank", F.row_number().over(w))
-    buys = ranked.filter("side = 'buy'").select("symbol", "rank", F.col("price").alias("buy_price"), "qty")
-    sells = ranked.filter("side = 'sell'").select("symbol", "rank", F.col("price").alias("sell_price"), F.col("ts").alias("closed_at"))
-    matched = sells.join(buys, ["symbol", "rank"], "left")
-    gain = F.col("sell_price") * fee - F.col("buy_price")
-    return matched.withColumns({"pnl": F.coalesce(gain * F.col("qty"), F.lit(0.0)), "pnl_pct": F.coalesce(100 * F.try_divide(gain, F.col("buy_price")), F.lit(0.0))})
+    w = Window.partitionBy("symbol").orderBy("ts", "id").rowsBetween(Window.unboundedPreceding, 0)
+    buy, qty = F.col("side") == "buy", F.col("qty").cast("double")
+    counted = fills.filter(F.col("side").isin("buy", "sell")).withColumns({"_balance": F.sum(F.when(buy, 1).otherwise(-1)).over(w), "_buys": F.count(F.when(buy, 1)).over(w), "_sells": F.count(F.when(~buy, 1)).over(w)})
+    counted = counted.withColumn("_lost", F.greatest(-F.min("_balance").over(w), F.lit(0)))
+    in_order = Window.partitionBy("symbol").orderBy("ts", "id")
+    counted = counted.withColumn("_alone", F.col("_lost") > F.coalesce(F.lag("_lost").over(in_order), F.lit(0)))
+    buys = counted.filter(buy).select("symbol", F.col("_buys").alias("_n"), F.col("ts").alias("opened"), F.col("price").alias("paid"), qty.alias("bought"))
+    sells = counted.filter(~buy).select("symbol", F.when(~F.col("_alone"), F.col("_sells") - F.col("_lost")).alias("_n"), "ts", "id", "price", qty.alias("sold"))
+    matched = sells.join(buys, ["symbol", "_n"], "left")
+    factor = F.when(F.col("symbol").contains("/") | F.col("symbol").contains("BTC"), fee).otherwise(1.0)
+    cost = F.col("paid") * F.col("bought")
+    pnl = F.col("price") * F.col("sold") * factor - cost
+    alone = F.col("_n").isNull()
+    return matched.select(
+        "symbol", "id", F.when(alone, "sell").otherwise("buy").alias("side"), F.coalesce("bought", "sold").alias("qty"), F.coalesce("opened", "ts").alias("start_time"), F.col("ts").alias("end_time"),
+        F.coalesce("paid", "price").alias("entry_price"), F.col("price").alias("exit_price"), F.when(alone, 0.0).otherwise(pnl).alias("pnl"), F.when(alone, 0.0).otherwise(100 * pnl / F.greatest(cost, F.lit(0.01))).alias("pnl_pct"),
+    )
 
 
 def ensure_completeness(result: DataFrame, original: DataFrame, key: tuple[str, ...]) -> DataFrame:

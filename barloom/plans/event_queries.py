@@ -73,7 +73,7 @@ _ev = lambda t: f"(SELECT symbol, CASE WHEN close > open THEN 'bullish' ELSE 'be
 add(
     "j05_event_pairing", lambda s, d: joins.event_pairing(_direction_events(hourly(s, d)), _direction_events(src.resample(src.event_ticks(s, d), "4 hours"))),
     f"WITH {HOURLY}, four AS (SELECT symbol, '4 hours' AS tf, time_bucket(INTERVAL 4 HOURS, ts, TIMESTAMP '2000-01-01') AS ts, first(price ORDER BY ts, seq) AS open, last(price ORDER BY ts, seq) AS close FROM ticks GROUP BY 1, 2, 3), a AS {_ev('bars')}, b AS {_ev('four')}, "
-    "m AS (SELECT a.*, b.ts AS h4_ts, b.strength AS h4_strength, row_number() OVER (PARTITION BY a.symbol, a.direction, a.ts ORDER BY b.ts DESC) AS k FROM a LEFT JOIN b ON b.symbol = a.symbol AND b.direction = a.direction AND b.ts <= a.ts AND b.ts >= a.ts - INTERVAL 4 HOURS), p AS (SELECT * FROM m WHERE k = 1) "
+    "n AS (SELECT *, row_number() OVER () AS one FROM a), m AS (SELECT a.*, b.ts AS h4_ts, b.strength AS h4_strength, row_number() OVER (PARTITION BY a.one ORDER BY b.ts DESC NULLS LAST) AS k FROM n a LEFT JOIN b ON b.symbol = a.symbol AND b.direction = a.direction AND b.ts <= a.ts AND b.ts >= a.ts - INTERVAL 4 HOURS), p AS (SELECT * FROM m WHERE k = 1) "
     "SELECT symbol, direction, ts, round(strength, 6) AS strength, h4_ts, round(h4_strength, 6) AS h4_strength, round(CASE WHEN h4_ts IS NULL THEN strength ELSE 0.7 * strength + 0.3 * h4_strength END, 6) AS composite FROM p "
     "UNION ALL SELECT b.symbol, b.direction, b.ts, NULL, b.ts, round(b.strength, 6), round(b.strength, 6) FROM b WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.symbol = b.symbol AND p.direction = b.direction AND p.h4_ts = b.ts)",
 )
@@ -111,12 +111,16 @@ add(
 
 def _fills(s: SparkSession, d: str) -> DataFrame:
     o = read(s, d, "orders")
-    return o.select(F.col("o_orderpriority").alias("symbol"), F.when(F.col("o_orderstatus") == "F", "sell").otherwise("buy").alias("side"), F.col("o_totalprice").alias("price"), (F.col("o_custkey") % 7 + 1).alias("qty"), F.col("o_orderdate").alias("ts"), F.col("o_orderkey").alias("id"))
+    return o.select(F.when(F.col("o_orderpriority") == "1-URGENT", "BTC/USD").otherwise(F.col("o_orderpriority")).alias("symbol"), F.when(F.col("o_orderstatus") == "F", "sell").otherwise("buy").alias("side"), F.col("o_totalprice").alias("price"), (F.col("o_custkey") % 7 + 1).alias("qty"), F.col("o_orderdate").alias("ts"), F.col("o_orderkey").alias("id"))
 
 
 add(
-    "j13_fifo_match", lambda s, d: joins.fifo_match(_fills(s, d), 0.9975),
-    "WITH f AS (SELECT o_orderpriority AS symbol, CASE WHEN o_orderstatus = 'F' THEN 'sell' ELSE 'buy' END AS side, o_totalprice AS price, o_custkey % 7 + 1 AS qty, o_orderdate AS ts, o_orderkey AS id FROM orders), r AS (SELECT *, row_number() OVER (PARTITION BY symbol, side ORDER BY ts, id) AS k FROM f) SELECT s.symbol, CAST(s.k AS INTEGER) AS rank, round(s.price, 6) AS sell_price, s.ts AS closed_at, round(b.price, 6) AS buy_price, b.qty, round(coalesce((s.price * 0.9975 - b.price) * b.qty, 0), 6) AS pnl, round(coalesce(100 * (s.price * 0.9975 - b.price) / nullif(b.price, 0), 0), 6) AS pnl_pct FROM (SELECT * FROM r WHERE side = 'sell') s LEFT JOIN (SELECT * FROM r WHERE side = 'buy') b ON b.symbol = s.symbol AND b.k = s.k",
+    "j13_fifo_match", lambda s, d: joins.fifo_match(_fills(s, d)),
+    "WITH f AS (SELECT CASE WHEN o_orderpriority = '1-URGENT' THEN 'BTC/USD' ELSE o_orderpriority END AS symbol, o_orderstatus = 'F' AS sell, o_totalprice AS price, CAST(o_custkey % 7 + 1 AS DOUBLE) AS qty, o_orderdate AS ts, o_orderkey AS id FROM orders), "
+    "c AS (SELECT *, sum(CASE WHEN sell THEN -1 ELSE 1 END) OVER w AS bal, count(*) FILTER (WHERE sell) OVER w AS sells, count(*) FILTER (WHERE NOT sell) OVER w AS buys FROM f WINDOW w AS (PARTITION BY symbol ORDER BY ts, id ROWS UNBOUNDED PRECEDING)), "
+    "l AS (SELECT *, greatest(0, -min(bal) OVER (PARTITION BY symbol ORDER BY ts, id ROWS UNBOUNDED PRECEDING)) AS lost FROM c), a AS (SELECT *, lost > coalesce(lag(lost) OVER (PARTITION BY symbol ORDER BY ts, id), 0) AS alone FROM l), "
+    "m AS (SELECT s.symbol, s.id, s.ts AS end_time, s.price, s.qty AS sold, b.ts AS opened, b.price AS paid, b.qty AS bought, CASE WHEN contains(s.symbol, '/') THEN 0.9975 ELSE 1.0 END AS fee FROM a s LEFT JOIN a b ON b.symbol = s.symbol AND NOT b.sell AND NOT s.alone AND b.buys = s.sells - s.lost WHERE s.sell) "
+    "SELECT symbol, id, CASE WHEN paid IS NULL THEN 'sell' ELSE 'buy' END AS side, coalesce(bought, sold) AS qty, coalesce(opened, end_time) AS start_time, end_time, round(coalesce(paid, price), 6) AS entry_price, round(price, 6) AS exit_price, round(CASE WHEN paid IS NULL THEN 0 ELSE price * sold * fee - paid * bought END, 6) AS pnl, round(CASE WHEN paid IS NULL THEN 0 ELSE 100 * (price * sold * fee - paid * bought) / greatest(paid * bought, 0.01) END, 6) AS pnl_pct FROM m",
 )
 
 

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from barloom.functions.series import linear_scan
-from barloom.operators import backtest, candles, indicators, joins, labels, recursive, scaling, stats, structure, ticks
+from barloom.operators import backtest, candles, indicators, joins, labels, recursive, scaling, scores, stats, structure, ticks
 from barloom.plans.bar_queries import hourly
 from barloom.sources import bars as src
 
@@ -126,9 +126,49 @@ def test_asof_matches_pandas(spark):
 
 
 def test_fifo(spark):
-    rows = [(i, "a", side, p, 2.0, T0 + dt.timedelta(hours=i)) for i, (side, p) in enumerate([("buy", 10.0), ("buy", 11.0), ("sell", 12.0), ("sell", 10.0), ("sell", 9.0)])]
-    got = joins.fifo_match(spark.createDataFrame(rows, "id long, symbol string, side string, price double, qty double, ts timestamp")).orderBy("rank").collect()
-    assert [r.pnl for r in got] == [4.0, -2.0, 0.0]
+    fills = lambda symbol, sides: [(i, symbol, side, p, q, T0 + dt.timedelta(hours=i)) for i, (side, p, q) in enumerate(sides)]
+    kind = "id long, symbol string, side string, price double, qty double, ts timestamp"
+    rows = fills("a", [("buy", 10.0, 2.0), ("buy", 11.0, 2.0), ("sell", 12.0, 1.0), ("sell", 10.0, 2.0), ("sell", 9.0, 2.0)])
+    got = joins.fifo_match(spark.createDataFrame(rows, kind)).orderBy("id").collect()
+    assert [(r.side, r.pnl, r.pnl_pct) for r in got] == [("buy", -8.0, -40.0), ("buy", -2.0, pytest.approx(-100 / 11)), ("sell", 0.0, 0.0)]
+    # a sell before any buy stays alone, whatever comes later
+    got = joins.fifo_match(spark.createDataFrame(fills("b", [("sell", 5.0, 1.0), ("buy", 4.0, 1.0), ("sell", 6.0, 1.0)]), kind)).orderBy("id").collect()
+    assert [(r.side, r.pnl) for r in got] == [("sell", 0.0), ("buy", 2.0)]
+    rng = np.random.default_rng(3)
+    rows = [r for k in ("x", "A/B") for r in fills(k, [(str(rng.choice(["buy", "sell"])), float(p), float(q)) for p, q in rng.uniform(1, 9, (80, 2)).round(2)])]
+    want = []
+    for symbol in ("x", "A/B"):
+        open_buys = []
+        for i, k, side, p, q, _ in rows:
+            if k == symbol and side == "buy":
+                open_buys.append((p, q))
+            elif k == symbol:
+                paid = open_buys.pop(0) if open_buys else None
+                want.append((k, i, round(p * q * (0.9975 if "/" in k else 1) - paid[0] * paid[1], 6) if paid else 0.0))
+    got = joins.fifo_match(spark.createDataFrame(rows, kind)).collect()
+    assert sorted((r.symbol, r.id, round(r.pnl, 6)) for r in got) == sorted(want)
+
+
+def test_event_pairing_ties(spark):
+    kind = "symbol string, direction string, ts timestamp, strength double"
+    at = lambda h: T0 + dt.timedelta(hours=h)
+    h1 = spark.createDataFrame([("a", "bullish", at(3), 1.0), ("a", "bullish", at(3), 2.0), ("a", "bearish", at(3), 3.0)], kind)
+    h4 = spark.createDataFrame([("a", "bullish", at(0), 10.0), ("a", "bullish", at(9), 20.0)], kind)
+    got = [(r.direction, r.strength, r.h4_strength, r.composite) for r in joins.event_pairing(h1, h4).collect()]
+    assert sorted(got, key=str) == sorted([("bullish", 1.0, 10.0, 3.7), ("bullish", 2.0, 10.0, pytest.approx(4.4)), ("bearish", 3.0, None, 3.0), ("bullish", None, 20.0, 20.0)], key=str)
+
+
+def test_scores(spark):
+    kind = "symbol string, tf string, ts timestamp, open double, high double, low double, close double, volume double, lvl double, atr double"
+    bars = [("a", "1 hour", T0 + dt.timedelta(hours=i), *x) for i, x in enumerate([(9.9, 10.0, 8.0, 10.0, 1.0, 50.0, 1.0), (9.9, 10.0, 8.0, 10.0, 1.0, 10.5, 1.0), (8.1, 10.0, 8.0, 8.0, 1.0, 50.0, 1.0), (5.0, 5.0, 5.0, 5.0, 1.0, 5.0, 1.0)])]
+    got = scores.candle_scores(scores.pin_bar(spark.createDataFrame(bars, kind), ("lvl",), "atr")).orderBy("ts").collect()
+    raw = (0.95 - 0.6) / 0.4 * (1 - 0.05 / 0.3)
+    assert [r.pin_bull for r in got] == pytest.approx([raw, min(1, raw * 1.4), 0, 0]) and [r.pin_bear for r in got] == pytest.approx([0, 0, raw, 0])
+    assert got[2].pin_recent_bull == pytest.approx((0.55 * min(1, raw * 1.4) + 0.25 * raw) / 1.8) and [r.pin_at_level for r in got] == [0, 1, 0, 1]
+    # first bar: body 0.05, close at the top, long lower wick; nothing before it
+    up = 0.05 * 0.25 + 0.20 + 0.95 * 0.15 + 0.15 + 0.5 * 0.10 + 0.5 * 0.10 + 0.5 * 0.05
+    assert got[0].candle_bull_score == pytest.approx(up)
+    assert all(0 <= r.candle_bear_score <= 1 and 0 <= r.candle_bull_score <= 1 for r in got)
 
 
 def test_first_break(spark):
