@@ -276,7 +276,7 @@ def _contexts(texts: DataFrame, asked: DataFrame, length: int, small: bool = Fal
 
 _CELL_ROWS = "k1 long, k2 long, low int, high int, place int, bucket long, single boolean, a int, b int, core long, whole long"
 #: Widths of the intervals of offsets in which large buckets are refined, one after the other.
-WIDTHS = (32, 4, 1)
+WIDTHS = (64, 16, 4, 1)
 
 
 def cells(batches: Iterator[pa.RecordBatch], width: int, length: int) -> Iterator[pa.RecordBatch]:
