@@ -359,3 +359,11 @@ def regime_context(df: DataFrame, n: int = 20) -> DataFrame:
         "macro_position": ratio(F.col("close") - F.col("adaptive_low"), "adaptive_width"), "mid_roc_10": ratio(diff("adaptive_mid", 10), lag("adaptive_mid", 10)),
         "mid_roc_50": ratio(diff("adaptive_mid", 50), lag("adaptive_mid", 50)), "width_roc": ratio(diff("adaptive_width", 10), lag("adaptive_width", 10)),
     })
+
+
+def session_trim(df: DataFrame, start: int = 17) -> DataFrame:
+    """Rows of each series' current trading session: from hour ``start`` of the last row's day, or of the day before if that is yet to come. W29u"""
+    last = F.max("ts").over(whole())
+    day = F.date_trunc("day", last)
+    opened = F.when(F.hour(last) >= start, day).otherwise(day - F.expr("interval 1 day")) + F.make_interval(hours=F.lit(start))
+    return df.withColumn("_opened", opened).filter(F.col("ts") >= F.col("_opened")).drop("_opened")

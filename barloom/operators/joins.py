@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -135,3 +137,8 @@ def entity_context(links: DataFrame, messages: DataFrame, entities: list[str], k
     asked = links.filter(F.col("entity").isin(*entities)).select("session", "turn").distinct()
     w = Window.partitionBy("session").orderBy(F.desc("turn"))
     return messages.join(asked, ["session", "turn"]).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
+def event_union(*lists: DataFrame) -> DataFrame:
+    """All events of the lists, a column that a list lacks null; repeated events stay. O06"""
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), lists)

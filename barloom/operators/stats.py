@@ -253,3 +253,10 @@ def horizon_distribution(bars: DataFrame, horizons: tuple[int, ...] = (1, 3, 6,
     moved = bars.select("symbol", *[(lead("close", n) - F.col("close")).alias(f"m{n}") for n in horizons])
     long = moved.select("symbol", F.explode(F.array(*[F.struct(F.lit(n).alias("horizon"), F.col(f"m{n}").alias("move")) for n in horizons])).alias("e")).select("symbol", "e.*")
     return long.groupBy("symbol", "horizon").agg(F.count_if(F.col("move") > 0).alias("bull"), F.count_if(F.col("move") < 0).alias("bear"), F.avg("move").alias("mean_move"), F.stddev_samp("move").alias("std_move"))
+
+
+def power_transform_hint(df: DataFrame, columns: tuple[str, ...], limit: float = 1.0) -> DataFrame:
+    """Skewness (of the population) of each column, and whether a logarithm or Box-Cox transformation is worth a try. A31"""
+    skews = F.array(*[F.struct(F.lit(c).alias("column"), F.skewness(c).alias("skew")) for c in columns])
+    hint = F.when(F.abs("skew") > limit, "log or Box-Cox")
+    return df.agg(skews.alias("all")).select(F.inline("all")).withColumn("hint", hint)

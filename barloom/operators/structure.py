@@ -145,3 +145,9 @@ def liquidity_pools(df: DataFrame, share: float = 0.01) -> DataFrame:
     s = s.withColumn("_new", F.coalesce((F.col("swing_level") - F.lag("swing_level").over(w) > F.col("_width")).cast("int"), F.lit(1)))
     s = s.withColumn("pool", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return s.groupBy(*KEYS, "swing", "pool").agg(F.count(F.lit(1)).alias("n"), F.avg("swing_level").alias("level"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts")).filter("n > 1")
+
+
+def index_candles(pairs: DataFrame, weights: dict[str, float], scalar: float) -> DataFrame:
+    """The index of the pairs' closes as flat bars without volume. Z14"""
+    close = F.col("close")
+    return currency_index(pairs, weights, scalar, ("close",)).select("ts", close.alias("open"), close.alias("high"), close.alias("low"), close, F.lit(0.0).alias("volume"))

@@ -77,6 +77,10 @@ add(
     "SELECT symbol, direction, ts, round(strength, 6) AS strength, h4_ts, round(h4_strength, 6) AS h4_strength, round(CASE WHEN h4_ts IS NULL THEN strength ELSE 0.7 * strength + 0.3 * h4_strength END, 6) AS composite FROM p "
     "UNION ALL SELECT b.symbol, b.direction, b.ts, NULL, b.ts, round(b.strength, 6), round(b.strength, 6) FROM b WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.symbol = b.symbol AND p.direction = b.direction AND p.h4_ts = b.ts)",
 )
+add(
+    "o06_event_union", lambda s, d: joins.event_union(_direction_events(hourly(s, d)).withColumn("source", F.lit("hour")), _direction_events(_daily(s, d)).drop("strength").withColumn("source", F.lit("day"))),
+    f"WITH {HOURLY}, {DAILY}, a AS {_ev('bars')}, b AS {_ev('days')} SELECT symbol, direction, ts, round(strength, 6) AS strength, 'hour' AS source FROM a UNION ALL SELECT symbol, direction, ts, NULL, 'day' FROM b",
+)
 add(
     "j06_peer_merge", lambda s, d: joins.peer_merge(_daily(s, d).select("symbol", "ts", "open", "close"), hourly(s, d).select("symbol", "ts", F.when(F.col("volume") > 3, F.col("close")).alias("close"), "volume"), ("symbol", "ts")),
     f"WITH {HOURLY}, {DAILY} SELECT coalesce(d.symbol, b.symbol) AS symbol, coalesce(d.ts, b.ts) AS ts, round(d.open, 6) AS open, round(coalesce(CASE WHEN b.volume > 3 THEN b.close END, d.close), 6) AS close, round(b.volume, 6) AS volume FROM days d FULL JOIN bars b ON b.symbol = d.symbol AND b.ts = d.ts",
@@ -255,3 +259,8 @@ SQL["flagship_dataset"] = (
     "a AS (SELECT f.*, d.close AS close_1d FROM f ASOF LEFT JOIN (SELECT symbol, ts + INTERVAL 1 DAY AS ts, close FROM days) d ON d.symbol = f.symbol AND f.ts >= d.ts), g AS (SELECT *, CASE WHEN k - 1 < floor(n * CAST(0.7 AS DOUBLE)) THEN 'train' WHEN k - 1 < floor(n * CAST(0.7 AS DOUBLE)) + floor(n * CAST(0.15 AS DOUBLE)) THEN 'val' ELSE 'test' END AS split FROM a) "
     "SELECT symbol, split, count(*) AS n, round(avg(bb), 6) AS bb_width, round(avg(zs), 6) AS zscore, round(avg(close - close_1d), 6) AS above_day, round(avg(mfe), 6) AS mfe, round(avg(mae), 6) AS mae FROM g GROUP BY 1, 2"
 )
+_SKEWED = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
+add(
+    "a31_power_transform_hint", lambda s, d: stats.power_transform_hint(lineitem(s, d), _SKEWED),
+    "WITH m AS (" + " UNION ALL ".join(f"SELECT '{c}' AS name, CAST({c} AS DOUBLE) AS x FROM lineitem" for c in _SKEWED) + "), a AS (SELECT *, avg(x) OVER (PARTITION BY name) AS mean FROM m), k AS (SELECT name, avg(power(x - mean, 3)) / power(avg(power(x - mean, 2)), 1.5) AS skew FROM a GROUP BY 1) SELECT name AS column, round(skew, 6) AS skew, CASE WHEN abs(skew) > 1 THEN 'log or Box-Cox' END AS hint FROM k",
+)

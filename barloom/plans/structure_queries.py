@@ -70,6 +70,14 @@ add(
     "z13_currency_index", lambda s, d: structure.currency_index(hourly(s, d), _BASKET, 50.0, ("open", "close")),
     f"WITH {HOURLY}, w(symbol, w) AS (VALUES ('click', -0.5), ('view', 0.3), ('purchase', 0.2)), i AS (SELECT ts, count(*) AS n, exp(sum(w * ln(greatest(open, 1e-8)))) * 50 AS open, exp(sum(w * ln(greatest(close, 1e-8)))) * 50 AS close FROM bars JOIN w USING (symbol) GROUP BY 1) SELECT ts, round(open, 6) AS open, round(close, 6) AS close FROM i WHERE n = 3",
 )
+add(
+    "z14_index_candles", lambda s, d: structure.index_candles(hourly(s, d), _BASKET, 50.0),
+    f"WITH {HOURLY}, w(symbol, w) AS (VALUES ('click', -0.5), ('view', 0.3), ('purchase', 0.2)), i AS (SELECT ts, count(*) AS n, round(exp(sum(w * ln(greatest(close, 1e-8)))) * 50, 6) AS c FROM bars JOIN w USING (symbol) GROUP BY 1) SELECT ts, c AS open, c AS high, c AS low, c AS close, CAST(0 AS DOUBLE) AS volume FROM i WHERE n = 3",
+)
+add(
+    "w29u_session_trim", lambda s, d: indicators.session_trim(hourly(s, d)).select("symbol", "ts", "close"),
+    f"WITH {HOURLY}, l AS (SELECT symbol, max(ts) AS last FROM bars GROUP BY 1), o AS (SELECT symbol, CASE WHEN hour(last) >= 17 THEN date_trunc('day', last) ELSE date_trunc('day', last) - INTERVAL 1 DAY END + INTERVAL 17 HOURS AS opened FROM l) SELECT symbol, ts, round(close, 6) AS close FROM bars JOIN o USING (symbol) WHERE ts >= opened",
+)
 
 
 def _zoned(s: SparkSession, d: str) -> DataFrame:
