@@ -83,6 +83,14 @@ def test_pii_linear(run):
     assert pii.find_spans(text, 0.5) is not None
 
 
+def test_pii_dense():
+    # many spans of one kind, national numbers after and between international ones: none overlap, and it takes little time
+    text = "call +1 269 555 3296 or phone (269) 555-3297, " * 8000
+    found = pii.find_spans(text, 0.5)
+    phones = sorted((s["start"], s["end"]) for s in found if s["kind"] == "phone")
+    assert len(phones) >= 16_000 and all(a[1] <= b[0] for a, b in zip(phones, phones[1:], strict=False))
+
+
 # --- language ---------------------------------------------------------------------------------------------------------
 
 
