@@ -6,15 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bar_queries, event_queries, model_queries, more_queries, score_queries, structure_queries
+from . import bar_queries, decision_queries, event_queries, model_queries, more_queries, score_queries, structure_queries
 from .event_queries import flagship
 
 __all__ = ["flagship", "oracle_sql", "queries"]
 
+MODULES = (bar_queries, event_queries, structure_queries, model_queries, more_queries, score_queries, decision_queries)
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {**bar_queries.QUERIES, **event_queries.QUERIES, **structure_queries.QUERIES, **model_queries.QUERIES, **more_queries.QUERIES, **score_queries.QUERIES}
+    return {name: query for m in MODULES for name, query in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**bar_queries.SQL, **event_queries.SQL, **structure_queries.SQL, **model_queries.SQL, **more_queries.SQL, **score_queries.SQL}
+    return {name: sql for m in MODULES for name, sql in m.SQL.items()}
