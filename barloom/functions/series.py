@@ -7,6 +7,7 @@ shuffle.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
@@ -98,22 +99,33 @@ def linear_scan(df: DataFrame, b: str, decay: float, out: str, bucket: str = "da
     Rows are folded inside blocks of a calendar bucket (at most ``block`` rows), and only one row per block takes part in
     the series-wide step, so one very long series doesn't end in one task.
     """
-    if not 0 < decay < 1:
+    return linear_scans(df, {out: (b, decay)}, bucket, block, keys)
+
+
+def _carried(decay: float) -> Callable[[Column, Column], Column]:
+    """The value at a block's end from that at the end of the one before."""
+    return lambda y, e: F.pow(F.lit(decay), e["size"]) * y + e["end"]
+
+
+def linear_scans(df: DataFrame, scans: dict[str, tuple[str, float]], bucket: str = "day", block: int = 128, keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """linear_scan() of several (b, decay) by their ``out``, with the shuffles of one. All ``b`` have to be null in the same rows."""
+    if not all(0 < decay < 1 for _, decay in scans.values()):
         raise ValueError("decay must lie between 0 and 1")
-    have = F.col(b).isNotNull()
+    have = F.col(next(iter(scans.values()))[0]).isNotNull()
     in_bucket = Window.partitionBy(*keys, "_bucket").orderBy("ts")
     numbered = df.withColumn("_bucket", F.date_trunc(bucket, "ts")).withColumn("_n", F.sum(have.cast("int")).over(in_bucket.rowsBetween(Window.unboundedPreceding, 0)) - 1)
     placed = numbered.withColumn("_block", F.floor(F.greatest("_n", F.lit(0)) / block)).withColumn("_pos", (F.greatest("_n", F.lit(0)) % block).cast("double"))
     in_block = Window.partitionBy(*keys, "_bucket", "_block").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
-    local = placed.withColumn("_local", F.pow(F.lit(decay), "_pos") * F.sum(F.when(have, F.col(b) * F.pow(F.lit(1 / decay), "_pos"))).over(in_block))
-    ends = local.filter(have).groupBy(*keys, "_bucket", "_block").agg(F.max_by("_local", "ts").alias("_end"), F.count(F.lit(1)).cast("double").alias("_size"))
-    # blocks before these no longer show in a double: decay ** rows < 2 ** -60
-    import math
-
-    reach = max(1, min(4096, math.ceil(60 * math.log(2) / -math.log(decay))))
-    before = Window.partitionBy(*keys).orderBy("_bucket", "_block").rowsBetween(-reach, -1)
-    carry = F.aggregate(F.collect_list(F.struct("_end", "_size")).over(before), F.lit(0.0), lambda y, e: F.pow(F.lit(decay), e["_size"]) * y + e["_end"])
-    carried = ends.select(*keys, "_bucket", "_block", carry.alias("_carry"))
-    joined = local.join(carried, [*keys, "_bucket", "_block"], "left")
-    value = F.when(have, F.col("_local") + F.col("_carry") * F.pow(F.lit(decay), F.col("_pos") + 1))
-    return joined.withColumn(out, value).drop("_bucket", "_n", "_block", "_pos", "_local", "_carry")
+    folded = {f"_local{i}": F.pow(F.lit(decay), "_pos") * F.sum(F.when(have, F.col(b) * F.pow(F.lit(1 / decay), "_pos"))).over(in_block) for i, (b, decay) in enumerate(scans.values())}
+    local = placed.withColumns(folded)
+    ends = local.filter(have).groupBy(*keys, "_bucket", "_block").agg(*[F.max_by(x, "ts").alias(f"{x}_end") for x in folded], F.count(F.lit(1)).cast("double").alias("_size"))
+    carries = []
+    for i, (_, decay) in enumerate(scans.values()):
+        # blocks before these no longer show in a double: decay ** rows < 2 ** -60
+        reach = max(1, min(4096, math.ceil(60 * math.log(2) / -math.log(decay))))
+        before = Window.partitionBy(*keys).orderBy("_bucket", "_block").rowsBetween(-reach, -1)
+        seen = F.collect_list(F.struct(F.col(f"_local{i}_end").alias("end"), F.col("_size").alias("size"))).over(before)
+        carries.append(F.aggregate(seen, F.lit(0.0), _carried(decay)).alias(f"_carry{i}"))
+    joined = local.join(ends.select(*keys, "_bucket", "_block", *carries), [*keys, "_bucket", "_block"], "left")
+    values = {out: F.when(have, F.col(f"_local{i}") + F.col(f"_carry{i}") * F.pow(F.lit(decay), F.col("_pos") + 1)) for i, (out, (_, decay)) in enumerate(scans.items())}
+    return joined.withColumns(values).drop("_bucket", "_n", "_block", "_pos", *folded, *[f"_carry{i}" for i in range(len(scans))])

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.series import KEYS, diff, lag, linear_scan, ratio, roll, series, so_far
+from ..functions.series import KEYS, diff, lag, linear_scan, linear_scans, ratio, roll, series, so_far
 from .joins import asof
 
 
@@ -33,6 +33,13 @@ def ema(df: DataFrame, x: str, n: int, out: str | None = None, seed: int = 1) ->
     return exponential(df, x, 2 / (n + 1), out or f"ema_{n}", seed)
 
 
+def emas(df: DataFrame, x: str, spans: tuple[int, ...], prefix: str = "ema_") -> DataFrame:
+    """EMAs of x for all spans, in one scan of the series. W30"""
+    value, first = F.col(x), F.sum(F.col(x).isNotNull().cast("int")).over(so_far()) == 1
+    df = df.withColumns({f"_b{n}": F.when(value.isNotNull(), F.when(first, value).otherwise(value * (2 / (n + 1)))) for n in spans})
+    return linear_scans(df, {f"{prefix}{n}": (f"_b{n}", 1 - 2 / (n + 1)) for n in spans}).drop(*[f"_b{n}" for n in spans])
+
+
 def wilder(df: DataFrame, x: str, n: int, out: str, seed: int | None = None) -> DataFrame:
     return exponential(df, x, 1 / n, out, n if seed is None else seed)
 
@@ -51,7 +58,8 @@ def hull(df: DataFrame, x: str, n: int, out: str) -> DataFrame:
 
 def macd(df: DataFrame, x: str = "close", fast: int = 12, slow: int = 26, signal: int = 9) -> DataFrame:
     """Difference of two EMAs, its EMA, and what is between. W32"""
-    df = ema(ema(df, x, fast, "_fast"), x, slow, "_slow").withColumn("macd", F.col("_fast") - F.col("_slow")).drop("_fast", "_slow")
+    both = emas(df, x, (fast, slow), "_ema_")
+    df = both.withColumn("macd", F.col(f"_ema_{fast}") - F.col(f"_ema_{slow}")).drop(f"_ema_{fast}", f"_ema_{slow}")
     return ema(df, "macd", signal, "macd_signal").withColumn("macd_hist", F.col("macd") - F.col("macd_signal"))
 
 

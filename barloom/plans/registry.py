@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bar_queries, decision_queries, event_queries, model_queries, more_queries, score_queries, structure_queries
+from . import bar_queries, decision_queries, event_queries, model_queries, more_queries, score_queries, structure_queries, suite_queries
 from .event_queries import flagship
 
 __all__ = ["flagship", "oracle_sql", "queries"]
 
-MODULES = (bar_queries, event_queries, structure_queries, model_queries, more_queries, score_queries, decision_queries)
+MODULES = (bar_queries, event_queries, structure_queries, model_queries, more_queries, score_queries, decision_queries, suite_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
