@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.series import clip, lag, ratio, roll
+from ..functions.series import as_col, clip, lag, ratio, roll
 
 
 def span_of() -> Column:
@@ -126,9 +126,10 @@ def pip_size(symbol: Column) -> Column:
     return F.when(s.contains("JPY"), 0.01).when(s.contains("XAU"), 0.1).when(s.contains("BTC") | s.contains("ETH"), 1.0).otherwise(0.0001)
 
 
-def tf_regime(asset_strong: Column, dollar_strong: Column, asset_diff: Column, dollar_diff: Column) -> Column:
-    """Which side leads; the diffs decide where both or neither side is strong. P13"""
-    return F.when(asset_strong & ~dollar_strong, "STRONG_ASSET").when(~asset_strong & dollar_strong, "STRONG_DXY").when(asset_diff >= dollar_diff, F.when(asset_strong, "STRONG_ASSET").otherwise("WEAK_DXY")).otherwise(F.when(asset_strong, "STRONG_DXY").otherwise("WEAK_ASSET"))
+def tf_regime(asset_slow: Column | str, dollar_slow: Column | str, asset_fast: Column | str, dollar_fast: Column | str) -> Column:
+    """Which side leads on the slow measure, and whether the fast one agrees (STRONG_*) or not (WEAK_*); null where one is missing. P13"""
+    slow, fast = as_col(asset_slow) > as_col(dollar_slow), as_col(asset_fast) > as_col(dollar_fast)
+    return F.when(slow & fast, "STRONG_ASSET").when(slow & ~fast, "WEAK_ASSET").when(~slow & fast, "WEAK_DXY").when(~slow & ~fast, "STRONG_DXY")
 
 
 def sigmoid_norm(x: str, n: int, k: float = 1.0) -> Column:

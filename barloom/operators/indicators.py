@@ -211,9 +211,9 @@ def volume_metrics(df: DataFrame, n: int = 50) -> DataFrame:
 
 
 def rolling_zscore(df: DataFrame, x: str, n: int, out: str) -> DataFrame:
-    """z over the last n + 1 values, from max(2, min(n, 5)) of them on; 0 where they don't vary. W29j"""
+    """z by the sample deviation over the last n + 1 values, from max(2, min(n, 5)) of them on; 0 where they don't vary. W29j"""
     w = last_rows(n + 1)
-    n_seen, mean, sd = F.count(x).over(w), F.avg(x).over(w), F.stddev_pop(x).over(w)
+    n_seen, mean, sd = F.count(x).over(w), F.avg(x).over(w), F.stddev_samp(x).over(w)
     return df.withColumn(out, F.when((n_seen >= max(2, min(n, 5))) & F.col(x).isNotNull(), F.coalesce(ratio(F.col(x) - mean, sd), F.lit(0.0))))
 
 

@@ -122,7 +122,7 @@ add_sql("w29e_volume_metrics", indicators.volume_metrics, {"up_volume": roll("su
 add_sql("w29f_obv", indicators.obv, {"obv": "sum(coalesce(sign(d), 0) * volume) OVER cum"}, {"d": STEP})
 add_sql("w29g_structural_range", indicators.structural_range, {"range_high": "t", "range_low": "b", "range_width": "t - b", "range_pos": div("close - b", "t - b")}, {"t": roll("max", "high", 50, 20), "b": roll("min", "low", 50, 20)})
 add_sql("w29i_metric_momentum", indicators.metric_momentum, {"metric_ratio": "q", "metric_dir": "CAST(CASE WHEN q > 1.2 THEN 1 WHEN q < 0.8 THEN -1 ELSE 0 END AS INTEGER)"}, {"g": f"100 * {div('high - low', 'open')}"}, {"q": div(roll("avg", "g", 5), roll("avg", "g", 20))}, plain=("metric_dir",))
-add_sql("w29j_rolling_zscore", lambda b: indicators.rolling_zscore(b, "close", 10, "z"), {"z": f"CASE WHEN count(close) OVER r11 >= 5 THEN coalesce({div('close - avg(close) OVER r11', 'stddev_pop(close) OVER r11')}, 0) END"})
+add_sql("w29j_rolling_zscore", lambda b: indicators.rolling_zscore(b, "close", 10, "z"), {"z": f"CASE WHEN count(close) OVER r11 >= 5 THEN coalesce({div('close - avg(close) OVER r11', 'stddev_samp(close) OVER r11')}, 0) END"})
 add_sql("w29l_csm", indicators.currency_strength, {"csm": "CASE WHEN z IS NOT NULL THEN least(greatest(z, -3), 3) / 3 END"}, {"pct": div(STEP, "lag(close) OVER s")}, {"z": div(f"pct - {roll('avg', 'pct', 20)}", roll("stddev_samp", "pct", 20))})
 add(
     "w29s_prev_period_high_low", indicators.prev_period_high_low, ("prev_high", "prev_low", "broke_high", "broke_low"),
