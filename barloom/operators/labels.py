@@ -82,6 +82,55 @@ def next_zone(df: DataFrame, n: int = 20, touch: float = 0.004, slots: tuple[str
     return df.withColumn("_first", first).withColumns({"next_zone": F.when(full, F.coalesce("_first.cls", F.lit(len(slots)))), "next_zone_bars": F.when(full, F.coalesce("_first.bars", F.lit(n + 1).cast("long"))), "next_zone_dist": F.when(full, F.col("_first.dist"))}).drop("_hs", "_ls", "_first")
 
 
+def zone_touch_sequence(df: DataFrame, n: int = 30, touch: float = 0.003, support: str = "support", resistance: str = "resistance") -> DataFrame:
+    """``touch_1`` and ``touch_2``: which level the next n rows reach first, and which then: 0 resistance, 1 support, 2 neither. L11
+
+    Levels are those of the next row, and for the second touch those of the row after the first one, so the row's own don't
+    give the answer away. A resistance counts while over the close, a support while under it; of both in one row the resistance.
+    Near the end of a series fewer rows are looked at; with fewer than two to come nothing is touched.
+    """
+    ahead = F.collect_list(F.struct("high", "low", "close", F.col(support).alias("s"), F.col(resistance).alias("r"))).over(next_rows(n))
+    df = df.withColumn("_ahead", ahead)
+
+    def first(rows: Column, close: Column) -> Column:
+        """Kind and place (from 1) of the first touch among ``rows``, by the levels of the first of them."""
+        up, down = F.get(rows, F.lit(0))["r"], F.get(rows, F.lit(0))["s"]
+        high = F.array_position(F.transform(rows, lambda x: x["high"] >= up * (1 - touch)), True)
+        low = F.array_position(F.transform(rows, lambda x: x["low"] <= down * (1 + touch)), True)
+        high = F.when((up > close) & (up > 0) & (high > 0), high)
+        low = F.when((down < close) & (down > 0) & (low > 0), low)
+        return F.when(high.isNotNull() & (low.isNull() | (high <= low)), F.struct(F.lit(0).alias("kind"), high.alias("at"))).when(low.isNotNull(), F.struct(F.lit(1).alias("kind"), low.alias("at")))
+
+    df = df.withColumn("_first", F.when(F.size("_ahead") >= 2, first(F.col("_ahead"), F.col("close"))))
+    df = df.withColumn("_rest", F.when(F.col("_first").isNotNull(), F.slice("_ahead", F.col("_first.at").cast("int") + 1, F.lit(n))))
+    df = df.withColumn("_second", F.when(F.size("_rest") > 0, first(F.col("_rest"), F.get("_ahead", F.col("_first.at").cast("int") - 1)["close"])))
+    return df.withColumns({"touch_1": F.coalesce("_first.kind", F.lit(2)), "touch_2": F.coalesce("_second.kind", F.lit(2))}).drop("_ahead", "_first", "_rest", "_second")
+
+
+def forward_excursion(df: DataFrame, n: int = 24) -> DataFrame:
+    """Move, largest rise of the highs and largest fall of the lows over the next n rows, in price; rows with fewer to come go. L13"""
+    c = F.col("close")
+    moved = df.withColumns({f"forward_move_{n}": lead("close", n) - c, f"forward_mfe_{n}": forward(F.max, "high", n) - c, f"forward_mae_{n}": c - forward(F.min, "low", n)})
+    return moved.filter(F.col(f"forward_move_{n}").isNotNull())
+
+
+#: Columns that forward targets read; rising, falling and signed ones, and those of the width of a bar.
+SOURCES = {"price_velocity_bull": 1, "price_velocity_bear": -1, "price_velocity_net": 0, "volatility_bull": 1, "volatility_bear": -1, "volatility_regime": None, "volatility_expansion": None}
+
+
+def synthesise_pivots(df: DataFrame, atr: str = "atr", support: str = "support", resistance: str = "resistance") -> DataFrame:
+    """Pivots from the nearest levels: r1 and s1 are these, the others one and two ranges further off; and the columns that forward targets need. L16
+
+    A source column that isn't there is made from the next bar's return (its rise, its fall, itself) or from the range's share
+    of the close; one that is there stays.
+    """
+    c, a = F.col("close"), F.col(atr)
+    levels = {f"r{i + 1}": F.col(resistance) + i * a for i in range(3)} | {f"s{i + 1}": F.col(support) - i * a for i in range(3)}
+    ahead = F.coalesce(ratio(lead("close") - c, c), F.lit(0.0))
+    made = {1: F.greatest(ahead, F.lit(0.0)), -1: F.greatest(-ahead, F.lit(0.0)), 0: ahead, None: a / (c + 1e-6)}
+    return df.withColumns(levels | {k: made[kind] for k, kind in SOURCES.items() if k not in df.columns})
+
+
 def horizon_moves(df: DataFrame, horizons: tuple[int, ...] = (1, 3, 6, 12)) -> DataFrame:
     """Absolute moves and up flags. L13"""
     c = F.col("close")
