@@ -1,8 +1,7 @@
 """Descriptive and multivariate statistics of numeric columns.
 
 Frames are long where columns are compared: (column, x) rows come from one unpivot, so the number of columns doesn't
-change the plan. Exact percentiles buffer the distinct values of a column in one task; for columns of many distinct
-values ``approximate`` takes a sketch instead.
+change the plan. Exact quantiles and ranks order distinct values in ranges that a sketch cuts, never a column in one task.
 """
 
 from __future__ import annotations
@@ -10,6 +9,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,21 +21,57 @@ def unpivot(df: DataFrame, columns: tuple[str, ...], by: tuple[str, ...] = ()) -
     return df.select(*by, F.explode(F.array(*[F.struct(F.lit(c).alias("column"), clean(c).alias("x")) for c in columns])).alias("e")).select(*by, "e.column", "e.x")
 
 
-def _quantile(q: float, approximate: bool) -> Column:
-    return F.percentile_approx("x", q, 10_000) if approximate else F.percentile("x", F.lit(q))
+#: Ranges that the distinct values of a column are ordered in.
+RANGES = 200
 
 
-def describe(df: DataFrame, columns: tuple[str, ...], approximate: bool = False) -> DataFrame:
+def _placed(long: DataFrame, ranges: int = RANGES) -> tuple[DataFrame, DataFrame]:
+    """Distinct values with their counts and range, and by range the rows before it (``start``), in it, and of the column.
+
+    Cuts are approximate quantiles of the distinct values, so a frequent value is one row and ranges hold about equally many;
+    where they fall changes no result. Both sides that are broadcast have a row, or ``ranges`` rows, for each column.
+    """
+    counts = long.filter("x is not null").groupBy("column", "x").agg(F.count(F.lit(1)).alias("n"))
+    cuts = counts.groupBy("column").agg(F.percentile_approx("x", [i / ranges for i in range(1, ranges)], 10_000).alias("cuts"))
+    placed = counts.join(F.broadcast(cuts), "column").withColumn("range", F.size(F.filter("cuts", lambda c: c < F.col("x")))).drop("cuts")
+    sizes = placed.groupBy("column", "range").agg(F.sum("n").alias("size"))
+    upto = F.sum("size").over(Window.partitionBy("column").orderBy("range"))
+    return placed, sizes.select("column", "range", "size", (upto - F.col("size")).alias("start"), F.sum("size").over(Window.partitionBy("column")).alias("total"))
+
+
+def quantiles(long: DataFrame, wanted: dict[str, float]) -> DataFrame:
+    """By column exact quantiles, linear between neighbours; a column without values has no row. Only ranges that hold one are ordered. A08"""
+    placed, starts = _placed(long)
+    ask = lambda name, q, side: F.struct(F.lit(name).alias("name"), F.lit(side).alias("side"), side_of[side](q * (F.col("total") - 1)).cast("long").alias("rank"))
+    side_of = {"low": F.floor, "high": F.ceil}
+    asked = starts.withColumn("ask", F.explode(F.array(*[ask(name, q, side) for name, q in wanted.items() for side in side_of])))
+    asked = asked.filter((F.col("ask.rank") >= F.col("start")) & (F.col("ask.rank") < F.col("start") + F.col("size")))
+    asked = asked.groupBy("column", "range").agg(F.first("start").alias("start"), F.first("total").alias("total"), F.collect_list("ask").alias("asks"))
+    upto = F.col("start") + F.sum("n").over(Window.partitionBy("column", "range").orderBy("x"))
+    held = placed.join(F.broadcast(asked), ["column", "range"]).withColumn("upto", upto).withColumn("ask", F.explode("asks"))
+    held = held.filter((F.col("ask.rank") < F.col("upto")) & (F.col("ask.rank") >= F.col("upto") - F.col("n")))
+    value = lambda name, side: F.max(F.when((F.col("ask.name") == name) & (F.col("ask.side") == side), F.col("x")))
+    share = lambda q: q * (F.first("total") - 1) - F.floor(q * (F.first("total") - 1))
+    return held.groupBy("column").agg(*[(value(name, "low") * (1 - share(q)) + value(name, "high") * share(q)).alias(name) for name, q in wanted.items()])
+
+
+def mean_ranks(long: DataFrame) -> DataFrame:
+    """By column each distinct value's rank from 1, equal values sharing their mean rank."""
+    placed, starts = _placed(long)
+    upto = F.col("start") + F.sum("n").over(Window.partitionBy("column", "range").orderBy("x"))
+    return placed.join(F.broadcast(starts.select("column", "range", "start")), ["column", "range"]).select("column", "x", (upto - (F.col("n") - 1) / 2).alias("rank"))
+
+
+def describe(df: DataFrame, columns: tuple[str, ...]) -> DataFrame:
     """By column: counts, means of several kinds, spread, shape, fences and percentiles. A08, A09"""
     n, mean, sd = F.count("x"), F.avg("x"), F.stddev_samp("x")
-    q1, q2, q3 = (_quantile(q, approximate) for q in (0.25, 0.5, 0.75))
     positive = F.when(F.col("x") > 0, F.col("x"))
-    out = unpivot(df, columns).groupBy("column").agg(
-        n.alias("count"), (100 * (1 - n / F.count(F.lit(1)))).alias("missing_pct"), mean.alias("mean"), q2.alias("median"), sd.alias("std"), F.var_samp("x").alias("variance"),
-        F.min("x").alias("min"), F.max("x").alias("max"), q1.alias("q1"), q3.alias("q3"), ratio(sd, F.abs(mean)).alias("cv"), ratio(sd, F.sqrt(n.cast("double"))).alias("sem"),
+    long = unpivot(df, columns)
+    out = long.groupBy("column").agg(
+        n.alias("count"), (100 * (1 - n / F.count(F.lit(1)))).alias("missing_pct"), mean.alias("mean"), sd.alias("std"), F.var_samp("x").alias("variance"),
+        F.min("x").alias("min"), F.max("x").alias("max"), ratio(sd, F.abs(mean)).alias("cv"), ratio(sd, F.sqrt(n.cast("double"))).alias("sem"),
         F.exp(F.avg(F.log(positive))).alias("geometric_mean"), (1 / F.avg(1 / positive)).alias("harmonic_mean"), F.skewness("x").alias("skewness"), F.kurtosis("x").alias("kurtosis"),
-        *[_quantile(p / 100, approximate).alias(f"p{p}") for p in (1, 5, 95, 99)],
-    )
+    ).join(quantiles(long, {"median": 0.5, "q1": 0.25, "q3": 0.75} | {f"p{p}": p / 100 for p in (1, 5, 95, 99)}), "column", "left")
     iqr = F.col("q3") - F.col("q1")
     return out.withColumns({"range": F.col("max") - F.col("min"), "iqr": iqr, "lower_fence": F.col("q1") - 1.5 * iqr, "upper_fence": F.col("q3") + 1.5 * iqr})
 
@@ -49,15 +85,14 @@ def mode(df: DataFrame, columns: tuple[str, ...]) -> DataFrame:
 def mad(df: DataFrame, columns: tuple[str, ...]) -> DataFrame:
     """By column the median absolute deviation from the median; a second pass against one row per column. A08"""
     long = unpivot(df, columns)
-    centre = long.groupBy("column").agg(F.percentile("x", F.lit(0.5)).alias("m"))
-    return long.join(centre, "column").withColumn("x", F.abs(F.col("x") - F.col("m"))).groupBy("column").agg(F.percentile("x", F.lit(0.5)).alias("mad"))
+    centre = quantiles(long, {"m": 0.5})
+    return quantiles(long.join(F.broadcast(centre), "column").select("column", F.abs(F.col("x") - F.col("m")).alias("x")), {"mad": 0.5})
 
 
 def trimmed_mean(df: DataFrame, columns: tuple[str, ...], share: float = 0.1) -> DataFrame:
     """By column the mean without the lowest and highest share (by quantile, bounds kept), and with those set to the bounds. A08"""
     long = unpivot(df, columns)
-    bounds = long.groupBy("column").agg(F.percentile("x", F.lit(share)).alias("lo"), F.percentile("x", F.lit(1 - share)).alias("hi"))
-    j = long.join(bounds, "column").filter("x is not null")
+    j = long.join(F.broadcast(quantiles(long, {"lo": share, "hi": 1 - share})), "column").filter("x is not null")
     return j.groupBy("column").agg(F.avg(F.when(F.col("x").between(F.col("lo"), F.col("hi")), F.col("x"))).alias("trimmed_mean"), F.avg(F.least(F.greatest("x", "lo"), "hi")).alias("winsorised_mean"))
 
 
@@ -94,14 +129,12 @@ def correlation_pairs(df: DataFrame, columns: tuple[str, ...]) -> DataFrame:
 def spearman_pairs(df: DataFrame, columns: tuple[str, ...], key: str) -> DataFrame:
     """Rank correlation of each pair of columns, equal values sharing their mean rank. A11
 
-    Ranks come from counts of distinct values, so equal values meet before the ordering; one window per column remains.
+    Ranks come from counts of distinct values, ordered in ranges; then one join by value for each column.
     """
     ranked = df.select(key, *[clean(c).alias(c) for c in columns]).na.drop()
+    ranks = mean_ranks(unpivot(ranked, columns))
     for c in columns:
-        values = ranked.groupBy(c).agg(F.count(F.lit(1)).alias("_n"))
-        upto = F.sum("_n").over(Window.orderBy(c).rowsBetween(Window.unboundedPreceding, 0))
-        rank = values.select(F.col(c).alias("_v"), (upto - (F.col("_n") - 1) / 2).alias(f"_r_{c}"))
-        ranked = ranked.join(rank, F.col(c) == F.col("_v")).drop("_v")
+        ranked = ranked.join(ranks.filter(F.col("column") == c).select(F.col("x").alias(c), F.col("rank").alias(f"_r_{c}")), c)
     return correlation_pairs(ranked.select(*[F.col(f"_r_{c}").alias(c) for c in columns]), columns)
 
 
@@ -140,8 +173,8 @@ def vif(df: DataFrame, columns: tuple[str, ...]) -> DataFrame:
 def outliers(df: DataFrame, columns: tuple[str, ...]) -> DataFrame:
     """By column: rows beyond 1.5 and 3 interquartile ranges, 3 deviations, and modified z over 3.5. A16"""
     long = unpivot(df, columns)
-    s = long.groupBy("column").agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("sd"), F.percentile("x", F.lit(0.25)).alias("q1"), F.percentile("x", F.lit(0.5)).alias("q2"), F.percentile("x", F.lit(0.75)).alias("q3")).join(mad(df, columns), "column")
-    j = long.join(s, "column")
+    moments = long.groupBy("column").agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("sd"))
+    j = long.join(F.broadcast(moments.join(quantiles(long, {"q1": 0.25, "q2": 0.5, "q3": 0.75}), "column").join(mad(df, columns), "column")), "column")
     iqr = F.col("q3") - F.col("q1")
     beyond = lambda k: (F.col("x") < F.col("q1") - k * iqr) | (F.col("x") > F.col("q3") + k * iqr)
     return j.groupBy("column").agg(F.count("x").alias("n"), F.count_if(beyond(1.5)).alias("iqr"), F.count_if(beyond(3.0)).alias("tukey"), F.count_if(F.abs(ratio(F.col("x") - F.col("m"), "sd")) > 3).alias("z"), F.count_if(F.abs(ratio(0.6745 * (F.col("x") - F.col("q2")), "mad")) > 3.5).alias("modified_z"))
@@ -162,6 +195,39 @@ def mahalanobis(df: DataFrame, columns: tuple[str, ...], key: str) -> DataFrame:
     return rows.select(key, F.sqrt(F.greatest(square, F.lit(0.0))).alias("distance"))
 
 
+def robust_outliers(df: DataFrame, columns: tuple[str, ...], key: str, threshold: float = 3.5) -> DataFrame:
+    """Rows by their root mean square of modified z-scores over all columns, and whether it is over the threshold. A18
+
+    Scores are 0.6745 deviations from the median in median absolute deviations; a column that doesn't vary adds nothing.
+    """
+    long = unpivot(df.select(key, *[clean(c).alias(c) for c in columns]).na.drop(), columns, (key,))
+    centre = quantiles(long, {"m": 0.5}).join(mad(df, columns), "column")
+    z = F.coalesce(0.6745 * ratio(F.col("x") - F.col("m"), "mad"), F.lit(0.0))
+    out = long.join(F.broadcast(centre), "column").groupBy(key).agg(F.sqrt(F.avg(z * z)).alias("score"))
+    return out.withColumn("outlier", F.col("score") > threshold)
+
+
+def distance_correlation(df: DataFrame, pairs: tuple[tuple[str, str], ...], key: str, most: int = 1000) -> DataFrame:
+    """Distance correlation of each pair of columns over the ``most`` rows of least key digest. A13
+
+    The sample bounds the quadratic work; each pair is one group of at most ``most`` rows in one task.
+    """
+    sample = df.select(key, *[clean(c).alias(c) for c in {x for p in pairs for x in p}]).na.drop().orderBy(F.md5(F.col(key).cast("string")), key).limit(most)
+    long = sample.select(F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(a).alias("x"), F.col(b).alias("y")) for a, b in pairs])).alias("e")).select("e.*")
+
+    def one(rows: pd.DataFrame) -> pd.DataFrame:
+        centred = []
+        for c in ("x", "y"):
+            v = rows[c].to_numpy(float)
+            d = np.abs(v[:, None] - v[None, :])
+            centred.append(d - d.mean(0)[None, :] - d.mean(1)[:, None] + d.mean())
+        cov, spread = (centred[0] * centred[1]).mean(), math.sqrt((centred[0] ** 2).mean() * (centred[1] ** 2).mean())
+        value = math.sqrt(max(cov, 0.0) / spread) if spread > 0 else 0.0
+        return pd.DataFrame({"a": [rows["a"].iloc[0]], "b": [rows["b"].iloc[0]], "n": [len(rows)], "dcor": [value]})
+
+    return long.groupBy("a", "b").applyInPandas(one, "a string, b string, n long, dcor double")
+
+
 def jarque_bera(df: DataFrame, columns: tuple[str, ...]) -> DataFrame:
     """By column the statistic n / 6 (skew² + kurtosis² / 4) and its p-value, which is exp(-jb / 2) at two degrees. A19"""
     g = unpivot(df, columns).groupBy("column").agg(F.count("x").alias("n"), F.skewness("x").alias("s"), F.kurtosis("x").alias("k"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.series import rounded
-from ..operators import decisions, labels, preparation, scaling
+from ..operators import decisions, labels, preparation, scaling, stats
 from .bar_queries import hourly
 from .decision_queries import STATE, state
 from .event_queries import read
@@ -125,3 +125,13 @@ def _signals(s: SparkSession, d: str) -> DataFrame:
 
 add("a43_merge_signal_chunks", _signals, over_bars({"type": "CASE WHEN close > open THEN 'bounce' ELSE 'break' END", "price": "close"}, plain=("type",)))
 add("s18_list_datasets", lambda s, d: preparation.list_datasets(read(s, d, "part").select(F.col("p_partkey").alias("dataset_id"), F.col("p_brand").alias("session_id"), F.col("p_type").alias("source_step"), F.col("p_size").alias("created_at")), session="Brand#23").select("dataset_id", "source_step", "created_at"), "SELECT p_partkey AS dataset_id, p_type AS source_step, p_size AS created_at FROM part WHERE p_brand = 'Brand#23'")
+
+# --- statistics of orders ---------------------------------------------------------------------------------------------
+def _orders(s: SparkSession, d: str) -> DataFrame:
+    return read(s, d, "orders").select("o_orderkey", "o_totalprice", (F.col("o_custkey") % 97).cast("double").alias("cust"), F.dayofmonth("o_orderdate").cast("double").alias("day"))
+
+
+_ROBUST = " + ".join(f"pow(coalesce(0.6745 * ({c} - m.{c}) / nullif(m.{c}_mad, 0), 0), 2)" for c in ("o_totalprice", "cust", "day"))
+_MEDIANS = ", ".join(f"median({c}) AS {c}, mad({c}) AS {c}_mad" for c in ("o_totalprice", "cust", "day"))
+add("a18_robust_outliers", lambda s, d: stats.robust_outliers(_orders(s, d), ("o_totalprice", "cust", "day"), "o_orderkey"), f"WITH o AS (SELECT o_orderkey, o_totalprice, CAST(o_custkey % 97 AS DOUBLE) AS cust, CAST(day(o_orderdate) AS DOUBLE) AS day FROM orders), m AS (SELECT {_MEDIANS} FROM o) SELECT o_orderkey, round(sqrt(({_ROBUST.replace('(o_', '(o.o_').replace('(cust -', '(o.cust -').replace('(day -', '(o.day -')}) / 3), 6) AS score, sqrt(({_ROBUST.replace('(o_', '(o.o_').replace('(cust -', '(o.cust -').replace('(day -', '(o.day -')}) / 3) > 3.5 AS outlier FROM o, m")
+add("a13_distance_correlation", lambda s, d: stats.distance_correlation(_orders(s, d), (("o_totalprice", "cust"), ("o_totalprice", "day")), "o_orderkey"), None)
