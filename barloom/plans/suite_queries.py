@@ -28,15 +28,15 @@ def _frame(agg: str, x: str, n: int, least: int | None = None) -> str:
     return f"CASE WHEN count({x}) {w} >= {least or n} THEN {agg}({x}) {w} END"
 
 
-def chained(first: dict[str, str], step: dict[str, str], *final: dict[str, str]) -> str:
-    """Columns carried row by row (``first`` at k = 1, ``step`` at b.k from p), then layers of columns over them; the last layer is what comes out."""
-    text = f"WITH RECURSIVE {HOURLY}, n AS (SELECT *, row_number() OVER w AS k, lag(close) OVER w AS pc, greatest(high - low, abs(high - lag(close) OVER w), abs(low - lag(close) OVER w)) AS tr FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY ts))"
+def chained(first: dict[str, str], step: dict[str, str], *final: dict[str, str], extra: dict[str, str] | None = None, plain: tuple[str, ...] = ()) -> str:
+    """Columns carried row by row (``first`` at k = 1, ``step`` at b.k from p), then layers of columns over them; the last layer is what comes out. ``extra`` columns look around each row (window w)."""
+    text = f"WITH RECURSIVE {HOURLY}, n AS (SELECT *, row_number() OVER w AS k, lag(close) OVER w AS pc, greatest(high - low, abs(high - lag(close) OVER w), abs(low - lag(close) OVER w)) AS tr{''.join(f', {e} AS {c}' for c, e in (extra or {}).items())} FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY ts))"
     text += f", rec AS (SELECT n.*, {', '.join(f'CAST({e} AS DOUBLE) AS {c}' for c, e in first.items())} FROM n WHERE k = 1 UNION ALL SELECT b.*, {', '.join(step[c] for c in first)} FROM rec p JOIN n b ON b.symbol = p.symbol AND b.k = p.k + 1)"
     last = "rec"
     for i, layer in enumerate(final[:-1]):
         text += f", c{i} AS (SELECT *, {', '.join(f'{e} AS {c}' for c, e in layer.items())} FROM {last})"
         last = f"c{i}"
-    return f"{text} SELECT symbol, ts, {', '.join(f'round({e}, 6) AS {c}' for c, e in final[-1].items())} FROM {last}"
+    return f"{text} SELECT symbol, ts, {', '.join(f'{e} AS {c}' if c in plain else f'round({e}, 6) AS {c}' for c, e in final[-1].items())} FROM {last}"
 
 
 def _ema_step(n: int) -> str:
