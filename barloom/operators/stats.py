@@ -21,19 +21,22 @@ def unpivot(df: DataFrame, columns: tuple[str, ...], by: tuple[str, ...] = ()) -
     return df.select(*by, F.explode(F.array(*[F.struct(F.lit(c).alias("column"), clean(c).alias("x")) for c in columns])).alias("e")).select(*by, "e.column", "e.x")
 
 
-#: Ranges that the distinct values of a column are ordered in.
-RANGES = 200
+#: Halvings that find a value's range: the distinct values of a column are ordered in 2 ** HALVINGS ranges.
+HALVINGS = 8
 
 
-def _placed(long: DataFrame, ranges: int = RANGES) -> tuple[DataFrame, DataFrame]:
+def _placed(long: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Distinct values with their counts and range, and by range the rows before it (``start``), in it, and of the column.
 
     Cuts are approximate quantiles of the distinct values, so a frequent value is one row and ranges hold about equally many;
-    where they fall changes no result. Both sides that are broadcast have a row, or ``ranges`` rows, for each column.
+    where they fall changes no result. What is broadcast has one row, or a row for each range, for each column.
     """
     counts = long.filter("x is not null").groupBy("column", "x").agg(F.count(F.lit(1)).alias("n"))
+    ranges = 2**HALVINGS
     cuts = counts.groupBy("column").agg(F.percentile_approx("x", [i / ranges for i in range(1, ranges)], 10_000).alias("cuts"))
-    placed = counts.join(F.broadcast(cuts), "column").withColumn("range", F.size(F.filter("cuts", lambda c: c < F.col("x")))).drop("cuts")
+    steps = F.array(*[F.lit(2**i) for i in reversed(range(HALVINGS))])
+    below = F.aggregate(steps, F.lit(0), lambda at, step: at + F.when(F.get("cuts", at + step - 1) < F.col("x"), step).otherwise(0))
+    placed = counts.join(F.broadcast(cuts), "column").withColumn("range", below).drop("cuts")
     sizes = placed.groupBy("column", "range").agg(F.sum("n").alias("size"))
     upto = F.sum("size").over(Window.partitionBy("column").orderBy("range"))
     return placed, sizes.select("column", "range", "size", (upto - F.col("size")).alias("start"), F.sum("size").over(Window.partitionBy("column")).alias("total"))
