@@ -164,3 +164,15 @@ def prebuilt(df: DataFrame, wanted: list[tuple[str, dict[str, float]]]) -> DataF
         if kind is not PREBUILT["ema"]:
             df = kind.run(df, p)
     return df
+
+
+def index_indicators(df: DataFrame, indices: tuple[str, ...], steps: tuple[str, ...], inference: bool = True) -> DataFrame:
+    """The suite on each index, its columns under the index's name, in one row for each (tf, ts). Z15
+
+    An index is one more series, so all are computed together; then one aggregate lays them side by side. A time at which an
+    index has no bar has nulls for it.
+    """
+    made = indicator_suite(df.filter(F.col("symbol").isin(*indices)), steps, inference)
+    columns = [c for c in made.columns if c not in ("symbol", "tf", "ts")]
+    pick = lambda index, c: F.max(F.when(F.col("symbol") == index, F.col(c))).alias(f"{index}_{c}")
+    return made.groupBy("tf", "ts").agg(*[pick(i, c) for i in indices for c in columns])

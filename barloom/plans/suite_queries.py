@@ -82,3 +82,9 @@ add(
     "w50_finalize", lambda b: suite.finalize(_holed(b), -1.0).withColumnRenamed("pivot_atr", "atr"),
     over_bars(_FILLED, {"tr": TR, "m": roll("avg", "close", 20)}, {"a0": roll("avg", "tr", 14), "m0": "CASE WHEN hour(ts) % 3 = 0 THEN m END"}), *_FILLED,
 )
+_INDICES = ("click", "view")
+_SIDE = ", ".join(f"round(max(CASE WHEN symbol = '{i}' THEN {e} END), 6) AS {i}_{c}" for i in _INDICES for c, e in {"close": "close", "bb_mid": "coalesce(m, 0)", "trend_strength": f"coalesce({div('far', 'path')}, 0)"}.items())
+QUERIES["z15_index_indicators"] = lambda spark, sf_dir: rounded(suite.index_indicators(hourly(spark, sf_dir), _INDICES, ("bollinger", "trend")).select("ts", *[f"{i}_{c}" for i in _INDICES for c in ("close", "bb_mid", "trend_strength")]))
+SQL["z15_index_indicators"] = (
+    f"WITH {HOURLY}, a AS (SELECT *, {_frame('avg', 'close', 20)} AS m, abs(close - lag(close) OVER w) AS step, abs(close - lag(close, 10) OVER w) AS far FROM bars WHERE symbol IN ('click', 'view') WINDOW w AS (PARTITION BY symbol ORDER BY ts)), b AS (SELECT *, {_frame('sum', 'step', 10)} AS path FROM a) SELECT ts, {_SIDE} FROM b GROUP BY ts"
+)
