@@ -8,12 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .brown_lm import score_texts
-from .common import crc_mod
+from .common import ascii_lower, crc_mod
 from .decontaminate import contamination
+from .html_extract import extract_main_text, fit_block_labeller
 from .jaccard_join import near_duplicates
 from .language_id import fit_language_model, identify
 from .line_dedup import remove_repeated_chunks, remove_repeated_passages
+from .merkle_manifest import merkle_manifest
 from .packing import best_fit_pack
+from .periodic_runs import periodic_runs
 from .pii import detect_pii, span_digest
 from .substring_dedup import remove_repeats
 from .token_counts import count_tokens
@@ -84,8 +87,43 @@ def op10_vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"))
 
 
+def with_repeated_tails(docs: DataFrame) -> DataFrame:
+    """``doc_id`` and ``text``, in which a document whose crc32 h ends in 0 repeats the p words from word a up to its end."""
+    n = F.size("w")
+    tail = n - F.col("a")
+    p = F.lit(1) + F.floor(tail / (3 + F.col("g") % 8)).cast("int")
+    copies = F.array_repeat(F.slice("w", F.col("a") + 1, p), F.ceil(tail / p).cast("int"))
+    planted = F.array_join(F.slice(F.concat(F.slice("w", F.lit(1), F.col("a")), F.flatten(copies)), F.lit(1), n), " ")
+    h = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    rows = docs.select("doc_id", "text", F.floor(h / 10).alias("g"), F.when(h % 10 == 0, F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))).alias("w"))
+    rows = rows.withColumn("a", F.when(n > 0, F.col("g") % n).cast("int"))
+    return rows.select("doc_id", F.when(n > 0, planted).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs(with_repeated_tails(table(spark, sf_dir, "documents")))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    better = lambda x, y: x["length"] * y["period"] > y["length"] * x["period"]
+    first = F.aggregate(F.slice("runs", 2, F.greatest(F.size("runs"), F.lit(1))), F.get("runs", F.lit(0)), lambda best, r: F.when(better(r, best), r).otherwise(best))
+    found = found.withColumn("best", first)
+    best = [F.col(f"best.{c}").alias(c) for c in ("start", "length", "period")]
+    milli = F.expr("1000 * best.length div best.period").alias("exponent_milli")
+    listed = F.when(F.size("runs") > 0, F.concat(F.array_join(lines, "\n"), F.lit("\n"))).otherwise("")
+    return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), *best, milli, F.sha2(listed.cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
+
+
+def op12_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    found = extract_main_text(pages, fit_block_labeller(pages))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_blocks", "n_main")
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle_manifest(table(spark, sf_dir, "documents"), tampered={"text": F.when(crc_mod("doc_id", 3) == 0, ascii_lower(F.col("text"))).otherwise(F.col("text"))})
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_pii, op2_language_id, op3_lm_score, op4_jaccard_join, op5_decontamination, op6_token_counts, op7_best_fit_packing, op8_substring_dedup, op9_line_dedup, op9_passage_dedup, op10_vector_topk)
+    ops = (op1_pii, op2_language_id, op3_lm_score, op4_jaccard_join, op5_decontamination, op6_token_counts, op7_best_fit_packing, op8_substring_dedup, op9_line_dedup, op9_passage_dedup, op10_vector_topk, op11_periodic_runs, op12_html_extract, op13_merkle_manifest)
     return {f.__name__: f for f in ops}
 
 
@@ -132,4 +170,20 @@ WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(
 p AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM p)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10""",
+    "op13_merkle_manifest": f"""
+WITH RECURSIVE h AS (SELECT doc_id, lang, source, n_chars, text, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(coalesce(CAST(doc_id AS VARCHAR), ''), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+    lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, (x & 1) * 3988292384))), 4294967295) AS crc FROM documents),
+f AS (SELECT *, CASE WHEN crc % 3 = 0 THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END AS changed FROM h),
+x AS (SELECT *, list_reduce(list_transform([CAST(doc_id AS VARCHAR), source, lang, CAST(n_chars AS VARCHAR)], lambda v: coalesce(strlen(v) || ':' || v, '-')), lambda p, q: p || q) AS head FROM f),
+e AS (SELECT doc_id, lang, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf, sha256(head || coalesce(strlen(changed) || ':' || changed, '-')) AS forged FROM x),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf, forged) - 1 AS pos, row_number() OVER () AS id FROM e),
+t AS (SELECT lang, 0 AS k, list(leaf ORDER BY pos) AS l FROM r GROUP BY lang UNION ALL SELECT lang, k + 1, list_transform(range(0, len(l), 8), lambda i: sha256(array_to_string(l[i + 1:i + 8], ''))) FROM t WHERE len(l) > 1),
+s AS (SELECT lang, l[1] AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos FROM t WHERE len(l) = 1),
+u AS (SELECT 0 AS k, list(subroot ORDER BY pos) AS l FROM s HAVING count(*) > 0 UNION ALL SELECT k + 1, list_transform(range(0, len(l), 8), lambda i: sha256(array_to_string(l[i + 1:i + 8], ''))) FROM u WHERE len(l) > 1),
+q AS (SELECT id, k, pos >> (3 * k) AS q, l FROM r JOIN t ON t.lang IS NOT DISTINCT FROM r.lang AND len(l) > 1
+    UNION ALL SELECT id, 1000 + k, s.pos >> (3 * k), l FROM r JOIN s ON s.lang IS NOT DISTINCT FROM r.lang JOIN u ON len(u.l) > 1),
+p AS (SELECT id, list({{'a': array_to_string(l[q - q % 8 + 1:q], ''), 'b': array_to_string(l[q + 2:q - q % 8 + 8], '')}} ORDER BY k) AS path FROM q GROUP BY id),
+w AS (SELECT r.*, s.subroot, (SELECT l[1] FROM u WHERE len(l) = 1) AS root, coalesce(path, []) AS path FROM r JOIN s ON s.lang IS NOT DISTINCT FROM r.lang LEFT JOIN p ON p.id = r.id),
+z AS (SELECT *, list_reduce(list_prepend({{'a': forged, 'b': ''}}, path), lambda x, y: {{'a': sha256(y.a || x.a || y.b), 'b': ''}}).a AS folded_root FROM w)
+SELECT doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(path, lambda v: v.a || v.b), '')) AS proof_sha256, folded_root, folded_root = root AS verified FROM z""",
 }
