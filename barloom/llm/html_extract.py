@@ -99,26 +99,24 @@ def lay_out(body: list[str], rest: list[str], rnd: random.Random) -> str:
 
 
 def labelled_pages(pages: list[str], layouts: int) -> tuple[list[list[Block]], list[np.ndarray]]:
-    """Blocks and labels of the pages that mark their body, and of ``layouts`` further layouts of each."""
+    """Blocks and labels of the pages that mark their body, and of ``layouts`` further layouts, dealt evenly over these pages."""
     rnd = random.Random(0)
     found, labels = [], []
-    for page in pages:
-        blocks = leaf_blocks(page)
-        label = labelled_by_markup(blocks)
-        if label is None or not label.any():
-            continue
+    cut = [leaf_blocks(page) for page in pages]
+    marked = [(blocks, label) for blocks, label in zip(cut, map(labelled_by_markup, cut), strict=True) if label is not None and label.any()]
+    for k, (blocks, label) in enumerate(marked):
         found.append(blocks)
         labels.append(label)
         body, rest = [b.text for b, y in zip(blocks, label, strict=True) if y], [b.text for b, y in zip(blocks, label, strict=True) if not y]
-        for _ in range(layouts):
+        for _ in range((k + 1) * layouts // len(marked) - k * layouts // len(marked)):
             again = leaf_blocks(lay_out(body, rest, rnd))
             found.append([b._replace(text=b.text.replace(_MARK, "") or "-") for b in again])
             labels.append(np.array([b.text.startswith(_MARK) for b in again], bool))
     return found, labels
 
 
-def fit_block_labeller(pages: DataFrame, html_col: str = "html", sample: int = 400, longest: int = 200_000, layouts: int = 3) -> bytes:
-    """The labeller's weights, learnt in one task from at most ``sample`` distinct pages of at most ``longest`` characters.
+def fit_block_labeller(pages: DataFrame, html_col: str = "html", sample: int = 400, longest: int = 200_000, layouts: int = 1200) -> bytes:
+    """The labeller's weights, learnt in one task from at most ``sample`` distinct pages of at most ``longest`` characters, and ``layouts`` layouts of these.
 
     The pages are those of least hash among those that mark their body, so the sample depends neither on how often pages
     repeat nor on how they are dealt. Without such a page the weights are the initial ones.

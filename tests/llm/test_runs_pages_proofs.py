@@ -147,7 +147,7 @@ def test_blocks_of_broken_markup():
 
 def test_gradients():
     pages = [r.html for r in _pages()[:3]]
-    blocks, labels = html_extract.labelled_pages(pages, 1)
+    blocks, labels = html_extract.labelled_pages(pages, 3)
     w = block_labeller.initial(1)
     x, y = block_labeller.Inputs(blocks), np.concatenate(labels).astype(np.float64)
     grads = block_labeller._gradients(w, x, np.argsort(-x.sizes, kind="stable"), y)
@@ -175,7 +175,7 @@ def _pages():
 def test_unseen_pages(spark, weights):
     """Held-out pages of other sizes' tables in unseen layouts: blocks nearly always right."""
     held = [r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").filter("page_id >= 150").collect()]
-    blocks, labels = html_extract.labelled_pages(held, 2)
+    blocks, labels = html_extract.labelled_pages(held, 2 * len(held))
     wrong = sum(int(((p >= 0.5) != y).sum()) for p, y in zip(block_labeller.probabilities(block_labeller.from_bytes(weights), blocks), labels, strict=True))
     assert wrong < 0.005 * sum(map(len, blocks))
 
