@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from heapq import heappop, heappush
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.blocks import first_crossing
 from ..functions.series import KEYS, ffill, lag, lead, ratio, series, so_far
 
 
@@ -56,34 +54,8 @@ def structure_breaks(df: DataFrame) -> DataFrame:
 
 
 def first_break(levels: DataFrame, bars: DataFrame) -> DataFrame:
-    """When a close first goes beyond each level after its time: levels carry symbol, tf, level_id, ts, price, side (1 up, -1 down).
-
-    One pass over each series' closes with heaps of the levels still open, so no pair of level and bar is made; series are
-    spread over the cluster.
-    """
-
-    def run(lv: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        lv, b = lv.sort_values("ts", kind="stable", ignore_index=True), b.sort_values("ts", kind="stable", ignore_index=True)
-        at: list = [pd.NaT] * len(lv)
-        open_up: list[tuple[float, int]] = []
-        open_down: list[tuple[float, int]] = []
-        nxt, starts, prices, sides = 0, lv["ts"].tolist(), lv["price"].tolist(), lv["side"].tolist()
-        for ts, close in zip(b["ts"], b["close"], strict=True):
-            while nxt < len(lv) and starts[nxt] < ts:
-                if prices[nxt] == prices[nxt]:
-                    heappush(open_up if sides[nxt] > 0 else open_down, (prices[nxt] * sides[nxt], nxt))
-                nxt += 1
-            if close != close:
-                continue
-            while open_up and open_up[0][0] < close:
-                at[heappop(open_up)[1]] = ts
-            while open_down and open_down[0][0] < -close:
-                at[heappop(open_down)[1]] = ts
-        return lv[[*KEYS, "level_id"]].assign(broken_at=pd.Series(at, dtype="datetime64[us]"))
-
-    lv = levels.select(*KEYS, F.col("level_id").cast("string").alias("level_id"), "ts", F.col("price").cast("double").alias("price"), F.col("side").cast("int").alias("side"))
-    found = lv.groupBy(*KEYS).cogroup(bars.select(*KEYS, "ts", "close").groupBy(*KEYS)).applyInPandas(run, "symbol string, tf string, level_id string, broken_at timestamp")
-    return levels.withColumn("level_id", F.col("level_id").cast("string")).join(found, [*KEYS, "level_id"], "left")
+    """When a close first goes beyond each level after its time: levels carry symbol, tf, level_id, ts, price, side (1 up, -1 down)."""
+    return first_crossing(levels.withColumn("level_id", F.col("level_id").cast("string")), bars, "close", "close", "broken_at")
 
 
 def zones_of(levels: DataFrame, width: float = 0.004) -> DataFrame:

@@ -23,14 +23,24 @@ def add(name: str, query: Callable[[SparkSession, str], DataFrame], sql: str | N
         SQL[name] = sql
 
 
-_AROUND = "OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING)"
-_SWINGS = (
-    f"WITH {HOURLY}, t AS (SELECT *, high = max(high) {_AROUND} AS top, low = min(low) {_AROUND} AS bot FROM bars), r AS (SELECT *, CASE WHEN top AND NOT bot THEN 1 WHEN bot AND NOT top THEN -1 END AS raw FROM t),"
-    " q AS (SELECT *, last_value(raw IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM r),"
-    " i AS (SELECT *, sum(CASE WHEN raw IS NOT NULL AND coalesce(prev, 0) <> raw THEN 1 ELSE 0 END) OVER (PARTITION BY symbol ORDER BY ts ROWS UNBOUNDED PRECEDING) AS island FROM q),"
-    " k AS (SELECT *, CASE WHEN raw IS NOT NULL THEN row_number() OVER (PARTITION BY symbol, island, raw ORDER BY CASE WHEN raw = 1 THEN -high ELSE low END, ts) END AS k FROM i),"
-    " swings AS (SELECT *, CASE WHEN k = 1 THEN raw ELSE 0 END AS swing, CASE WHEN k = 1 AND raw = 1 THEN high WHEN k = 1 AND raw = -1 THEN low END AS lvl FROM k)"
-)
+def swings_sql(length: int = 5, by_size: bool = False) -> str:
+    """Swings of a length, or of the lengths that fit the series' sizes."""
+    around = lambda n: f"OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN {n} PRECEDING AND {n} FOLLOWING)"
+    top, bottom = f"high = max(high) {around(length)}", f"low = min(low) {around(length)}"
+    if by_size:
+        sizes = "CASE WHEN {n} >= 1000 THEN {50} WHEN {n} >= 500 THEN {30} WHEN {n} >= 200 THEN {20} ELSE {10} END"
+        n = "count(*) OVER (PARTITION BY symbol)"
+        top, bottom = (sizes.replace("{n}", n).replace("{50}", f"{x} = {f}({x}) {around(50)}").replace("{30}", f"{x} = {f}({x}) {around(30)}").replace("{20}", f"{x} = {f}({x}) {around(20)}").replace("{10}", f"{x} = {f}({x}) {around(10)}") for x, f in (("high", "max"), ("low", "min")))
+    return (
+        f"WITH {HOURLY}, t AS (SELECT *, {top} AS top, {bottom} AS bot FROM bars), r AS (SELECT *, CASE WHEN top AND NOT bot THEN 1 WHEN bot AND NOT top THEN -1 END AS raw FROM t),"
+        " q AS (SELECT *, last_value(raw IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM r),"
+        " i AS (SELECT *, sum(CASE WHEN raw IS NOT NULL AND coalesce(prev, 0) <> raw THEN 1 ELSE 0 END) OVER (PARTITION BY symbol ORDER BY ts ROWS UNBOUNDED PRECEDING) AS island FROM q),"
+        " k AS (SELECT *, CASE WHEN raw IS NOT NULL THEN row_number() OVER (PARTITION BY symbol, island, raw ORDER BY CASE WHEN raw = 1 THEN -high ELSE low END, ts) END AS k FROM i),"
+        " swings AS (SELECT *, CASE WHEN k = 1 THEN raw ELSE 0 END AS swing, CASE WHEN k = 1 AND raw = 1 THEN high WHEN k = 1 AND raw = -1 THEN low END AS lvl FROM k)"
+    )
+
+
+_SWINGS = swings_sql()
 add("w41_swing_points", lambda s, d: structure.swing_points(hourly(s, d)).select("symbol", "ts", "swing", "swing_level"), _SWINGS + " SELECT symbol, ts, CAST(swing AS INTEGER) AS swing, round(lvl, 6) AS swing_level FROM swings")
 add(
     "w42_bos_choch", lambda s, d: structure.structure_breaks(structure.swing_points(hourly(s, d))).select("symbol", "ts", "swing", "bos", "choch", "broken_level"),
