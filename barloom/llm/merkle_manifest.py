@@ -126,8 +126,8 @@ def _rank(bitmap: Column, directory: Column, bit: Column) -> Column:
 def _index(ids: DataFrame) -> DataFrame:
     """Of each bucket the rows before it in its group, and its bitmaps by binary digit of the ids' counts, with directories."""
     digits = F.when(F.col("c") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.lit(62)), lambda j: F.getbit("c", j) == 1))
-    # a bucket has 32,768 ids at most, so one task may hold it
-    placed = ids.repartition("grp", "bucket").select("grp", "bucket", "bit", F.explode(digits).alias("digit"))
+    # bitmaps are built where ids are read, so only bitmaps are shuffled: a bucket's are at most 63 of 4 KB from each task
+    placed = ids.select("grp", "bucket", "bit", F.explode(digits).alias("digit"))
     maps = placed.groupBy("grp", "bucket", "digit").agg(F.bitmap_construct_agg("bit").alias("bitmap"), F.count(F.lit(1)).alias("n"))
     entries = F.transform(F.sequence(F.lit(0), F.lit((1 << BUCKET_BITS) // 8 // STRIDE - 1)), lambda i: F.bitmap_count(F.substring(F.col("bitmap"), F.lit(1), i * STRIDE)))
     maps = maps.withColumn("directory", entries)
