@@ -94,6 +94,24 @@ def nearest_levels(points: DataFrame, levels: DataFrame) -> DataFrame:
     return out.withColumn("distance", F.try_divide(F.least(F.col("price") - F.col("support"), F.col("resistance") - F.col("price")), F.col("price")))
 
 
+def _open_balance(fills: DataFrame, buy: Column, bucket: str = "day") -> DataFrame:
+    """Fills with ``_buys`` and ``_sells`` so far, ``_lost``, how far under 0 the balance of both has been, and ``_alone``, where that grows.
+
+    A day's fills are counted in its own order; days add up by one row each, so a symbol's fills spread over tasks.
+    """
+    inside = Window.partitionBy("symbol", "_day").orderBy("ts", "id")
+    upto = inside.rowsBetween(Window.unboundedPreceding, 0)
+    rows = fills.withColumn("_day", F.date_trunc(bucket, "ts")).withColumns({"_balance": F.sum(F.when(buy, 1).otherwise(-1)).over(upto), "_buys": F.count(F.when(buy, 1)).over(upto), "_sells": F.count(F.when(~buy, 1)).over(upto)})
+    rows = rows.withColumn("_low", F.min("_balance").over(upto))
+    days = rows.groupBy("symbol", "_day").agg(F.count(F.when(buy, 1)).alias("_b"), F.count(F.when(~buy, 1)).alias("_s"), F.min("_balance").alias("_l"))
+    before = Window.partitionBy("symbol").orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
+    days = days.withColumns({f"{c}0": F.coalesce(F.sum(c).over(before), F.lit(0)) for c in ("_b", "_s")})
+    days = days.withColumn("_l0", F.least(F.coalesce(F.min(F.col("_b0") - F.col("_s0") + F.col("_l")).over(before), F.lit(0)), F.lit(0))).drop("_b", "_s", "_l")
+    rows = rows.join(days, [rows["symbol"] == days["symbol"], rows["_day"].eqNullSafe(days["_day"])]).drop(days["symbol"], days["_day"])
+    rows = rows.withColumns({"_buys": F.col("_buys") + F.col("_b0"), "_sells": F.col("_sells") + F.col("_s0"), "_lost": -F.least("_l0", F.col("_b0") - F.col("_s0") + F.col("_low"))})
+    return rows.withColumn("_alone", F.col("_lost") > F.coalesce(F.lag("_lost").over(inside), -F.col("_l0"))).drop("_day", "_balance", "_low", "_b0", "_s0", "_l0")
+
+
 def fifo_match(fills: DataFrame, fee: float = 0.9975) -> DataFrame:
     """Each sell closes the oldest buy that is still open then; one without an open buy stands alone, with pnl 0. J13
 
@@ -102,12 +120,8 @@ def fifo_match(fills: DataFrame, fee: float = 0.9975) -> DataFrame:
 
     A sell is unmatched where the balance of buys and sells reaches a new low under 0; the n-th matched one closes buy n.
     """
-    w = Window.partitionBy("symbol").orderBy("ts", "id").rowsBetween(Window.unboundedPreceding, 0)
     buy, qty = F.col("side") == "buy", F.col("qty").cast("double")
-    counted = fills.filter(F.col("side").isin("buy", "sell")).withColumns({"_balance": F.sum(F.when(buy, 1).otherwise(-1)).over(w), "_buys": F.count(F.when(buy, 1)).over(w), "_sells": F.count(F.when(~buy, 1)).over(w)})
-    counted = counted.withColumn("_lost", F.greatest(-F.min("_balance").over(w), F.lit(0)))
-    in_order = Window.partitionBy("symbol").orderBy("ts", "id")
-    counted = counted.withColumn("_alone", F.col("_lost") > F.coalesce(F.lag("_lost").over(in_order), F.lit(0)))
+    counted = _open_balance(fills.filter(F.col("side").isin("buy", "sell")), buy)
     buys = counted.filter(buy).select("symbol", F.col("_buys").alias("_n"), F.col("ts").alias("opened"), F.col("price").alias("paid"), qty.alias("bought"))
     sells = counted.filter(~buy).select("symbol", F.when(~F.col("_alone"), F.col("_sells") - F.col("_lost")).alias("_n"), "ts", "id", "price", qty.alias("sold"))
     matched = sells.join(buys, ["symbol", "_n"], "left")

@@ -1,18 +1,19 @@
 """Indicators that feed back on themselves.
 
 Linear recurrences (EMA, Wilder, Heikin-Ashi) run as native block scans, parallel within a series. State machines
-(supertrend, parabolic SAR, zigzag, positions) are folds: one ordered pass for each series, parallel across series only.
+(supertrend, parabolic SAR, zigzag, positions) run in blocks that are checked against each other (``block_fold``), parallel
+within a series too.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import math
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.folds import block_fold
 from ..functions.series import KEYS, diff, lag, linear_scan, linear_scans, ratio, roll, series, so_far
 from .joins import asof
 
@@ -124,137 +125,135 @@ def tdi(df: DataFrame, n: int = 13) -> DataFrame:
     return df.withColumns({"tdi_upper": mid + 1.6185 * sd, "tdi_lower": mid - 1.6185 * sd, "tdi_line": roll(F.avg, "tdi_rsi", 2), "tdi_signal": roll(F.avg, "tdi_rsi", 7)})
 
 
-def ordered_fold(df: DataFrame, columns: tuple[str, ...], out: str, step: Callable[[dict[str, np.ndarray]], dict[str, np.ndarray]], keys: tuple[str, ...] = KEYS) -> DataFrame:
-    """Run ``step`` over each series in order of time: arrays of the columns in, arrays of the DDL columns ``out`` out.
-
-    One series has to fit in a task; series are spread over the cluster.
-    """
-    rows = df.select(*keys, "ts", *columns)
-
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values("ts", kind="stable", ignore_index=True)
-        got = step({c: p[c].to_numpy(np.float64, na_value=np.nan) for c in columns})
-        return p[[*keys, "ts"]].assign(**got)
-
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields if f.name in (*keys, "ts"))
-    return rows.groupBy(*keys).applyInPandas(run, f"{kinds}, {out}")
-
-
-def supertrend(df: DataFrame, n: int = 10, k: float = 3.0) -> DataFrame:
+def supertrend(df: DataFrame, n: int = 10, k: float = 3.0, block: int | None = None, warm: int | None = None) -> DataFrame:
     """Bands around the mid price that only tighten until the close crosses them. W35"""
     df = atr_wilder(df, n, "_atr")
 
-    def step(a: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    def step(a: dict[str, np.ndarray], state: list[float], first: int) -> tuple[dict[str, np.ndarray], list[float]]:
         mid, close = (a["high"] + a["low"]) / 2, a["close"]
         line, trend = np.full(len(mid), np.nan), np.zeros(len(mid), np.int32)
-        upper = lower = np.nan
-        up = 1
-        for i, r in enumerate(a["_atr"] * k):
-            if np.isnan(r):
-                continue
-            hi, lo = mid[i] + r, mid[i] - r
-            if np.isnan(upper):
-                upper, lower = hi, lo
-            else:
-                upper = hi if hi < upper or close[i - 1] > upper else upper
-                lower = lo if lo > lower or close[i - 1] < lower else lower
-                up = (1 if close[i] > upper else -1) if up < 0 else (-1 if close[i] < lower else 1)
-            line[i], trend[i] = (lower if up > 0 else upper), up
-        return {"supertrend": line, "supertrend_dir": trend}
-
-    folded = ordered_fold(df, ("high", "low", "close", "_atr"), "supertrend double, supertrend_dir int", step)
-    return df.drop("_atr").join(folded, [*KEYS, "ts"])
-
-
-def psar(df: DataFrame, start: float = 0.02, most: float = 0.2) -> DataFrame:
+        upper, lower, up, before = state
+        for i, (m, c, r) in enumerate(zip(mid.tolist(), close.tolist(), (a["_atr"] * k).tolist(), strict=True)):
+            if r == r:
+                hi, lo = m + r, m - r
+                if upper != upper:
+                    upper, lower = hi, lo
+                else:
+                    upper = hi if hi < upper or before > upper else upper
+                    lower = lo if lo > lower or before < lower else lower
+                    up = (1 if c > upper else -1) if up < 0 else (-1 if c < lower else 1)
+                line[i], trend[i] = (lower if up > 0 else upper), up
+            before = c
+        return {"supertrend": line, "supertrend_dir": trend}, [upper, lower, up, before]
+
+    folded = block_fold(df, ("high", "low", "close", "_atr"), "supertrend double, supertrend_dir int", [math.nan, math.nan, 1, math.nan], step, block, warm)
+    return df.drop("_atr").join(folded.drop("_i"), [*KEYS, "ts"])
+
+
+def psar(df: DataFrame, start: float = 0.02, most: float = 0.2, block: int | None = None, warm: int | None = None) -> DataFrame:
     """Parabolic stop and reverse. W36"""
 
-    def step(a: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-        high, low = a["high"], a["low"]
-        out, side = np.full(len(high), np.nan), np.zeros(len(high), np.int32)
-        if len(high) < 2:
-            return {"psar": out, "psar_dir": side}
-        up = bool(high[1] + low[1] >= high[0] + low[0])
-        stop, extreme, rate = (low[0], high[0], start) if up else (high[0], low[0], start)
-        for i in range(1, len(high)):
-            stop += rate * (extreme - stop)
-            if up:
-                stop = min(stop, low[i - 1], low[max(0, i - 2)])
-                if low[i] < stop:
-                    up, stop, extreme, rate = False, extreme, low[i], start
-                elif high[i] > extreme:
-                    extreme, rate = high[i], min(most, rate + start)
+    def step(a: dict[str, np.ndarray], state: list[float], first: int) -> tuple[dict[str, np.ndarray], list[float]]:
+        up, stop, extreme, rate, h1, h2, l1, l2 = state  # the last two highs and lows; up is NaN before the second row
+        out, side = np.full(len(a["high"]), np.nan), np.zeros(len(a["high"]), np.int32)
+        for i, (h, low) in enumerate(zip(a["high"].tolist(), a["low"].tolist(), strict=True)):
+            if h1 == h1:
+                if up != up:
+                    up = float(h + low >= h1 + l1)
+                    stop, extreme, rate = (l1, h1, start) if up else (h1, l1, start)
+                stop += rate * (extreme - stop)
+                if up:
+                    stop = min(stop, l1, l2)
+                    if low < stop:
+                        up, stop, extreme, rate = 0.0, extreme, low, start
+                    elif h > extreme:
+                        extreme, rate = h, min(most, rate + start)
+                else:
+                    stop = max(stop, h1, h2)
+                    if h > stop:
+                        up, stop, extreme, rate = 1.0, extreme, h, start
+                    elif low < extreme:
+                        extreme, rate = low, min(most, rate + start)
+                out[i], side[i] = stop, 1 if up else -1
+                h2, l2 = h1, l1
             else:
-                stop = max(stop, high[i - 1], high[max(0, i - 2)])
-                if high[i] > stop:
-                    up, stop, extreme, rate = True, extreme, high[i], start
-                elif low[i] < extreme:
-                    extreme, rate = low[i], min(most, rate + start)
-            out[i], side[i] = stop, 1 if up else -1
-        return {"psar": out, "psar_dir": side}
+                h2, l2 = h, low
+            h1, l1 = h, low
+        return {"psar": out, "psar_dir": side}, [up, stop, extreme, rate, h1, h2, l1, l2]
 
-    return df.join(ordered_fold(df, ("high", "low"), "psar double, psar_dir int", step), [*KEYS, "ts"])
+    return df.join(block_fold(df, ("high", "low"), "psar double, psar_dir int", [math.nan] * 8, step, block, warm).drop("_i"), [*KEYS, "ts"])
 
 
-def zigzag(df: DataFrame, rise: float = 0.05, fall: float = 0.05) -> DataFrame:
+def zigzag(df: DataFrame, rise: float = 0.05, fall: float = 0.05, block: int | None = None, warm: int | None = None) -> DataFrame:
     """Peaks (1) and valleys (-1) that a move of ``fall`` or ``rise`` confirms; ``zz_known`` rows later. The last pivot is open. W40"""
 
-    def step(a: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-        c = a["close"]
-        pivot, known = np.zeros(len(c), np.int32), np.zeros(len(c), np.int32)
-        top = bottom = 0
-        side = 0
-        for i in range(1, len(c)):
-            if side >= 0 and c[i] >= c[top]:
-                top = i
-            if side <= 0 and c[i] <= c[bottom]:
-                bottom = i
-            if side >= 0 and c[i] <= c[top] * (1 - fall):
-                pivot[top], known[top] = 1, i - top
-                side, bottom = -1, i
-            elif side <= 0 and c[i] >= c[bottom] * (1 + rise):
-                pivot[bottom], known[bottom] = -1, i - bottom
-                side, top = 1, i
-        return {"zz_pivot": pivot, "zz_known": known}
-
-    return df.join(ordered_fold(df, ("close",), "zz_pivot int, zz_known int", step), [*KEYS, "ts"])
-
-
-def bias_positions(df: DataFrame, enter: str, leave: str) -> DataFrame:
+    def step(a: dict[str, np.ndarray], state: list[float], first: int) -> tuple[dict[str, np.ndarray], list[float]]:
+        side, top, high, bottom, low = state  # where the last extremes stand, and their closes
+        told, back = np.zeros(len(a["close"]), np.int32), np.zeros(len(a["close"]), np.int32)
+        for i, c in enumerate(a["close"].tolist()):
+            at = first + i
+            if top != top:
+                top = bottom = at
+                high = low = c
+                continue
+            if side >= 0 and c >= high:
+                top, high = at, c
+            if side <= 0 and c <= low:
+                bottom, low = at, c
+            if side >= 0 and c <= high * (1 - fall):
+                told[i], back[i] = 1, at - top
+                side, bottom, low = -1, at, c
+            elif side <= 0 and c >= low * (1 + rise):
+                told[i], back[i] = -1, at - bottom
+                side, top, high = 1, at, c
+        # extremes of the side that is over play no part any more
+        if side < 0:
+            top, high = 0, 0.0
+        elif side > 0:
+            bottom, low = 0, 0.0
+        return {"_told": told, "_back": back}, [side, top, high, bottom, low]
+
+    folded = block_fold(df, ("close",), "_told int, _back int", [0, math.nan, math.nan, math.nan, math.nan], step, block, warm)
+    told = folded.filter("_told <> 0").select(*KEYS, (F.col("_i") - F.col("_back")).alias("_i"), F.col("_told").alias("zz_pivot"), F.col("_back").alias("zz_known"))
+    pivots = folded.select(*KEYS, "ts", "_i").join(told, [*KEYS, "_i"], "left").drop("_i").na.fill(0, ["zz_pivot", "zz_known"])
+    return df.join(pivots, [*KEYS, "ts"])
+
+
+def bias_positions(df: DataFrame, enter: str, leave: str, block: int | None = None, warm: int | None = None) -> DataFrame:
     """Position after each row: entered in the sign of ``enter`` when flat, added to when it repeats, left on ``leave``. W38"""
 
-    def step(a: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-        position, events, adds = np.zeros(len(a[enter]), np.int32), [], 0
-        at = 0
+    def step(a: dict[str, np.ndarray], state: list[float], first: int) -> tuple[dict[str, np.ndarray], list[float]]:
+        position, events = np.zeros(len(a[enter]), np.int32), []
+        at = int(state[0])
         for i, (e, x) in enumerate(zip(np.nan_to_num(a[enter]), np.nan_to_num(a[leave]), strict=True)):
             event = "hold"
             if at and (x or e == -at):
-                event, at, adds = "exit", 0, 0
+                event, at = "exit", 0
             elif at and e == at:
-                event, adds = "add", adds + 1
+                event = "add"
             elif not at and e:
                 event, at = "enter", int(e)
             position[i] = at
             events.append(event)
-        return {"position": position, "event": np.array(events, object)}
+        return {"position": position, "event": np.array(events, object)}, [at]
 
-    return df.join(ordered_fold(df, (enter, leave), "position int, event string", step), [*KEYS, "ts"])
+    return df.join(block_fold(df, (enter, leave), "position int, event string", [0], step, block, warm).drop("_i"), [*KEYS, "ts"])
 
 
-def non_overlapping(df: DataFrame, horizon: int) -> DataFrame:
+def non_overlapping(df: DataFrame, horizon: int, block: int | None = None, warm: int | None = None) -> DataFrame:
     """Of rows with an action (1 or -1), those taken while no earlier one is open for ``horizon`` rows, and their outcome. L15"""
     df = df.withColumn("_after", F.lead("close", horizon).over(series()))
 
-    def step(a: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    def step(a: dict[str, np.ndarray], state: list[float], first: int) -> tuple[dict[str, np.ndarray], list[float]]:
         taken, won = np.zeros(len(a["close"]), np.int32), np.full(len(a["close"]), np.nan)
-        free = 0
-        for i in np.flatnonzero(np.nan_to_num(a["action"])):
+        free = int(state[0])  # rows until the next may be taken
+        for i in np.flatnonzero(np.nan_to_num(a["action"])).tolist():
             if i >= free and not np.isnan(a["_after"][i]):
                 taken[i], free = 1, i + horizon
                 won[i] = float((a["_after"][i] - a["close"][i]) * a["action"][i] > 0)
-        return {"taken": taken, "won": won}
+        return {"taken": taken, "won": won}, [max(free - len(taken), 0)]
 
-    return ordered_fold(df, ("close", "action", "_after"), "taken int, won double", step)
+    return block_fold(df, ("close", "action", "_after"), "taken int, won double", [0], step, block, warm).drop("_i")
 
 
 def trendlines(df: DataFrame, n: int = 50) -> DataFrame:
