@@ -9,7 +9,6 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,13 +24,15 @@ def unpivot(df: DataFrame, columns: tuple[str, ...], by: tuple[str, ...] = ()) -
 HALVINGS = 8
 
 
-def _placed(long: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _placed(long: DataFrame, counted: bool = False) -> tuple[DataFrame, DataFrame]:
     """Distinct values with their counts and range, and by range the rows before it (``start``), in it, and of the column.
 
+    ``counted`` values are distinct already and come with their counts ``n``.
+
     Cuts are approximate quantiles of the distinct values, so a frequent value is one row and ranges hold about equally many;
     where they fall changes no result. What is broadcast has one row, or a row for each range, for each column.
     """
-    counts = long.filter("x is not null").groupBy("column", "x").agg(F.count(F.lit(1)).alias("n"))
+    counts = long if counted else long.filter("x is not null").groupBy("column", "x").agg(F.count(F.lit(1)).alias("n"))
     ranges = 2**HALVINGS
     cuts = counts.groupBy("column").agg(F.percentile_approx("x", [i / ranges for i in range(1, ranges)], 10_000).alias("cuts"))
     steps = F.array(*[F.lit(2**i) for i in reversed(range(HALVINGS))])
@@ -199,36 +200,15 @@ def mahalanobis(df: DataFrame, columns: tuple[str, ...], key: str) -> DataFrame:
 
 
 def robust_outliers(df: DataFrame, columns: tuple[str, ...], key: str, threshold: float = 3.5) -> DataFrame:
-    """Rows by their root mean square of modified z-scores over all columns, and whether it is over the threshold. A18
-
-    Scores are 0.6745 deviations from the median in median absolute deviations; a column that doesn't vary adds nothing.
-    """
-    long = unpivot(df.select(key, *[clean(c).alias(c) for c in columns]).na.drop(), columns, (key,))
-    centre = quantiles(long, {"m": 0.5}).join(mad(df, columns), "column")
-    z = F.coalesce(0.6745 * ratio(F.col("x") - F.col("m"), "mad"), F.lit(0.0))
-    out = long.join(F.broadcast(centre), "column").groupBy(key).agg(F.sqrt(F.avg(z * z)).alias("score"))
-    return out.withColumn("outlier", F.col("score") > threshold)
+    """Rows with all columns by their root mean square of modified z-scores, and whether it is over the threshold. A18
 
-
-def distance_correlation(df: DataFrame, pairs: tuple[tuple[str, str], ...], key: str, most: int = 1000) -> DataFrame:
-    """Distance correlation of each pair of columns over the ``most`` rows of least key digest. A13
-
-    The sample bounds the quadratic work; each pair is one group of at most ``most`` rows in one task.
+    Scores are 0.6745 deviations from the median in median absolute deviations, both of these rows; a column that doesn't
+    vary adds nothing. Two numbers a column reach the driver; rows aren't shuffled for their scores.
     """
-    sample = df.select(key, *[clean(c).alias(c) for c in {x for p in pairs for x in p}]).na.drop().orderBy(F.md5(F.col(key).cast("string")), key).limit(most)
-    long = sample.select(F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(a).alias("x"), F.col(b).alias("y")) for a, b in pairs])).alias("e")).select("e.*")
-
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        centred = []
-        for c in ("x", "y"):
-            v = rows[c].to_numpy(float)
-            d = np.abs(v[:, None] - v[None, :])
-            centred.append(d - d.mean(0)[None, :] - d.mean(1)[:, None] + d.mean())
-        cov, spread = (centred[0] * centred[1]).mean(), math.sqrt((centred[0] ** 2).mean() * (centred[1] ** 2).mean())
-        value = math.sqrt(max(cov, 0.0) / spread) if spread > 0 else 0.0
-        return pd.DataFrame({"a": [rows["a"].iloc[0]], "b": [rows["b"].iloc[0]], "n": [len(rows)], "dcor": [value]})
-
-    return long.groupBy("a", "b").applyInPandas(one, "a string, b string, n long, dcor double")
+    rows = df.select(key, *[clean(c).alias(c) for c in columns]).na.drop()
+    centre = {r["column"]: r for r in quantiles(unpivot(rows, columns), {"m": 0.5}).join(mad(rows, columns), "column").collect()}
+    z = [0.6745 * (F.col(c) - centre[c]["m"]) / centre[c]["mad"] if c in centre and centre[c]["mad"] else F.lit(0.0) for c in columns]
+    return rows.select(key, F.sqrt(sum((x * x for x in z), F.lit(0.0)) / len(columns)).alias("score")).withColumn("outlier", F.col("score") > threshold)
 
 
 def jarque_bera(df: DataFrame, columns: tuple[str, ...]) -> DataFrame:
