@@ -73,14 +73,15 @@ def words_of(text: bytes | None) -> list[bytes]:
     return text.lower().split() if text else []
 
 
-def per_text(rows: DataFrame, fields: str, of_texts: Callable[[list[str | None]], list[pa.Array]]) -> DataFrame:
-    """Append the columns ``fields`` (DDL) that ``of_texts`` computes from each Arrow batch of the last column, a string, which is dropped."""
-    *keys, text = rows.columns
+def per_text(rows: DataFrame, fields: str, of_texts: Callable[[list[str | None]], list[pa.Array]], keep: bool = False) -> DataFrame:
+    """Append the columns ``fields`` (DDL) that ``of_texts`` computes from each Arrow batch of the last column, a string, which is dropped unless ``keep``."""
+    text = rows.columns[-1]
+    keys = rows.columns if keep else rows.columns[:-1]
     names = [*keys, *T.StructType.fromDDL(fields).names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keys), *of_texts(b.column(text).to_pylist())], names=names)
 
-    schema = T.StructType([*rows.schema.fields[:-1], *T.StructType.fromDDL(fields).fields])
+    schema = T.StructType([*rows.schema.fields[: len(keys)], *T.StructType.fromDDL(fields).fields])
     return rows.mapInArrow(run, schema)

@@ -205,4 +205,9 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
         langs, scores = shared.value.predict(texts)
         return [pa.array(langs, pa.string()), pa.array(scores, pa.float64())]
 
-    return per_text(docs.select(col(id_col).alias("doc_id"), *map(col, carry), col(text_col).cast("string").alias("text_read")), "lang_pred string, score double", predict)
+    # a carried text goes through the workers once, not beside a second copy of it
+    kept = text_col in carry and docs.schema[text_col].dataType.simpleString() == "string"
+    others = [c for c in carry if not (kept and c == text_col)]
+    read = col(text_col).cast("string").alias("text_read")
+    told = per_text(docs.select(col(id_col).alias("doc_id"), *map(col, others), read), "lang_pred string, score double", predict, keep=kept)
+    return told.withColumnRenamed("text_read", text_col).select("doc_id", *map(col, carry), "lang_pred", "score") if kept else told
