@@ -81,33 +81,6 @@ def predictive_power(df: DataFrame, columns: tuple[str, ...], target: str, order
     return df.sparkSession.createDataFrame(rows, "fold int, r2 double")
 
 
-def unit_root(df: DataFrame, lags: int = 1) -> DataFrame:
-    """By series the Dickey-Fuller t statistic of the close: its change on its level and on earlier changes. A28
-
-    The lagged columns are windows; the regression is the normal equations' few sums, one aggregation for all series.
-    """
-    names = ["one", "level", *(f"d{i}" for i in range(1, lags + 1))]
-    d = df.withColumns({"_y": diff("close"), "one": F.lit(1.0), "level": lag("close"), **{f"d{i}": lag("close", i) - lag("close", i + 1) for i in range(1, lags + 1)}})
-    d = d.select("symbol", "_y", *names).na.drop()
-    sums = d.groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("_y") * F.col("_y")).alias("yy"), *[F.sum(F.col(a) * F.col("_y")).alias(f"y_{a}") for a in names], *[F.sum(F.col(a) * F.col(b)).alias(f"x_{a}_{b}") for a in names for b in names])
-
-    def solve(batches):
-        for p in batches:
-            out = []
-            for _, r in p.iterrows():
-                xx = np.array([[r[f"x_{a}_{b}"] for b in names] for a in names], float)
-                xy = np.array([r[f"y_{a}"] for a in names], float)
-                inv = np.linalg.pinv(xx)
-                beta = inv @ xy
-                free = r["n"] - len(names)
-                s2 = max(r["yy"] - beta @ xy, 0.0) / free if free > 0 else np.nan
-                se = np.sqrt(s2 * inv[1, 1])
-                out.append((r["symbol"], int(r["n"]), float(beta[1]), float(beta[1] / se) if se else None))
-            yield pd.DataFrame(out, columns=["symbol", "n", "gamma", "t"])
-
-    return sums.mapInPandas(solve, "symbol string, n long, gamma double, t double").withColumn("stationary", F.col("t") < -2.86)
-
-
 def kpss(df: DataFrame) -> DataFrame:
     """By series the KPSS level statistic without lags: summed squares of partial sums over n² times the variance. A28"""
     mean = F.avg("close").over(Window.partitionBy(*KEYS))

@@ -8,6 +8,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.folds import stored
 from ..functions.series import KEYS, clip, ratio, roll, series
 from . import indicators, recursive, scaling
 
@@ -180,6 +181,27 @@ def list_datasets(catalog: DataFrame, session: str | None = None, source: str |
     return catalog.orderBy(F.col("created_at").desc(), "dataset_id")
 
 
+def dataset_lineage(catalog: DataFrame) -> DataFrame:
+    """Every dataset (``session_id``, ``start_id``) with its ancestors: ``depth`` from 0, ``dataset_id``, and how the chain ``ended``. S18
+
+    A chain follows ``parent_id`` within its session up to a ``root`` without parent, a ``missing`` parent, or before it comes
+    back to a dataset that it holds (``cycle``). Paths double in length each round, so the rounds are the logarithm of the
+    longest chain. Ids are unique in a session; runs jobs when called.
+    """
+    known = catalog.select("session_id", "dataset_id", "parent_id")
+    parents = known.select("session_id", F.col("dataset_id").alias("parent_id"), F.lit(True).alias("_there")).distinct()
+    ended = F.when(F.col("parent_id").isNull(), "root").when(F.col("parent_id") == F.col("dataset_id"), "cycle").when(F.col("_there").isNull(), "missing")
+    paths = stored(known.join(parents, ["session_id", "parent_id"], "left").select("session_id", F.col("dataset_id").alias("start_id"), F.array("dataset_id").alias("path"), F.col("parent_id").alias("next"), ended.alias("ended")), "paths")
+    while not paths.filter("ended is null").isEmpty():
+        further = paths.select("session_id", F.col("start_id").alias("next"), F.col("path").alias("_path"), F.col("next").alias("_next"), F.col("ended").alias("_ended"))
+        met = paths.filter("ended is null").join(further, ["session_id", "next"])
+        # where the chain comes back to itself, if it does
+        back = F.array_min(F.transform(F.array_intersect("path", "_path"), lambda x: F.array_position("_path", x)))
+        one = met.select("session_id", "start_id", F.concat("path", F.slice("_path", F.lit(1), F.coalesce((back - 1).cast("int"), F.size("_path")))).alias("path"), F.col("_next").alias("next"), F.when(back.isNotNull(), "cycle").otherwise(F.col("_ended")).alias("ended"))
+        paths = stored(paths.filter("ended is not null").unionByName(one), "paths")
+    return paths.select("session_id", "start_id", "ended", F.posexplode("path").alias("depth", "dataset_id"))
+
+
 def old_sessions(sessions: DataFrame, now: Column, days: int = 7) -> DataFrame:
     """Sessions older than ``days`` that aren't archived; null counts as not archived. O04"""
     return sessions.filter((F.col("created_at") < now - F.make_dt_interval(F.lit(days))) & ~F.coalesce(F.col("archived"), F.lit(False)))

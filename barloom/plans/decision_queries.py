@@ -41,9 +41,9 @@ STATE = (
 )
 
 
-def on_state(name: str, op: Callable[[DataFrame], DataFrame], final: dict[str, str], *layers: dict[str, str], plain: tuple[str, ...] = ()) -> None:
-    QUERIES[name] = lambda spark, sf_dir: rounded(op(state(hourly(spark, sf_dir))).select("symbol", "ts", *final))
-    SQL[name] = over_bars(final, *STATE, *layers, plain=plain)
+def on_state(name: str, op: Callable[[DataFrame], DataFrame], final: dict[str, str], *layers: dict[str, str], plain: tuple[str, ...] = (), digits: int = 6) -> None:
+    QUERIES[name] = lambda spark, sf_dir: rounded(op(state(hourly(spark, sf_dir))).select("symbol", "ts", *final), digits)
+    SQL[name] = over_bars(final, *STATE, *layers, plain=plain, digits=digits)
 
 
 def masked(b: DataFrame) -> DataFrame:
@@ -97,4 +97,5 @@ on_state(
         "drawdown": "drawdown", "position": "CAST(held AS DOUBLE)", "pnl": "pnl", "atr_share": "coalesce(atr / close, 0)", "support_dist": "coalesce(abs(close - lo) / close, 1)", "resistance_dist": "coalesce(abs(close - hi) / close, 1)", "volume_delta": "net / (buys + sells + 1e-6)",
         "entries": "CAST(hour(ts) % 5 AS DOUBLE) / 3", "hour_sin": "sin(2 * pi() * hour(ts) / 24)", "hour_cos": "cos(2 * pi() * hour(ts) / 24)", "weekday": "(isodow(ts) - 1) / 6", "open": "CAST(hour(ts) = 14 AS DOUBLE)", "power_hour": "CAST(hour(ts) = 20 AS DOUBLE)",
     } | dict.fromkeys(_ZEROS, "CAST(0 AS DOUBLE)") | {"wins": "CAST(hour(ts) % 5 AS DOUBLE) / 10"}).items()},
+    digits=12,  # shares of a price are small: at six places a last bit shows
 )

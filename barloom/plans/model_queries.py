@@ -36,7 +36,6 @@ _F = " UNION ALL ".join(f"SELECT '{c}' AS \"column\", regr_r2(l_extendedprice, {
 add("a20_f_statistics", lambda s, d: models.f_statistics(lineitem(s, d), ("l_quantity", "l_discount", "l_tax"), "l_extendedprice"), f'WITH s AS ({_F}) SELECT "column", round(r2, 6) AS r2, CAST(n AS BIGINT) AS n, round(r2 * (n - 2) / (1 - r2), 6) AS f FROM s')
 add("a25_interactions", lambda s, d: models.interactions(lineitem(s, d), ("l_quantity", "l_discount", "l_tax"), "l_extendedprice"), None)
 add("a27_predictive_power", lambda s, d: models.predictive_power(lineitem(s, d), ("l_quantity", "l_discount"), "l_extendedprice", "l_orderkey"), None)
-add("a28_unit_root", lambda s, d: models.unit_root(hourly(s, d)), None)
 add(
     "a28_kpss", lambda s, d: models.kpss(hourly(s, d)),
     f"WITH {HOURLY}, e AS (SELECT symbol, ts, close - avg(close) OVER (PARTITION BY symbol) AS e FROM bars), p AS (SELECT *, sum(e) OVER (PARTITION BY symbol ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM e) SELECT symbol, round(sum(s * s) / (count(*) * count(*)) / avg(e * e), 6) AS kpss FROM p GROUP BY 1",

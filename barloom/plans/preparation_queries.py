@@ -134,4 +134,3 @@ def _orders(s: SparkSession, d: str) -> DataFrame:
 _ROBUST = " + ".join(f"pow(coalesce(0.6745 * ({c} - m.{c}) / nullif(m.{c}_mad, 0), 0), 2)" for c in ("o_totalprice", "cust", "day"))
 _MEDIANS = ", ".join(f"median({c}) AS {c}, mad({c}) AS {c}_mad" for c in ("o_totalprice", "cust", "day"))
 add("a18_robust_outliers", lambda s, d: stats.robust_outliers(_orders(s, d), ("o_totalprice", "cust", "day"), "o_orderkey"), f"WITH o AS (SELECT o_orderkey, o_totalprice, CAST(o_custkey % 97 AS DOUBLE) AS cust, CAST(day(o_orderdate) AS DOUBLE) AS day FROM orders), m AS (SELECT {_MEDIANS} FROM o) SELECT o_orderkey, round(sqrt(({_ROBUST.replace('(o_', '(o.o_').replace('(cust -', '(o.cust -').replace('(day -', '(o.day -')}) / 3), 6) AS score, sqrt(({_ROBUST.replace('(o_', '(o.o_').replace('(cust -', '(o.cust -').replace('(day -', '(o.day -')}) / 3) > 3.5 AS outlier FROM o, m")
-add("a13_distance_correlation", lambda s, d: stats.distance_correlation(_orders(s, d), (("o_totalprice", "cust"), ("o_totalprice", "day")), "o_orderkey"), None)

@@ -43,12 +43,12 @@ def windows(text: str) -> str:
     return f" WINDOW {', '.join(used)}" if used else ""
 
 
-def over_bars(final: dict[str, str], *layers: dict[str, str], plain: tuple[str, ...] = (), where: str = "", base: str = HOURLY, source: str = "bars", keep: tuple[str, ...] = ("symbol", "ts")) -> str:
-    """SELECT ``keep`` and the final columns (rounded to six places but for ``plain``) from layers of added columns over bars."""
+def over_bars(final: dict[str, str], *layers: dict[str, str], plain: tuple[str, ...] = (), where: str = "", base: str = HOURLY, source: str = "bars", keep: tuple[str, ...] = ("symbol", "ts"), digits: int = 6) -> str:
+    """SELECT ``keep`` and the final columns (rounded to ``digits`` places but for ``plain``) from layers of added columns over bars."""
     parts, last = [base], source
     for i, layer in enumerate(layers):
         cols = ", ".join(f"{e} AS {n}" for n, e in layer.items())
         parts.append(f"l{i} AS (SELECT *, {cols} FROM {last}{windows(cols)})")
         last = f"l{i}"
-    cols = ", ".join(f"{e} AS {n}" if n in plain else f"round({e}, 6) AS {n}" for n, e in final.items())
+    cols = ", ".join(f"{e} AS {n}" if n in plain else f"round({e}, {digits}) AS {n}" for n, e in final.items())
     return f"WITH {', '.join(parts)} SELECT {', '.join([*keep, cols])} FROM {last}{where and ' WHERE ' + where}{windows(cols)}"

@@ -44,24 +44,6 @@ def test_neighbour_features(spark):
             assert p["cci"].iloc[i] == pytest.approx((tp[i] - w.mean()) / (0.015 * np.abs(w - w.mean()).mean()), rel=1e-6, abs=1e-6)
 
 
-def test_distance_correlation(spark):
-    df = _orders(spark, DATA)
-    got = {(r.a, r.b): (r.n, r.dcor) for r in stats.distance_correlation(df, (("o_totalprice", "cust"), ("day", "day")), "o_orderkey", 200).collect()}
-    p = df.orderBy(F.md5(F.col("o_orderkey").cast("string")), "o_orderkey").limit(200).toPandas()
-
-    def covariance(x, y):
-        n, total = len(x), 0.0
-        d, e = np.abs(np.subtract.outer(x, x)), np.abs(np.subtract.outer(y, y))
-        for i in range(n):
-            for j in range(n):
-                total += (d[i, j] - d[i].mean() - d[:, j].mean() + d.mean()) * (e[i, j] - e[i].mean() - e[:, j].mean() + e.mean())
-        return total / n**2
-
-    x, y = p["o_totalprice"].to_numpy()[:], p["cust"].to_numpy()
-    want = np.sqrt(covariance(x, y) / np.sqrt(covariance(x, x) * covariance(y, y)))
-    assert got["o_totalprice", "cust"] == (len(p), pytest.approx(want)) and got["day", "day"][1] == pytest.approx(1)
-
-
 def test_quantiles_of_awkward_columns(spark):
     rows = [("hot", 1.0)] * 5000 + [("hot", float(i)) for i in range(100)] + [("one", 7.0)] + [("none", None)] * 3
     long = spark.createDataFrame(rows, "column string, x double")
