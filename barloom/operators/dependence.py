@@ -150,3 +150,75 @@ def pair_dependence(df: DataFrame, pairs: tuple[tuple[str, str], ...]) -> DataFr
     tau = F.when(varies, score / F.sqrt((every - F.col("t_x")) * (every - F.col("t_y"))))
     var = (n * (n - 1) * (2 * n + 5) - F.col("v_x") - F.col("v_y")) / 18 + 2 * F.col("t_x") * F.col("t_y") / (n * (n - 1)) + F.when(n > 2, F.col("u_x") * F.col("u_y") / (9 * n * (n - 1) * (n - 2))).otherwise(0.0)
     return j.select(*PAIR, "n", F.when(varies & (scale > 0), F.sqrt(F.greatest(cov, F.lit(0.0)) / scale)).otherwise(0.0).alias("dcor"), tau.alias("tau_b"), F.when(varies, normal_two_sided(score / F.sqrt(var))).alias("tau_p"))
+
+
+#: Chi-squared at 5 per cent with 3 and with 15 degrees of freedom.
+UNEVEN = {2: 7.815, 4: 24.996}
+
+
+def _uneven(counts: np.ndarray, parts: int) -> np.ndarray:
+    """Of each cell of a square array, whether its parts x parts pieces are farther from what the whole array's margins make of them than chance allows."""
+    side = len(counts) // parts
+    c = counts.reshape(side, parts, side, parts).transpose(0, 2, 1, 3).astype(float)
+    px, py = counts.sum(1).reshape(side, 1, parts, 1), counts.sum(0).reshape(1, side, 1, parts)
+    share = px * py
+    whole = share.sum((2, 3), keepdims=True)
+    expected = np.divide(share * c.sum((2, 3), keepdims=True), whole, out=np.zeros_like(c), where=whole > 0)
+    chi = np.divide((c - expected) ** 2, expected, out=np.zeros_like(c), where=expected > 0).sum((2, 3))
+    return chi > UNEVEN[parts]
+
+
+def adaptive_information(counts: np.ndarray) -> float:
+    """Mutual information (nats) of a table of counts with 2 ** k rows and columns: a cell is split in four while its quarters or sixteenths are uneven."""
+    n = counts.sum()
+    if n == 0:
+        return 0.0
+    depth = len(counts).bit_length() - 1
+    pyramid = [counts.astype(float)]
+    for _ in range(depth):
+        c = pyramid[0]
+        pyramid.insert(0, c.reshape(len(c) // 2, 2, len(c) // 2, 2).sum((1, 3)))
+    live, total = np.ones((1, 1), bool), 0.0
+    for k, c in enumerate(pyramid):
+        split = np.zeros_like(live)
+        if k < depth:
+            split = _uneven(pyramid[k + 1], 2)
+            if k + 1 < depth:
+                split |= _uneven(pyramid[k + 2], 4)
+        leaf = live & ~split & (c > 0)
+        px, py = c.sum(1, keepdims=True) / n, c.sum(0, keepdims=True) / n
+        p = c / n
+        with np.errstate(divide="ignore", invalid="ignore"):
+            total += float(np.where(leaf, p * np.log(p / (px * py)), 0).sum())
+        live = np.kron(live & split, np.ones((2, 2), bool))
+    return max(total, 0.0)
+
+
+def adaptive_mutual_information(df: DataFrame, pairs: tuple[tuple[str, str], ...], depth: int = 7) -> DataFrame:
+    """Mutual information (nats) of each pair of continuous columns over the rows that have both, and ``n``. A21
+
+    Each column is cut at 2 ** depth - 1 approximate quantiles; one aggregation counts the finest cells of all pairs, at most
+    4 ** depth of a pair, and from them cells are split as long as their pieces are uneven. Where the cuts fall hardly
+    matters, since cells are held against the rows that the margins really have. Gaussian pairs of 20,000 rows come out
+    within 0.03 up to a correlation of 0.95. Columns of few values may be used too.
+    """
+    columns = tuple(dict.fromkeys(c for p in pairs for c in p))
+    shares = [i / 2**depth for i in range(1, 2**depth)]
+    rows = df.select(*[clean(c).alias(c) for c in columns])
+    cuts = rows.agg(*[F.percentile_approx(c, shares, 10_000).alias(f"_cuts_{c}") for c in columns])
+    steps = F.array(*[F.lit(2**i) for i in reversed(range(depth))])
+
+    def place(c: str) -> Column:
+        return F.when(F.col(c).isNotNull(), F.aggregate(steps, F.lit(0), lambda at, step: at + F.when(F.get(f"_cuts_{c}", at + step - 1) < F.col(c), step).otherwise(0)))
+
+    # one row of cuts, some hundred numbers a column, goes to every task
+    placed = rows.withColumn("_one", F.lit(1)).join(F.broadcast(cuts.withColumn("_one", F.lit(1))), "_one").select(*[place(c).alias(c) for c in columns])
+    both = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(a).alias("i"), F.col(b).alias("j")) for a, b in pairs])
+    cells = placed.select(F.explode(both).alias("e")).select("e.*").filter("i is not null and j is not null").groupBy(*PAIR, "i", "j").agg(F.count(F.lit(1)).alias("c"))
+
+    def run(p: pa.Table) -> pa.Table:
+        counts = np.zeros((2**depth, 2**depth))
+        counts[p["i"].to_numpy(), p["j"].to_numpy()] = p["c"].to_numpy()
+        return pa.table({"a": p["a"][:1], "b": p["b"][:1], "n": [int(counts.sum())], "mi": [adaptive_information(counts)]})
+
+    return cells.groupBy(*PAIR).applyInArrow(run, "a string, b string, n long, mi double")

@@ -146,6 +146,43 @@ def reversal_labels(df: DataFrame, mean: str, n: int = 5, decay: float = 0.8) ->
     return df.withColumn("reversal_share", other / sum(weights))
 
 
+def forward_reversal(df: DataFrame, trend: Column, n: int = 8, decay: float = 0.85, hold: float = 0.65) -> DataFrame:
+    """What the next n bars make of a trend (1, -1; 0 is none): ``reversal_prob``, the decayed share of bars that close against it, each
+    against the bar before; ``continuation_prob``, the rest; ``reversal_held``, 1 if the first bar turns and the share is ``hold`` or more. L12
+
+    Where fewer than n bars follow, or there is no trend, the reversal is 0.
+    """
+    weights = [decay**i for i in range(n)]
+    steps = [(lead("close", i + 1) - (lead("close", i) if i else F.col("close"))) * F.signum(trend) < 0 for i in range(n)]
+    share = sum((F.when(against, w).otherwise(0.0) for against, w in zip(steps, weights, strict=True)), F.lit(0.0)) / sum(weights)
+    known = lead("close", n).isNotNull() & (trend != 0)
+    df = df.withColumns({"reversal_prob": F.when(known, F.round(share, 12)).otherwise(0.0), "_turned": known & steps[0]})
+    held = F.coalesce(F.col("_turned"), F.lit(False)) & (F.col("reversal_prob") >= hold)
+    return df.withColumns({"continuation_prob": 1 - F.col("reversal_prob"), "reversal_held": held.cast("double")}).drop("_turned")
+
+
+def dual_head_labels(df: DataFrame, score: str, lookahead: int = 1, n: int = 8, base: float = 0.35, regime: float = 0.65, bull: float = 0.65, bear: float = 0.35, window: int = 200, decay: float = 0.85) -> DataFrame:
+    """``bull_prob``, ``bull_class`` (2 bull, 1 wait, 0 bear), ``bull_conf`` and ``bear_conf``. L04
+
+    A bar's raw label blends whether the close rises over ``lookahead`` bars (``base``) and the decayed mean of the n scores after
+    that (``regime``); its rank among the labels of the last ``window`` bars is the probability, 0.5 for the first. Bars without
+    all bars that their label needs have nulls.
+    """
+    from ..functions.series import last_rows
+
+    weights = [decay**i for i in range(n)]
+    ahead = sum((lead(score, lookahead + 1 + i) * w for i, w in enumerate(weights)), F.lit(0.0)) / sum(weights)
+    up = F.when(F.col("close") > 0, (lead("close", lookahead) > F.col("close")).cast("double"))
+    raw = F.when(lead("close", lookahead + n).isNotNull(), F.round(base * up + regime * ahead, 9))
+    df = df.withColumn("_raw", raw).withColumn("_seen", F.collect_list("_raw").over(last_rows(window)))
+    size, below, equal = F.size("_seen"), F.size(F.filter("_seen", lambda y: y < F.col("_raw"))), F.size(F.filter("_seen", lambda y: y == F.col("_raw")))
+    prob = F.when(F.col("_raw").isNotNull(), F.when(size < 2, 0.5).otherwise((below + (equal - 1) / 2) / (size - 1)))
+    df = df.withColumn("bull_prob", prob).drop("_raw", "_seen")
+    there = F.col("bull_prob").isNotNull()
+    kind = F.when(F.col("bull_prob") <= bear, 0).when(F.col("bull_prob") >= bull, 2).when(there, 1)
+    return df.withColumn("bull_class", kind).withColumns({"bull_conf": (F.col("bull_class") == 2).cast("double"), "bear_conf": (F.col("bull_class") == 0).cast("double")})
+
+
 def forward_outcome(signals: DataFrame, bars: DataFrame, horizons: tuple[int, ...] = (3, 6, 12, 24), pip: float = 0.0001) -> DataFrame:
     """Of each signal (symbol, tf, ts, side 1 or -1): best and worst excursion, net move in pips and reward tanh(net / 20) by horizon. L14
 

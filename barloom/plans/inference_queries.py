@@ -76,3 +76,4 @@ add(
     " e AS (SELECT l.session_id, start_id, CASE WHEN l.parent_id IS NULL THEN 'root' WHEN list_contains(path, l.parent_id) THEN 'cycle' ELSE 'missing' END AS ended FROM (SELECT *, row_number() OVER (PARTITION BY session_id, start_id ORDER BY depth DESC) AS k FROM l) l WHERE k = 1)"
     " SELECT l.session_id, l.start_id, depth, l.dataset_id, ended FROM l JOIN e ON e.session_id = l.session_id AND e.start_id = l.start_id",
 )
+add("a21_adaptive_information", lambda s, d: dependence.adaptive_mutual_information(lineitem(s, d), (("l_quantity", "l_extendedprice"), ("l_quantity", "l_tax"), ("l_extendedprice", "l_discount"))), None)

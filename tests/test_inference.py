@@ -223,3 +223,18 @@ def test_robust_outliers_with_nulls(spark):
     got = {r.id: r.score for r in stats.robust_outliers(df, ("x", "y"), "id").collect()}
     assert got == pytest.approx(want)
     assert stats.robust_outliers(df.limit(0), ("x", "y"), "id").count() == 0
+
+
+def test_adaptive_information(spark):
+    rng = np.random.default_rng(3)
+    n = 20_000
+    x = rng.normal(size=n)
+    cols = {"x": x, "half": 0.6 * x + 0.8 * rng.normal(size=n), "close": 0.95 * x + math.sqrt(1 - 0.95**2) * rng.normal(size=n), "none": rng.normal(size=n), "few": rng.integers(0, 5, n).astype(float)}
+    cols["near"] = (cols["few"] + rng.integers(0, 2, n)) % 5
+    df = spark.createDataFrame([tuple(float(v[i]) if i % 50 or c != "none" else None for c, v in cols.items()) for i in range(n)], ", ".join(f"{c} double" for c in cols)).repartition(3)
+    got = {(r.a, r.b): r for r in dependence.adaptive_mutual_information(df, (("x", "half"), ("x", "close"), ("x", "none"), ("few", "near"), ("few", "x"))).collect()}
+    assert got["x", "none"].n == n - n // 50 and got["x", "half"].n == n
+    want = {("x", "half"): -0.5 * math.log(1 - 0.36), ("x", "close"): -0.5 * math.log(1 - 0.95**2), ("x", "none"): 0.0, ("few", "near"): math.log(5 / 2), ("few", "x"): 0.0}
+    for pair, value in want.items():
+        assert got[pair].mi == pytest.approx(value, abs=0.03), pair
+    assert dependence.adaptive_mutual_information(df.limit(0), (("x", "half"),)).count() == 0
