@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.series import KEYS, as_col, clip, diff, lag, last_rows, linear_scan, linear_scans, ratio, roll, series
+from ..functions.series import KEYS, as_col, clip, diff, lag, last_rows, linear_scan, linear_scans, ratio, roll, series, whole
 from . import indicators, recursive
 from .candles import tf_regime
 
@@ -185,3 +185,77 @@ def nearest_distances(df: DataFrame, support: Column | str, resistance: Column |
     return df.withColumns({"snr_dist_support": F.coalesce((c - as_col(support)) / span, F.lit(0.0)), "snr_dist_resistance": F.coalesce((as_col(resistance) - c) / span, F.lit(0.0))})
 
 
+
+
+#: Spans of the fast and slow change, of RSI and its mean, of the dollar proxy, and the bars that a cross is remembered.
+FAST, SLOW, RSI_BARS, RSI_MEAN, PROXY, MEMORY = 5, 14, 14, 21, 200, 5
+#: Bars of the quantile zones by timeframe.
+ZONE_BARS = {"15m": 100, "1h": 30, "4h": 10}
+
+
+def context_features(df: DataFrame) -> DataFrame:
+    """Context of a bar against a dollar proxy, its own higher timeframes and quantile zones, 47 columns. W29o
+
+    ``df`` may carry ``close_``, ``high_`` and ``low_`` of ``15m``, ``1h`` and ``4h``, aligned with the bars; a timeframe that isn't there has
+    distance 10 and, for RSI, the bar's own close. The proxy is twice the close's EMA less the close. Norms are changes in
+    two deviations of the whole series, clipped to [-1, 1], as the published form has it: they look at all of it.
+    """
+    c, have = F.col("close"), set(df.columns)
+    flag = lambda x: F.coalesce(x.cast("double"), F.lit(0.0))
+    df = recursive.exponential(df, "close", 2 / (PROXY + 1), "_proxy").withColumn("dxy_close", 2 * F.col("_proxy") - c)
+    sides = {"asset": "close", "dxy": "dxy_close"}
+    df = df.withColumns({f"_{side}_{n}": F.coalesce(ratio(F.col(x) - lag(x, n), lag(x, n)), F.lit(0.0)) for side, x in sides.items() for n in (FAST, SLOW)})
+    norm = lambda x: clip(F.col(x) / (2 * (F.stddev_pop(x).over(whole()) + 1e-8)), -1.0, 1.0)
+    df = df.withColumns({f"{side}_{speed}_norm": norm(f"_{side}_{n}") for side in sides for speed, n in (("fast", FAST), ("slow", SLOW))})
+    df = df.withColumns({f"{speed}_diff": F.col(f"asset_{speed}_norm") - F.col(f"dxy_{speed}_norm") for speed in ("slow", "fast")})
+    slow, fast = F.col("slow_diff") >= 0, F.col("fast_diff") >= 0
+    df = df.withColumns({"regime_strong_asset": flag(slow & fast), "regime_weak_asset": flag(slow & ~fast), "regime_weak_dxy": flag(~slow & fast), "regime_strong_dxy": flag(~slow & ~fast)})
+
+    closes = {"asset": "close", "dxy": "dxy_close", **{tf: f"close_{tf}" if f"close_{tf}" in have else "close" for tf in ("15m", "1h")}}
+    moved = {}
+    for name, x in closes.items():
+        d = F.coalesce(F.col(x) - lag(x), F.lit(0.0))
+        moved |= {f"_up_{name}": F.greatest(d, F.lit(0.0)), f"_down_{name}": F.greatest(-d, F.lit(0.0))}
+    df = df.withColumns(moved)
+    strength = lambda name: F.coalesce(100 - 100 / (1 + roll(F.avg, f"_up_{name}", RSI_BARS) / (roll(F.avg, f"_down_{name}", RSI_BARS) + 1e-8)), F.lit(50.0))
+    df = df.withColumns({f"_rsi_{name}": strength(name) for name in closes})
+    own, dollar = F.col("_rsi_asset"), F.col("_rsi_dxy")
+    df = df.withColumns({"mtf_rsi_asset": 0.5 * own + 0.3 * F.col("_rsi_15m") + 0.2 * F.col("_rsi_1h"), "mtf_rsi_dxy": dollar, "_own_mean": F.avg("_rsi_asset").over(last_rows(RSI_MEAN)), "_dollar_mean": F.avg("_rsi_dxy").over(last_rows(RSI_MEAN))})
+    # on the threshold, a last digit shall not decide
+    above = lambda x, y: F.round(x - y, 9) > 0
+    df = df.withColumns({
+        "mtf_rsi_diff": F.col("mtf_rsi_asset") - dollar, "state_asset_above_ma": flag(above(own, F.col("_own_mean"))), "state_dxy_above_ma": flag(above(dollar, F.col("_dollar_mean"))), "state_asset_above_dxy": flag(above(own, dollar)), "state_htf_bullish": flag(above(F.col("_rsi_1h"), F.lit(50.0))),
+        "state_asset_ma_spread": clip((own - F.col("_own_mean")) / 50, -1.0, 1.0), "state_dxy_ma_spread": clip((dollar - F.col("_dollar_mean")) / 50, -1.0, 1.0), "state_asset_dxy_spread": clip((own - dollar) / 50, -1.0, 1.0),
+    })
+    crosses = {"cross_index_signal": "state_asset_above_ma", "cross_dxy_signal": "state_dxy_above_ma", "cross_index_dxy": "state_asset_above_dxy"}
+    df = df.withColumns({f"_turn_{s}": F.col(s) - F.coalesce(lag(s), 1 - F.col(s)) for s in crosses.values()})
+    recent = lambda s: F.max(F.greatest(F.col(f"_turn_{s}"), F.lit(0.0))).over(last_rows(MEMORY)) + F.min(F.least(F.col(f"_turn_{s}"), F.lit(0.0))).over(last_rows(MEMORY))
+    df = df.withColumns({name: recent(s) for name, s in crosses.items()} | {"cross_dxy_symbol": clip(F.avg("fast_diff").over(last_rows(3)), -1.0, 1.0), "_unit": F.coalesce(roll(F.avg, F.col("high") - F.col("low"), 14), c * 0.005)})
+
+    low_of = lambda x, n, least: F.coalesce(roll(lambda y: F.percentile(y, F.lit(0.2)), x, n, least), F.col(x))
+    high_of = lambda x, n, least: F.coalesce(roll(lambda y: F.percentile(y, F.lit(0.8)), x, n, least), F.col(x))
+    near, far = (f"{x}_15m" if f"{x}_15m" in have else x for x in ("low", "high"))
+    df = df.withColumns({"_s": low_of("low", 100, 10), "_r": high_of("high", 100, 10), "_zs": low_of(near, 50, 12), "_zr": high_of(far, 50, 12)})
+    away = lambda x: clip(x / (F.col("_unit") + 1e-8), 0.0, 10.0)
+    out = {"snr_dist_support": away(c - F.col("_s")), "snr_dist_resistance": away(F.col("_r") - c), "zone_dist_support_atr": away(c - F.col("_zs")), "zone_dist_resistance_atr": away(F.col("_zr") - c)}
+    for tf, n in ZONE_BARS.items():
+        there = f"high_{tf}" in have and f"low_{tf}" in have
+        out |= {f"snr_dist_support_{tf}": away(c - low_of(f"low_{tf}", n, n // 4)) if there else F.lit(10.0), f"snr_dist_resistance_{tf}": away(high_of(f"high_{tf}", n, n // 4) - c) if there else F.lit(10.0)}
+    df = df.withColumns(out)
+    at = {(side, tf): c + sign * F.col(f"snr_dist_{side}_{tf}") * F.col("_unit") for side, sign in (("support", -1), ("resistance", 1)) for tf in ("15m", "1h")}
+    close_by = [F.round(F.abs(at[a, "15m"] - at[b, "1h"]) / (c + 1e-8), 9) <= 0.0015 for a in ("support", "resistance") for b in ("support", "resistance")]
+    rising = flag(c >= F.col("open"))
+    ds, dr = F.col("zone_dist_support_atr"), F.col("zone_dist_resistance_atr")
+    df = df.withColumns({
+        "mtf_snr_confluence": flag(close_by[0] | close_by[1] | close_by[2] | close_by[3]), "zone_in_support_zone": flag(F.round(ds, 9) <= 0.5), "zone_in_resistance_zone": flag(F.round(dr, 9) <= 0.5),
+        "zone_price_position": clip(ratio(c - F.col("_zs"), F.greatest(F.col("_zr") - F.col("_zs"), F.col("_unit"))), 0.0, 1.0), "zone_approach_direction": clip(F.coalesce(c - lag("close", 3), F.lit(0.0)) / (F.col("_unit") + 1e-8), -3.0, 3.0),
+        "_rising": rising, "_at_s": flag(F.round(ds, 9) <= 1.5), "_at_r": flag(F.round(dr, 9) <= 1.5),
+    })
+    share = lambda x, y: F.sum(x).over(last_rows(20)) / F.greatest(F.sum(y).over(last_rows(20)), F.lit(1.0))
+    active = lambda side: sum((flag(F.round(f"snr_dist_{side}_{tf}", 9) <= 1.0) for tf in ZONE_BARS), F.lit(0.0))
+    move = F.col("zone_approach_direction") / 3
+    df = df.withColumns({
+        "zone_support_vol_ratio": share(F.col("_rising") * F.col("_at_s"), F.col("_at_s")), "zone_resistance_vol_ratio": share((1 - F.col("_rising")) * F.col("_at_r"), F.col("_at_r")), "zone_support_confluence": active("support"), "zone_resistance_confluence": active("resistance"),
+        "zone_bounce_signal": clip(1 - ds / 2, 0.0, 1.0) * clip(move, 0.0, 1.0) * F.col("_rising"), "zone_rejection_signal": clip(1 - dr / 2, 0.0, 1.0) * clip(-move, 0.0, 1.0) * (1 - F.col("_rising")),
+    })
+    return df.drop(*[x for x in df.columns if x.startswith("_")])
