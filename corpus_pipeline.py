@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm.common import crc_mod, store
+from barloom.llm.common import crc_mod, row_keys, store
 from barloom.llm.decontaminate import drop_contaminated
 from barloom.llm.jaccard_join import keep_one
 from barloom.llm.language_id import UNKNOWN, fit_language_model, identify
@@ -21,10 +21,16 @@ LEAST_SCORE = 0.5
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, and those whose language the model can't tell, go."""
+    """Documents without a letter, and those whose language the model can't tell, go.
+
+    Only keys and answers come back from the workers, and the few keys of what goes are set against the documents: texts
+    are shuffled only where these keys are too many to broadcast.
+    """
     model = fit_language_model(docs.filter(crc_mod("doc_id", 3) != 1))
-    told = identify(docs, model, carry=COLUMNS[1:])
-    return told.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*COLUMNS)
+    keyed = docs.select(*COLUMNS, *row_keys("doc_id", "text"))
+    told = identify(keyed, model, carry=("k1", "k2"))
+    gone = store(told.filter((F.col("lang_pred") == UNKNOWN) | (F.col("score") < LEAST_SCORE)).select("k1", "k2"), "rejected")
+    return keyed.join(gone, ["k1", "k2"], "left_anti").select(*COLUMNS)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
