@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.series import last_rows, rounded
-from ..operators import movement, order_blocks
+from ..operators import movement, order_blocks, zone_bars
 from ..operators.indicators import fractals
 from ..operators.structure import swing_points
 from .bar_queries import hourly
@@ -123,3 +123,12 @@ add(
     "z11_movement_stats", lambda s, d: movement.movement_stats(level_signals(hourly(s, d)), hourly(s, d)),
     f"WITH {HOURLY}, {_MOVES} SELECT symbol, ts, kind AS signal_type, round(lv, 6) AS level_price, round(e, 6) AS entry_price, CAST(coalesce(n, 0) AS INTEGER) AS analysis_period, {', '.join(f'CASE WHEN n > 0 THEN {e} END AS {c}' if c in _WHOLE else f'round(CASE WHEN n > 0 THEN {e} END, 6) AS {c}' for c, e in _STATS.items())} FROM al",
 )
+
+
+def _bar_signals(s: SparkSession, d: str, share: float) -> DataFrame:
+    return zone_bars.bar_signals(hourly(s, d), share=share, distance=2.0, width=0.05)
+
+
+# chosen and clustered anew from bar to bar: no SQL, tests hold them against each bar's own window
+add("z09_bar_signals", lambda s, d: _bar_signals(s, d, 0.8).drop("signals"), None)
+add("z10_strict_signals", lambda s, d: zone_bars.signals_of(_bar_signals(s, d, 1.0)), None)
