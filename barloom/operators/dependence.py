@@ -56,7 +56,9 @@ def _placed(df: DataFrame, pairs: tuple[tuple[str, str], ...]) -> tuple[DataFram
     shares = [i / 2**HALVINGS for i in range(1, 2**HALVINGS)]
     about = counts.groupBy(*PAIR).agg(F.sum("w").alias("n"), (F.sum(F.col("w") * F.col("x")) / F.sum("w")).alias("mx"), (F.sum(F.col("w") * F.col("y")) / F.sum("w")).alias("my"), F.percentile_approx("x", shares, 10_000).alias("xc"), F.percentile_approx("y", shares, 10_000).alias("yc"))
     about = stored(about, "about")
-    placed = counts.join(F.broadcast(about), [*PAIR]).select(*PAIR, (F.col("x") - F.col("mx")).alias("x"), (F.col("y") - F.col("my")).alias("y"), "w", _range("xc", "x").alias("rx"), _range("yc", "y").alias("ry"))
+    # ranges are found before the means are taken off: in one select, names inside a lambda stand for the new columns
+    ranged = counts.join(F.broadcast(about), [*PAIR]).withColumns({"rx": _range("xc", "x"), "ry": _range("yc", "y")})
+    placed = ranged.select(*PAIR, (F.col("x") - F.col("mx")).alias("x"), (F.col("y") - F.col("my")).alias("y"), "w", "rx", "ry")
     return stored(placed, "placed"), about.drop("xc", "yc")
 
 

@@ -89,6 +89,15 @@ def test_pair_dependence(df, data, monkeypatch, halvings):
         assert got[a, b].tau_b == pytest.approx((sx * sy).sum() / math.sqrt((sx != 0).sum() * (sy != 0).sum()), abs=1e-12)
 
 
+def test_ranges_hold_equal_shares(spark):
+    """Whatever the mean: no range but that of one value holds much more than its share of the rows."""
+    rows = spark.range(4096).select((F.col("id") + 10_000.0).alias("p"), ((F.col("id") * 37) % 4096 - 9_000.0).alias("q"))
+    placed, _ = dependence._placed(rows, (("p", "q"),))
+    for r, x in (("rx", "x"), ("ry", "y")):
+        sizes = placed.groupBy(r).agg(F.count(F.lit(1)).alias("n"), F.countDistinct(x).alias("values")).filter("values > 1")
+        assert sizes.agg(F.max("n")).first()[0] <= 3 * 4096 / 2**dependence.HALVINGS
+
+
 def test_dependence_of_constants(spark):
     made = spark.createDataFrame([(1.0, float(i), None) for i in range(5)], "c double, x double, z double")
     r = dependence.pair_dependence(made, (("c", "x"), ("x", "z"))).collect()
