@@ -72,7 +72,8 @@ def pairwise_tests(df: DataFrame, columns: tuple[str, ...]) -> DataFrame:
     merged = stored(merged, "merged")
     ranks = _weighted_ranks(merged.select(F.col("pair").alias("column"), "x", F.col("w").alias("n")))
     ranked = merged.join(ranks.withColumnRenamed("column", "pair"), ["pair", "x"])
-    cubes = F.sum((F.col("w") * F.col("w") * F.col("w") - F.col("w")).cast("double"))
+    w = F.col("w").cast("double")  # the cube of a count over 2 million is no long
+    cubes = F.sum(w * w * w - w)
     sums = ranked.groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("rank")).alias("r1"), cubes.alias("ties"))
     n1, n2 = F.col("n1"), F.col("n2")
     n = n1 + n2
@@ -124,7 +125,8 @@ def group_tests(long: DataFrame) -> DataFrame:
     bartlett = tested("bartlett", bart, chi2_tail(bart, F.col("k") - 1), b.filter("k > 1"))
     pooled = long.groupBy("x").agg(F.sum("w").alias("n")).select(F.lit("all").alias("column"), "x", "n")
     ranks = _weighted_ranks(pooled).drop("column")
-    ties = pooled.agg(F.sum((F.col("n") * F.col("n") * F.col("n") - F.col("n")).cast("double")).alias("ties"))
+    w = F.col("n").cast("double")  # the cube of a count over 2 million is no long
+    ties = pooled.agg(F.sum(w * w * w - w).alias("ties"))
     r = long.join(ranks, "x").groupBy("column").agg(F.sum("w").cast("double").alias("n"), F.sum(F.col("w") * F.col("rank")).alias("r"))
     k = r.agg(F.sum("n").alias("n"), F.count(F.lit(1)).cast("double").alias("k"), F.sum(F.col("r") * F.col("r") / F.col("n")).alias("squares"), F.lit(1).alias("one")).join(ties.withColumn("one", F.lit(1)), "one")
     n = F.col("n")

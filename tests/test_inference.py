@@ -132,6 +132,18 @@ def test_pairwise(df, data):
         assert r.u_p == pytest.approx(math.erfc(z / math.sqrt(2)), rel=1e-8)
 
 
+def test_counts_whose_cubes_are_no_longs(spark):
+    n = 1_100_000
+    frame = spark.range(n).select(F.lit(1.0).alias("p"), F.when(F.col("id") < 10, 2.0).otherwise(1.0).alias("q"))
+    got = inference.pairwise_tests(frame, ("p", "q")).first()
+    assert got.u == pytest.approx(n * (n - 10) / 2, rel=1e-12) and 0 < got.u_p < 0.01
+    by_test = {r.test: r.statistic for r in inference.group_tests(stats.unpivot(frame, ("p", "q"))).collect()}
+    ones, total = 2 * n - 10, 2 * n
+    r_p, r_q = n * (ones + 1) / 2, (n - 10) * (ones + 1) / 2 + 10 * (ones + 5.5)
+    h = (12 / (total * (total + 1)) * (r_p**2 + r_q**2) / n - 3 * (total + 1)) / (1 - (ones**3 - ones + 990) / (total**3 - total))
+    assert by_test["kruskal"] == pytest.approx(h, abs=1e-2)
+
+
 def test_groups(df, data):
     got = {r.test: r for r in inference.group_tests(stats.unpivot(df, ("u", "k", "v"))).collect()}
     samples = [column(data, c) for c in ("u", "k", "v")]
