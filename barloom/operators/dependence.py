@@ -33,11 +33,15 @@ def dominated(rank: np.ndarray, values: np.ndarray) -> np.ndarray:
         order = order[np.argsort(rank[order] >> (bit + 1), kind="stable")]
         r = rank[order]
         low = (r >> bit) & 1 == 0
-        upto = np.cumsum(np.where(low[:, None], values[order], 0), axis=0)
         starts = np.flatnonzero(np.concatenate(([True], r[1:] >> (bit + 1) != r[:-1] >> (bit + 1))))
-        before = np.where(starts[:, None] > 0, upto[starts - 1], 0)
         group = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(r))))
-        out[order] += np.where(low[:, None], 0, upto - before[group])
+        # column by column: what is in memory at once doesn't grow with their number
+        for k in range(values.shape[1]):
+            upto = np.cumsum(np.where(low, values[order, k], 0))
+            before = np.where(starts > 0, upto[starts - 1], 0)
+            upto -= before[group]
+            upto[low] = 0
+            out[order, k] += upto
     return out
 
 

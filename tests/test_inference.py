@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import random
+import tracemalloc
 from datetime import datetime, timedelta
 
 import numpy as np
@@ -98,6 +99,20 @@ def test_ranges_hold_equal_shares(spark):
         assert sizes.agg(F.max("n")).first()[0] <= 3 * 4096 / 2**dependence.HALVINGS
 
 
+def test_dominated_takes_a_column_at_a_time():
+    """The same sums as the plain count, with less in memory than four columns of temporary arrays."""
+    rng = np.random.default_rng(3)
+    rank, values = rng.integers(0, 40, 300), rng.normal(size=(300, 4))
+    plain = np.array([values[:i][rank[:i] < rank[i]].sum(0) for i in range(300)])
+    assert np.allclose(dependence.dominated(rank, values), plain)
+    rank, values = rng.permutation(1 << 16), np.ones((1 << 16, 4))
+    tracemalloc.start()
+    dependence.dominated(rank, values)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 4 * values.nbytes  # 6.4 with four columns at once
+
+
 def test_dependence_of_constants(spark):
     made = spark.createDataFrame([(1.0, float(i), None) for i in range(5)], "c double, x double, z double")
     r = dependence.pair_dependence(made, (("c", "x"), ("x", "z"))).collect()
