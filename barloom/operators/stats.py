@@ -105,7 +105,8 @@ def histogram(df: DataFrame, columns: tuple[str, ...], bins: int = 20) -> DataFr
     long = unpivot(df, columns).filter("x is not null")
     edges = long.groupBy("column").agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
     at = F.least(F.floor(F.coalesce(ratio((F.col("x") - F.col("lo")) * bins, F.col("hi") - F.col("lo")), F.lit(0.0))), F.lit(bins - 1))
-    return long.join(edges, "column").groupBy("column", at.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    # a row for each column: rows stay where they are, and each task counts its own first
+    return long.join(F.broadcast(edges), "column").groupBy("column", at.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def distribution(df: DataFrame, columns: tuple[str, ...], bins: int = 20) -> DataFrame:

@@ -71,6 +71,17 @@ def test_tails(spark):
         assert r.p == pytest.approx(math.exp(-r.x / 2) * (1 + r.x / 2), rel=1e-10)
 
 
+def test_histogram_shuffles_counts_only(spark, df):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        h = stats.histogram(df, COLUMNS)
+        assert sum(r.n for r in h.collect()) == df.select([F.count(c).alias(c) for c in COLUMNS]).select(sum(F.col(c) for c in COLUMNS)).first()[0]
+        plan = h._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
 # --- dependence -------------------------------------------------------------------------------------------------------
 
 
