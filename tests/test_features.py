@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from barloom.operators import context, stats
+from barloom.operators import context, models, stats
 from barloom.plans.bar_queries import hourly
 from barloom.plans.preparation_queries import _orders
 
@@ -53,3 +53,12 @@ def test_quantiles_of_awkward_columns(spark):
     assert stats.quantiles(long.filter("false"), {"q": 0.5}).collect() == []
     ranks = {(r.column, r.x): r["rank"] for r in stats.mean_ranks(long).collect()}
     assert ranks["hot", 0.0] == 1 and ranks["hot", 1.0] == 2 + 5000 / 2 and ranks["hot", 2.0] == 5003
+
+
+def test_forest_reads_parts_of_bounded_size(spark, monkeypatch):
+    monkeypatch.setattr(models, "TREE_ROWS", 100)
+    rows = spark.range(2000).coalesce(1).select((F.col("id") % 7).cast("double").alias("a"), (F.col("id") % 11).cast("double").alias("b"), (3.0 * (F.col("id") % 7)).alias("y"))
+    sizes = models._in_parts(rows).groupBy(F.spark_partition_id()).count()
+    assert sizes.agg(F.max("count"), F.sum("count")).first()[:] == (100, 2000)
+    got = {r["column"]: r.importance for r in models.forest_importance(rows, ("a", "b"), "y").collect()}
+    assert got["a"] > 0.9 and sum(got.values()) == pytest.approx(1)
