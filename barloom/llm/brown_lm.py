@@ -17,6 +17,7 @@ which leaves each text as a sequence of classes. Transitions are counted over th
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -53,7 +54,7 @@ def _summed(keys: list[np.ndarray], sums: list[np.ndarray]) -> tuple[np.ndarray,
 def _pre_aggregated(batches: Iterator[pa.RecordBatch], keys_of) -> Iterator[tuple[np.ndarray, np.ndarray]]:  # noqa: ANN001
     """Keys of each batch of texts, counted over as many batches as leave FLUSH keys."""
     keys, sums, held = [], [], 0
-    for b in batches:
+    for b in chain.from_iterable(map(hashing.slices, batches)):
         key, n = np.unique(keys_of(b.column("text")), return_counts=True)
         keys.append(key)
         sums.append(n)
@@ -222,7 +223,7 @@ def tail_classes(texts: DataFrame, head: np.ndarray, classes: np.ndarray, joint:
             ends = np.append(first, len(w)).astype(np.int32) * 4
             return pa.RecordBatch.from_arrays([pa.array(w[first]), pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(ends), pa.py_buffer(packed)])], names=["word", "slots"])
 
-        for b in batches:
+        for b in chain.from_iterable(map(hashing.slices, batches)):
             w, first = _hashed(b.column("text"))
             code = _with_ends(_numbers(w, ids, class_of, rare), first, end)
             tail = np.flatnonzero(code == rare)
@@ -326,7 +327,7 @@ def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
                 w = np.unique(np.concatenate(parts))
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(w), block, np.int32)), pa.array(w)], names=["block", "word"])
 
-        for b in batches:
+        for b in chain.from_iterable(map(hashing.slices, batches)):
             blocks = b.column("block").to_numpy()
             words, first = _hashed(b.column("text"))
             of = np.repeat(blocks, np.diff(first))
@@ -354,8 +355,8 @@ def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
         base = np.log10(n + 0.1) - base_total
         emit = np.log10(n + smoothing) - emission_total[c]
         out = []
-        for s in range(0, len(texts), 5000):
-            words, first = _hashed(texts["text"].slice(s, 5000))
+        for s in range(0, len(texts), hashing.ROWS_AT_ONCE):
+            words, first = _hashed(texts["text"].slice(s, hashing.ROWS_AT_ONCE))
             place = _numbers(words, ids, np.arange(len(ids)), len(ids))
             at = _with_ends(place, first, len(n) - 1)[1:]
             begin = first[:-1] + np.arange(len(first) - 1)

@@ -6,6 +6,8 @@ bytes, modulo 2**64, then mixed. Two of V different words share a hash with a pr
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 
@@ -14,6 +16,8 @@ _BASE = 0xD6E8FEB86659FD93
 _INVERSE = pow(_BASE, -1, 1 << 64)
 #: Bytes that are hashed at once.
 _PART = 1 << 20
+#: Rows of a batch that are taken at once.
+ROWS_AT_ONCE = 1000
 
 _INSIDE = np.ones(256, bool)
 _INSIDE[[9, 10, 11, 12, 13, 32]] = False
@@ -86,11 +90,28 @@ def word_hashes(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return mix(out * _MULTIPLIER + np.uint64(1)), np.searchsorted(starts, at)
 
 
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch, some at a time: what is made of each word is in memory for these only."""
+    for s in range(0, batch.num_rows, ROWS_AT_ONCE):
+        yield batch.slice(s, ROWS_AT_ONCE)
+
+
 def shingle_sets(data: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingles of each text, ascending within it, and where each text's begin, with the end.
 
-    A text of fewer words than ``width`` is one shingle, one without words has none.
+    A text of fewer words than ``width`` is one shingle, one without words has none. Texts of about _PART bytes are taken at once.
     """
+    cuts = np.unique(np.append(np.searchsorted(at, np.arange(0, len(data), _PART)), len(at) - 1))
+    if cuts[0] > 0:
+        cuts = np.append(0, cuts)
+    found = [_shingle_sets(data[at[i] : at[j]], at[i : j + 1] - at[i], width) for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+    if not found:
+        return np.zeros(0, np.uint64), np.zeros(1, np.int64)
+    sizes = np.concatenate([np.diff(ends) for _, ends in found])
+    return np.concatenate([tokens for tokens, _ in found]), np.concatenate([[0], np.cumsum(sizes)])
+
+
+def _shingle_sets(data: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     words, first = word_hashes(data, at)
     n = np.diff(first)
     count = np.where(n > 0, np.maximum(n - width + 1, 1), 0)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -13,7 +14,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from barloom.llm import brown_lm, decontaminate, jaccard_join, language_id, line_dedup, packing, pii, queries, substring_dedup, token_counts, vector_topk
+from barloom.llm import brown_lm, decontaminate, hashing, jaccard_join, language_id, line_dedup, packing, pii, queries, substring_dedup, token_counts, vector_topk
 from barloom.llm.common import crc_mod
 
 from ..conftest import DATA
@@ -590,3 +591,24 @@ def test_top_k(spark):
     assert vector_topk.top_k(df.limit(0)).count() == 0
     few = vector_topk.top_k(df.filter("vec_id in (100, 101, 102)")).collect()
     assert len(few) == 2
+
+
+def test_batches_of_words_take_bounded_memory():
+    """A large batch is counted, and cut into shingles, some texts at a time, with the same results."""
+    rng = np.random.default_rng(2)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 3000, 150)) for _ in range(8000)] + ["", "one", " "]
+    batch = pa.RecordBatch.from_arrays([pa.array([t.encode() for t in texts])], names=["text"])
+    data, at = hashing.buffers(batch.column("text"))
+    found = []
+    tracemalloc.start()
+    for work in (lambda: list(brown_lm._pre_aggregated(iter([batch]), lambda t: brown_lm._with_ends(*brown_lm._hashed(t), 0)[1:])), lambda: hashing.shingle_sets(data, at, 5)):
+        tracemalloc.reset_peak()
+        got, held = work(), tracemalloc.get_traced_memory()
+        found.append((got, (held[1]) / len(data)))
+    tracemalloc.stop()
+    ((keys, n),), (tokens, ends) = found[0][0], found[1][0]
+    assert n.sum() == sum(len(t.split()) + 1 for t in texts) and len(keys) == len({w for t in texts for w in t.split()}) + 1
+    whole = hashing._shingle_sets(data, at, 5)
+    assert (tokens == whole[0]).all() and (ends == whole[1]).all()
+    print([share for _, share in found])
+    assert found[0][1] < 4 and found[1][1] < 8
