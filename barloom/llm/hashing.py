@@ -70,12 +70,13 @@ def word_hashes(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarra
     edge[at] = True  # a text's end ends its last word
     start = inside.copy()
     start[1:] &= ~inside[:-1] | edge[1:-1]
-    starts = np.flatnonzero(start)
-    out = np.zeros(len(starts), np.uint64)
+    starts = np.append(np.flatnonzero(start), len(data))  # with the end of the last word
+    out = np.zeros(len(starts) - 1, np.uint64)
     i = 0
-    while i < len(starts):
-        j = max(i + 1, int(np.searchsorted(starts, starts[i] + _PART, side="right")) - 1) if starts[-1] - starts[i] >= _PART else len(starts)
-        begin, end = int(starts[i]), int(starts[j]) if j < len(starts) else len(data)
+    while i < len(out):
+        # the words that end within a part, one at least
+        j = max(i + 1, int(np.searchsorted(starts, starts[i] + _PART, side="right")) - 1)
+        begin, end = int(starts[i]), int(starts[j])
         if end - begin <= _PART:
             own = starts[i:j] - begin
             out[i:j] = np.add.reduceat(_CODES[data[begin:end]] * _POWERS[: end - begin], own) * _INVERSES[own]

@@ -612,3 +612,15 @@ def test_batches_of_words_take_bounded_memory():
     assert (tokens == whole[0]).all() and (ends == whole[1]).all()
     print([share for _, share in found])
     assert found[0][1] < 4 and found[1][1] < 8
+
+
+@pytest.mark.parametrize("last", ["b", "longer", "longer" + " " * 40, "x" * 70, "x" * 200])
+def test_words_across_parts(last, monkeypatch):
+    """Words hash alike wherever the ends of parts fall, in the last word and in blanks after it too."""
+    monkeypatch.setattr(hashing, "_PART", 64)
+    for n in range(60, 70):
+        text = ("ab cde " * 20)[: n - 3] + " " + last
+        data = np.frombuffer(text.encode(), np.uint8)
+        got, first = hashing.word_hashes(data, np.array([0, len(data)]))
+        alone = [hashing.word_hashes(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w)]))[0][0] for w in text.split()]
+        assert got.tolist() == alone and first.tolist() == [0, len(alone)]
