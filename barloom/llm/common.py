@@ -5,12 +5,15 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .hashing import slices
+
 _local_dir: str | None = None
 
 
@@ -73,14 +76,14 @@ def words_of(text: bytes | None) -> list[bytes]:
     return text.lower().split() if text else []
 
 
-def per_text(rows: DataFrame, fields: str, of_texts: Callable[[list[str | None]], list[pa.Array]], keep: bool = False) -> DataFrame:
-    """Append the columns ``fields`` (DDL) that ``of_texts`` computes from each Arrow batch of the last column, a string, which is dropped unless ``keep``."""
+def per_text(rows: DataFrame, fields: str, of_texts: Callable[[list[str | None]], list[pa.Array]], keep: bool = False, sliced: bool = False) -> DataFrame:
+    """Append the columns ``fields`` (DDL) that ``of_texts`` computes from each Arrow batch, or from slices() of it, of the last column, a string, which is dropped unless ``keep``."""
     text = rows.columns[-1]
     keys = rows.columns if keep else rows.columns[:-1]
     names = [*keys, *T.StructType.fromDDL(fields).names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in chain.from_iterable(map(slices, batches)) if sliced else batches:
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keys), *of_texts(b.column(text).to_pylist())], names=names)
 
     schema = T.StructType([*rows.schema.fields[: len(keys)], *T.StructType.fromDDL(fields).fields])

@@ -32,8 +32,10 @@ from . import hashing
 from .common import col, discard, row_keys, store
 
 WIDTH = 5
-#: Bytes of text in a block, rounds of comparisons to centres, the longest extension of a prefix, and members of a cell.
-BLOCK, ROUNDS, LONGEST, CELL = 16_000_000, 3, 4, 256
+#: Bytes of text in a block, and for each task and each range of hashes; tokens that a range counts at once.
+BLOCK, TASK, AT_ONCE = 4_000_000, 16_000_000, 1 << 18
+#: Rounds of comparisons to centres, the longest extension of a prefix, and members of a cell.
+ROUNDS, LONGEST, CELL = 3, 4, 256
 #: Bits in which a set's tokens leave their parity, by hash: two sets differ in at least as many tokens as they do in bits.
 PARITY = 512
 #: Cost of verifying one token of a set, where scanning one posting costs 1.
@@ -80,15 +82,41 @@ class Block:
         return np.unique(np.concatenate([self.of(i) for i in self.firsts] or [self.tokens[:0]]) >> np.uint64(16), return_counts=True)
 
 
+def frequencies(group: pa.Table) -> pa.Table:
+    """For every row of a range (``low``, ``high``: ascending tokens of a block; ``n``: how many sets have each) the sums over all rows."""
+    low, at = hashing.buffers(group["low"])
+    low, n = low.view(np.uint32), hashing.buffers(group["n"])[0].view(np.uint32)
+    high, high_at = hashing.buffers(group["high"])
+    high = high.view(np.uint32)
+    # where each row's tokens with each value of the upper bits begin: a few of these values are counted at a time
+    begins = [np.concatenate([[0], np.cumsum(high[i:j], dtype=np.int64)]) + first for i, j, first in zip(high_at[:-1] // 4, high_at[1:] // 4, at[:-1] // 4, strict=True)]
+    width = max(map(len, begins)) - 1
+    df = np.zeros(len(low), np.uint32)
+    edges = np.unique(np.linspace(0, width, 2 + len(low) // AT_ONCE).astype(np.int64)).tolist()
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
+        own = [x[a : b + 1] for x in begins if len(x) > a + 1]
+        upper = np.concatenate([np.repeat(np.arange(len(x) - 1, dtype=np.int64), np.diff(x)) for x in own])
+        of = lambda values: np.concatenate([values[x[0] : x[-1]] for x in own])  # noqa: B023, E731
+        _, which = np.unique((upper << 32) | of(low), return_inverse=True)
+        found = np.bincount(which, weights=of(n)).astype(np.uint32)[which]
+        done = 0
+        for x in own:
+            df[x[0] : x[-1]] = found[done : done + x[-1] - x[0]]
+            done += x[-1] - x[0]
+    replies = pa.Array.from_buffers(pa.binary(), len(group), [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(df)])
+    return pa.table([group["block"], group["range"], replies], names=["block", "range", "df"])
+
+
 def shingle_sets(docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
     """One row per document: ``doc_id``, ``k1``, ``k2``, ``set_id``, ``n``; for the first of a set in its block that has prefix tokens
     of frequency 2 or more also ``match``, ``prefix`` (those tokens in order), ``shared`` (how many of the set's tokens have
     frequency 2 or more), ``parity`` (PARITY bits) and ``tokens`` (the whole set, packed)."""
     rows = docs.select(col(id_col).alias("doc_id"), *row_keys(id_col, text_col), col(text_col).cast("string").cast("binary").alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n_blocks = max(1, -(-size // BLOCK))
-    ranges = min(n_blocks, 1 << 16)
-    dealt = rows.withColumn("block", F.pmod("k1", F.lit(n_blocks)).cast("int")).repartition(n_blocks, "block")
+    n_blocks, n_tasks = max(1, -(-size // BLOCK)), max(1, -(-size // TASK))
+    ranges = min(n_tasks, 1 << 16)
+    # a task has several blocks, and holds what is made of one at a time
+    dealt = rows.withColumn("block", F.pmod("k1", F.lit(n_blocks)).cast("int")).repartition(n_tasks, "block")
     edges = np.array([(1 << 48) * r // ranges for r in range(ranges + 1)], np.uint64)
 
     def pack(block: pa.Table) -> pa.Table:
@@ -103,18 +131,6 @@ def shingle_sets(docs: DataFrame, id_col: str, text_col: str, percent: int) -> D
         number = block["block"][0].as_py() if len(block) else 0
         return pa.table([pa.array(cols[0], pa.int32()), pa.array([number] * len(out), pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], names=["range", "block", "low", "high", "n"])
 
-    def frequencies(group: pa.Table) -> pa.Table:
-        tokens, sums = [], []
-        for low, high, n in zip(group["low"].to_pylist(), group["high"].to_pylist(), group["n"].to_pylist(), strict=True):
-            counts = np.frombuffer(high, np.uint32)
-            tokens.append((np.repeat(np.arange(len(counts), dtype=np.int64), counts) << 32) | np.frombuffer(low, np.uint32))
-            sums.append(np.frombuffer(n, np.uint32))
-        _, at = np.unique(np.concatenate(tokens), return_inverse=True)
-        df = np.bincount(at, weights=np.concatenate(sums)).astype(np.uint32)[at]
-        ends = np.cumsum([len(t) for t in tokens])
-        replies = [df[e - len(t) : e].tobytes() for t, e in zip(tokens, ends, strict=True)]
-        return pa.table([group["block"], group["range"], pa.array(replies, pa.binary())], names=["block", "range", "df"])
-
     def prefixes(texts: pa.Table, replies: pa.Table) -> pa.Table:
         block = Block(texts["text"])
         bucket, _ = block.buckets()
@@ -152,8 +168,9 @@ def _verified(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column("t_a").to_pylist(), batch.column("t_b").to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            (a, at_a), (b, at_b) = hashing.buffers(batch.column("t_a")), hashing.buffers(batch.column("t_b"))
+            for i in range(batch.num_rows):
+                x, y = a[at_a[i] : at_a[i + 1]].view(np.uint64), b[at_b[i] : at_b[i + 1]].view(np.uint64)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))

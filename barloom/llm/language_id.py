@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import col, per_text
+from .hashing import slices
 
 BITS, ORDERS = 16, (1, 2, 3)
 UNKNOWN = "und"
@@ -145,7 +147,7 @@ def fit_language_model(train: DataFrame, text_col: str = "text", lang_col: str =
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df = np.zeros(1 << BITS, np.int64)
         total = 0
-        for b in batches:
+        for b in chain.from_iterable(map(slices, batches)):
             for t in b.column("text").to_pylist():
                 if has_letter(t):
                     df[bucket_counts(t)[0]] += 1
@@ -209,5 +211,5 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
     kept = text_col in carry and docs.schema[text_col].dataType.simpleString() == "string"
     others = [c for c in carry if not (kept and c == text_col)]
     read = col(text_col).cast("string").alias("text_read")
-    told = per_text(docs.select(col(id_col).alias("doc_id"), *map(col, others), read), "lang_pred string, score double", predict, keep=kept)
+    told = per_text(docs.select(col(id_col).alias("doc_id"), *map(col, others), read), "lang_pred string, score double", predict, keep=kept, sliced=True)
     return told.withColumnRenamed("text_read", text_col).select("doc_id", *map(col, carry), "lang_pred", "score") if kept else told

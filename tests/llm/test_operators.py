@@ -624,3 +624,32 @@ def test_words_across_parts(last, monkeypatch):
         got, first = hashing.word_hashes(data, np.array([0, len(data)]))
         alone = [hashing.word_hashes(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w)]))[0][0] for w in text.split()]
         assert got.tolist() == alone and first.tolist() == [0, len(alone)]
+
+
+def test_frequencies_of_a_range_take_bounded_memory():
+    """A range's tokens are counted a part at a time: sums over all blocks as by brute force, in a small multiple of what comes in."""
+    rng = np.random.default_rng(3)
+    blocks = [np.unique(rng.integers(0, 1_500_000, 40_000)) * 90_001 for _ in range(40)] + [np.array([5 << 32]), np.array([7])]
+    rows, want = [], Counter()
+    for i, b in enumerate(blocks):
+        n = rng.integers(1, 4, len(b)).astype(np.uint32)
+        rows.append((0, i, b.astype(np.uint32).tobytes(), np.bincount(b >> 32, minlength=1).astype(np.uint32).tobytes(), n.tobytes()))
+        want.update(dict(zip(b.tolist(), n.tolist(), strict=True)))
+    names = ["range", "block", "low", "high", "n"]
+    group = pa.table([pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), [pa.int32(), pa.int32(), *[pa.binary()] * 3], strict=True)], names=names)
+    tracemalloc.start()
+    got = jaccard_join.frequencies(group)
+    peak = tracemalloc.get_traced_memory()[1] / group.nbytes
+    tracemalloc.stop()
+    assert got["block"].to_pylist() == list(range(len(blocks))) and set(got["range"].to_pylist()) == {0}
+    for b, df in zip(blocks, got["df"].to_pylist(), strict=True):
+        assert np.frombuffer(df, np.uint32).tolist() == [want[t] for t in b.tolist()]
+    assert peak < 3
+
+
+def test_near_duplicates_in_many_blocks(docs, rows, monkeypatch):
+    """The same classes when tasks have several blocks and ranges are counted in many parts."""
+    for name, value in (("BLOCK", 2000), ("TASK", 9000), ("AT_ONCE", 64)):
+        monkeypatch.setattr(jaccard_join, name, value)
+    got = [(r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.near_duplicates(docs).collect()]
+    same(got, closure(rows)[0])
